@@ -222,30 +222,60 @@ def instant(c: Cell) -> Column:
     if c.is_literal:
         parsed = parse_iso(c.literal.strip(WHITESPACE)) if isinstance(c.literal, str) else None
         return F.lit(parsed) if parsed else F.lit(None).cast("timestamp")
-    text = F.btrim(c.col, F.lit(WHITESPACE))
-    zoned = (
+    return iso_instant(F.btrim(c.col, F.lit(WHITESPACE)))
+
+
+def iso_instant(text: Column) -> Column:
+    """ISO text as a timestamp, UTC where no zone is given; null for anything else.
+
+    The casts that follow the shape tests read no other zone, so the session's
+    time zone does not matter. Spark wants seconds before a zone.
+    """
+    seconds_given = F.substring(text, 17, 1) == ":"
+    zone = F.substring(text, 17, 6)
+    full = (
         F.when(text.rlike(ISO_DATE), F.concat(text, F.lit("T00:00:00Z")))
-        .when(text.rlike(ISO_LOCAL_DATETIME), F.concat(text, F.lit("Z")))
-        .when(text.rlike(ISO_ZONED_DATETIME), text)
+        .when(text.rlike(ISO_LOCAL_DATETIME), F.concat(text, F.when(seconds_given, F.lit("Z")).otherwise(F.lit(":00Z"))))
+        .when(
+            text.rlike(ISO_ZONED_DATETIME),
+            F.when(seconds_given, text).otherwise(F.concat(F.substring(text, 1, 16), F.lit(":00"), zone)),
+        )
     )
-    return zoned.try_cast("timestamp")
+    return full.try_cast("timestamp")
 
 
-def number_text(x: Column) -> Column:
-    """A double as text: no trailing ``.0``, exponents only below 1e-6 and from 1e21."""
+def _shortest_digits(x: Column) -> Column:
+    """The double in decimal, with as few digits as still identify it.
+
+    Java may print a digit too many. Where it printed more than 15, the
+    roundings to 15 and 16 digits are tried and taken if they read back equal.
+    """
     java = x.cast("string")
-    exact_integer = (x == F.floor(x)) & (F.abs(x) < F.lit(2.0**53))
-    large = java.try_cast(T.DecimalType(38, 0)).cast("string")
-    fraction = F.rtrim(java.try_cast(T.DecimalType(38, 22)).cast("string"), F.lit("0"))
-    exponent = F.replace(F.replace(java, F.lit(".0E"), F.lit("E")), F.lit("E"), F.lit("e"))
-    exponent = F.when(exponent.contains("e-"), exponent).otherwise(
-        F.replace(exponent, F.lit("e"), F.lit("e+"))
+    digits = F.length(F.translate(F.substring_index(java, "E", 1), ".-", ""))
+    fifteen, sixteen = F.format_string("%.14e", x), F.format_string("%.15e", x)
+    return (
+        F.when(digits <= 15, java)
+        .when(fifteen.try_cast("double") == x, fifteen)
+        .when(sixteen.try_cast("double") == x, sixteen)
+        .otherwise(java)
     )
-    size = F.abs(x)
+
+
+def number_text(x: Column) -> Column:
+    """A double as text: no trailing ``.0``, exponents only below 1e-6 and from 1e21."""
+    size, zero = F.abs(x), F.lit("0")
+    shortest = _shortest_digits(x)
+    exact_integer = (x == F.floor(x)) & (size < F.lit(2.0**53))
+    large = shortest.try_cast(T.DecimalType(38, 0)).cast("string")
+    fraction = F.rtrim(shortest.try_cast(T.DecimalType(38, 22)).cast("string"), zero)
+    scientific = F.lower(shortest)
+    mantissa = F.rtrim(F.rtrim(F.substring_index(scientific, "e", 1), zero), F.lit("."))
+    power = F.substring_index(scientific, "e", -1).try_cast("int").cast("string")
+    sign = F.when(size >= 1, F.lit("e+")).otherwise(F.lit("e"))
     return (
         F.when(exact_integer, x.try_cast("bigint").cast("string"))
-        .when(F.isnan(x) | (size == F.lit(float("inf"))), java)
-        .when((size >= F.lit(1e21)) | (size < F.lit(1e-6)), exponent)
+        .when(F.isnan(x) | (size == F.lit(float("inf"))), x.cast("string"))
+        .when((size >= F.lit(1e21)) | (size < F.lit(1e-6)), F.concat(mantissa, sign, power))
         .when(size >= F.lit(2.0**53), large)
         .otherwise(fraction)
     )

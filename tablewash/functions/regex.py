@@ -7,6 +7,7 @@ Most syntax is shared. What differs (the meaning of ``$``, ``.``, ``\\s``,
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 
 from tablewash.errors import StepError
@@ -98,8 +99,12 @@ def to_java(pattern: str) -> JavaPattern:
     if in_class:
         raise _invalid(pattern, "unterminated character class")
     java = "".join(out)
+    python = re.sub(r"\(\?<([A-Za-z_$])", r"(?P<\1", java).replace(r"\z", r"\Z")
+    python = re.sub(r"\\k<(\w+)>", r"(?P=\1)", python)
     try:
-        re.compile(re.sub(r"\(\?<([A-Za-z_$])", r"(?P<\1", java).replace(r"\z", r"\Z"))
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            re.compile(python)
     except re.error as error:
         if "look-behind" not in str(error):
             raise _invalid(pattern, str(error)) from None

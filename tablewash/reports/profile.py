@@ -15,8 +15,7 @@ def is_iso_date(text: Column) -> Column:
 
 
 def is_iso_datetime(text: Column) -> Column:
-    shaped = text.rlike(cells.ISO_LOCAL_DATETIME) | text.rlike(cells.ISO_ZONED_DATETIME)
-    return shaped & text.try_cast("timestamp").isNotNull()
+    return (F.substring(text, 11, 1) == "T") & cells.iso_instant(text).isNotNull()
 
 
 def _tests(c: ColumnInfo) -> dict[str, Column]:
