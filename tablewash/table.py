@@ -102,8 +102,8 @@ class Table:
     @staticmethod
     def read_parquet(spark: SparkSession, path: str, row_id: str | Sequence[str] | None = None) -> "Table":
         """Parquet files as a table. Without ``row_id`` rows are identified by
-        file and position in the file: unlike a generated id these leave
-        filters free to move into the scan, and they are not read when unused."""
+        file and position in the file: unlike a generated id these are known to
+        the scan, so filters and column pruning still reach it."""
         df = spark.read.parquet(path)
         if row_id is not None:
             return Table.of(df, row_id)
