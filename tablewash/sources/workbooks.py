@@ -10,6 +10,7 @@ from __future__ import annotations
 from typing import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +18,12 @@ from tablewash.functions import cells as kinds
 from tablewash.functions.cells import number_text
 from tablewash.session import scratch_path
 from tablewash.reports.profile import is_iso_date, is_iso_datetime, type_from_counts
-from tablewash.sources.xlsx_cells import sheet_cells
+from tablewash.sources import xlsx_cells
 from tablewash.table import Table
 
+# The reading helper travels with the job: executors need no installed package.
+cloudpickle.register_pickle_by_value(xlsx_cells)
+
 CELLS = (
     "path string, sheet_index int, sheet string, row int, col int, "
     "k string, s string, n double, b boolean, had_formula boolean, missing_value boolean"
@@ -40,6 +44,8 @@ def read_workbook_files(spark: SparkSession, path: str) -> DataFrame:
 def workbook_cells(files: DataFrame) -> DataFrame:
     """One row per cell that holds a value or a formula, from ``(path, content)``."""
 
+    sheet_cells = xlsx_cells.sheet_cells
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in CELLS.split(", ")]
         rows: list[tuple] = []
