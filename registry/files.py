@@ -207,8 +207,8 @@ def workbook_header_detection(spark, sf_dir):
 )
 def workbook_import_warnings(spark, sf_dir):
     cells = stored(workbook_cells(_books(spark, sf_dir)))
-    sheets = choose_header_rows(cells)
-    columns = sheet_columns(cells, sheets)
+    sheets = stored(choose_header_rows(cells))
+    columns = stored(sheet_columns(cells, sheets))
     body = body_cells(cells, sheets, columns)
     found = workbook_warnings(sheets, columns, body, sheet_types(body, columns))
     return found.select("path", "code", "sheet", "column_id", "cell_count")
@@ -225,8 +225,8 @@ def workbook_import_warnings(spark, sf_dir):
 )
 def workbook_column_types(spark, sf_dir):
     cells = stored(workbook_cells(_books(spark, sf_dir)).filter("sheet = 'Flags'"))
-    sheets = choose_header_rows(cells)
-    columns = sheet_columns(cells, sheets)
+    sheets = stored(choose_header_rows(cells))
+    columns = stored(sheet_columns(cells, sheets))
     return sheet_types(body_cells(cells, sheets, columns), columns).select("path", "column_id", "logical_type")
 
 

@@ -221,7 +221,8 @@ def dense_row_positions(spark, sf_dir):
 
 @query(
     """select event_id, case when event_id % 2 = 0 then event_type else regexp_replace(value::varchar, '\\.0$', '') end as as_text,
-      case when event_id % 2 = 1 then value end as as_number, null::boolean as as_boolean, false as empty,
+      case when event_id % 2 = 1 then value end as as_number,
+      case when event_id % 2 = 1 then case value when 1 then true when 0 then false end end as as_boolean, false as empty,
       row_number() over (partition by case when event_id % 2 = 0 then event_type end, case when event_id % 2 = 1 then value end
         order by event_id) = 1 as first_of_kind from events"""
 )

@@ -43,7 +43,7 @@ def deduplicate_rows(column_ids: Sequence[str]) -> Step:
         table.check_targets(column_ids)
         window = Window.partitionBy(*column_ids).orderBy(*table.order_columns())
         ranked = table.df.withColumn("__rank", F.row_number().over(window))
-        return replace(table, df=ranked.filter(F.col("__rank") == 1).drop("__rank"))
+        return replace(table, df=ranked.filter(F.col("__rank") == 1).drop("__rank"), in_order=False)
 
     return Step("deduplicateRows", run)
 
@@ -66,6 +66,6 @@ def sort_rows(sorts: Sequence[tuple[str, str]]) -> Step:
                 raise StepError("invalidExpression", f"direction {direction!r} is neither asc nor desc")
             keys.append(OrderKey(f"{column_id}#{len(table.order)}", column_id, direction == "asc"))
         table.check_targets([c for c, _ in sorts])
-        return replace(table, order=tuple(keys) + table.order)
+        return replace(table, order=tuple(keys) + table.order, in_order=False)
 
     return Step("sortRows", run)

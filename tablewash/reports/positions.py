@@ -21,9 +21,9 @@ def dense_positions(table: Table) -> DataFrame:
     spark = table.df.sparkSession
     names = list(dict.fromkeys(list(table.row_id) + [k.column for k in table.order]))
     path = scratch_path(spark, "positions")
+    keys = table.df.select(*names)
     (
-        table.df.select(*names)
-        .orderBy(*table.order_columns())
+        (keys if table.in_order else keys.orderBy(*table.order_columns()))
         .select(
             *table.row_id,
             F.spark_partition_id().alias("__part"),

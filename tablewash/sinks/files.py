@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def write_csv(table: Table, path: str, keep_nulls: bool = False, mode: str = "er
 def write_parquet(table: Table, path: str, ordered: bool = False, mode: str = "errorifexists") -> None:
     """The visible columns; ``ordered`` sorts the files into row order."""
     source = table.sorted_df() if ordered else table.df
-    Table(source, table.columns, table.order, table.row_id).to_df().write.mode(mode).parquet(path)
+    replace(table, df=source).to_df().write.mode(mode).parquet(path)
 
 
 def cell_formats(table: Table) -> DataFrame:

@@ -22,6 +22,8 @@ NUMBER = r"^-?(?:0|[1-9]\d*)(?:\.\d+)?\z"
 FIELD = r',(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^,]*+)'
 FORMAT = {"sep": ",", "quote": '"', "escape": '"', "emptyValue": QUOTED_EMPTY, "mode": "PERMISSIVE"}
 HEADER_SAMPLE = 1
+# Up to this many files, their header lines are broadcast (some tens of megabytes).
+BROADCAST_FILES = 100_000
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,7 @@ def read_csv(
 
     The number of columns and their types come from one pass each over the
     files; give ``width`` and ``types`` (by column id) to save those passes.
+    Reading by lines always makes the first one, to find the headers.
     """
     return import_csv(spark, path, quoted_newlines, width, types).table
 
@@ -61,16 +64,18 @@ def import_csv(
     path = path if isinstance(path, str) else list(path)
     reader = _Records(spark, path) if quoted_newlines else _Lines(spark, path)
     header = reader.header()
-    width = max(len(header), width or reader.width(len(header)))
+    raw, width = reader.rows_and_width(len(header), width)
     headers = normalize_headers(header + [None] * (width - len(header)))
-    raw = reader.rows(width)
     types = types or _infer(raw, headers)
     hidden = [c for c in raw.columns if c.startswith("__")]
     typed = raw.select(
         *[_typed(F.col(f"c{i}"), types[h.id]).alias(h.id) for i, h in enumerate(headers)], *hidden
     )
     table = Table.of(typed, "__row_id", names={h.id: h.name for h in headers}, types=types)
-    if len(raw.inputFiles()) > 1:
+    if len(raw.inputFiles()) == 1:
+        # The splits of a single file are read in order.
+        table = replace(table, in_order=True)
+    else:
         keys = tuple(OrderKey(n, n) for n in ("__file", "__block", "__row_id"))
         table = replace(table, order=keys)
     return CsvImport(table, tuple(headers))
@@ -103,16 +108,17 @@ class _Records:
         first = self.reader().csv(self.path).head(HEADER_SAMPLE)
         return [None if v == QUOTED_EMPTY else v for v in first[0]] if first else []
 
-    def width(self, expected: int) -> int:
+    def _widest(self, expected: int) -> int:
         schema = _schema(max(expected, 1)) + ", __raw string"
         df = self.reader().option("columnNameOfCorruptRecord", "__raw").schema(schema).csv(self.path)
         # Records whose number of fields differs from the header's arrive whole.
         found = df.agg(F.max(F.when(F.col("__raw").isNotNull(), _fields(F.col("__raw")))), F.count("c0")).first()
-        return max(expected, found[0] or 0)
+        return found[0] or 0
 
-    def rows(self, width: int) -> DataFrame:
+    def rows_and_width(self, expected: int, given: int | None) -> tuple[DataFrame, int]:
+        width = max(expected, given or self._widest(expected))
         df = self.reader().option("header", True).schema(_schema(width)).csv(self.path)
-        return df.select(*[f"c{i}" for i in range(width)], *_origin())
+        return df.select(*[f"c{i}" for i in range(width)], *_origin()), width
 
 
 class _Lines:
@@ -122,27 +128,39 @@ class _Lines:
         self.lines = spark.read.text(path)
         first = self.lines.head(HEADER_SAMPLE)
         self.header_line = first[0][0] if first else None
+        self.placed = self.lines.select("value", *_origin())
+        # A file's header is in its first block; a later line may be equal to it.
+        self.like_header = (F.col("value") == self.header_line) & (F.col("__block") == 0)
 
     def header(self) -> list[str | None]:
         return next(csv.reader([self.header_line]), [""]) if self.header_line is not None else []
 
-    def width(self, expected: int) -> int:
-        return self.lines.agg(F.max(_fields(F.col("value")))).first()[0] or expected
-
-    def rows(self, width: int) -> DataFrame:
-        placed = self.lines.select("value", *_origin())
-        # The first line of every file is its header: one row per file to leave out.
-        headers = (
-            placed.filter(F.col("value") == self.header_line)
-            .groupBy("__file")
-            .agg(F.min(F.struct("__block", "__row_id")).alias("first"))
-            .select("__file", F.col("first.__row_id").alias("__row_id"))
+    def _files(self) -> DataFrame:
+        """One row per file: its widest record, its lines that look like the
+        header, and the first of those."""
+        return self.placed.groupBy("__file").agg(
+            F.max(_fields(F.col("value"))).alias("width"),
+            F.count_if(self.like_header).alias("alike"),
+            F.min(F.when(self.like_header, F.col("__row_id"))).alias("__row_id"),
         )
-        body = placed.join(headers, ["__file", "__row_id"], "left_anti")
+
+    def rows_and_width(self, expected: int, given: int | None) -> tuple[DataFrame, int]:
+        """The records below the headers, from one pass over the lines."""
+        files = self._files()
+        found = files.agg(F.max("width"), F.count_if(F.col("alike") > 1), F.count("*")).first()
+        width = max(expected, given or found[0] or 0)
+        if found[1] == 0:
+            body = self.placed.filter(~self.like_header)
+        else:
+            # Some file repeats its header as data: leave out first lines by their id.
+            firsts = files.select("__file", "__row_id")
+            firsts = F.broadcast(firsts) if found[2] <= BROADCAST_FILES else firsts
+            body = self.placed.join(firsts, ["__file", "__row_id"], "left_anti")
         parsed = F.from_csv("value", _schema(width), FORMAT)
-        return body.select(parsed.alias("p"), "__file", "__block", "__row_id").select(
+        rows = body.select(parsed.alias("p"), "__file", "__block", "__row_id").select(
             *[F.col(f"p.c{i}").alias(f"c{i}") for i in range(width)], "__file", "__block", "__row_id"
         )
+        return rows, width
 
 
 def _unquoted(raw: Column) -> Column:

@@ -62,12 +62,16 @@ def workbook_cells(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, CELLS)
 
 
-def stored(cells: DataFrame) -> DataFrame:
-    """The cells written to the scratch folder: files are opened once, and the
-    several passes over the cells read only the columns they need."""
-    path = scratch_path(cells.sparkSession, "cells")
-    cells.write.parquet(path)
-    return cells.sparkSession.read.parquet(path)
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to the scratch folder.
+
+    Stored cells are parsed once, and later passes read only the columns they
+    need. Of stored sheets and columns Spark knows the size, and so whether
+    they are small enough to broadcast.
+    """
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _cell_text() -> Column:
@@ -225,8 +229,8 @@ def sheet_table(cells: DataFrame, sheet: str, header_rows: dict[str, int] | None
     column whose type differs between files is mixed.
     """
     mine = stored(cells.filter(F.col("sheet") == sheet))
-    sheets = choose_header_rows(mine, header_rows)
-    columns = sheet_columns(mine, sheets)
+    sheets = stored(choose_header_rows(mine, header_rows))
+    columns = stored(sheet_columns(mine, sheets))
     body = body_cells(mine, sheets, columns)
     kinds_found = (
         sheet_types(body, columns)

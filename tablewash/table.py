@@ -63,6 +63,9 @@ class Table:
     row_id: tuple[str, ...]
     fills: frozenset[str] = frozenset()
     run_at: str | None = None
+    # Whether the partitions already hold the rows in order, as after a scan
+    # that numbered them. Sinks then need no sort.
+    in_order: bool = False
 
     # --- construction ------------------------------------------------------
 
@@ -92,12 +95,14 @@ class Table:
         if nulls:
             df = df.withColumns({n: F.col(n).cast("string") for n in nulls})
             columns = [replace(c, spark=T.StringType()) if c.id in nulls else c for c in columns]
+        numbered = row_id is None
         if row_id is None:
             df = df.withColumn("__row_id", F.monotonically_increasing_id())
             row_id = ("__row_id",)
         ids = (row_id,) if isinstance(row_id, str) else tuple(row_id)
         fills = frozenset(c.id for c in columns if FILL + c.id in df.columns)
-        return Table(df, tuple(columns), tuple(OrderKey(i, i) for i in ids), ids, fills)
+        order = tuple(OrderKey(i, i) for i in ids)
+        return Table(df, tuple(columns), order, ids, fills, in_order=numbered)
 
     @staticmethod
     def read_parquet(spark: SparkSession, path: str, row_id: str | Sequence[str] | None = None) -> "Table":
@@ -205,12 +210,12 @@ class Table:
         )
 
     def sorted_df(self) -> DataFrame:
-        """The DataFrame with its hidden columns, sorted into row order."""
-        return self.df.orderBy(*self.order_columns())
+        """The DataFrame with its hidden columns, in row order."""
+        return self.df if self.in_order else self.df.orderBy(*self.order_columns())
 
     def preview(self, rows: int = 50) -> DataFrame:
         """The first rows in row order: a top-k, not a full sort."""
-        return self.sorted_df().limit(rows).select(*self.ids)
+        return self.df.orderBy(*self.order_columns()).limit(rows).select(*self.ids)
 
 
 class Row:
