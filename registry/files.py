@@ -165,7 +165,9 @@ def _books(spark, sf_dir):
         return pd.DataFrame({"path": [book], "content": [content]})
 
     customers = scan(spark, sf_dir, "customer").withColumn("book", F.floor(F.col("c_custkey") / ROWS_PER_BOOK))
-    return customers.groupBy("c_nationkey", "book").applyInPandas(build, "path string, content binary")
+    # A fixed number of partitions, so that the small groups are not put into one task.
+    spread = customers.repartition(spark.sparkContext.defaultParallelism, "c_nationkey", "book")
+    return spread.groupBy("c_nationkey", "book").applyInPandas(build, "path string, content binary")
 
 
 BOOKS = f"select *, 'n' || c_nationkey || '-' || (c_custkey // {ROWS_PER_BOOK}) || '.xlsx' as path from customer"

@@ -25,8 +25,9 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-# The same set as the inside of a Java character class.
-WHITESPACE_CLASS = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+# The same set as the inside of a Java character class; \p{Z} is all the spaces
+# and separators, which is tested much faster than a list of ranges.
+WHITESPACE_CLASS = r"\s\p{Z}\ufeff"
 
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}\z"
 ISO_LOCAL_DATETIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?\z"
@@ -261,11 +262,9 @@ def _shortest_digits(x: Column) -> Column:
     )
 
 
-def number_text(x: Column) -> Column:
-    """A double as text: no trailing ``.0``, exponents only below 1e-6 and from 1e21."""
+def _any_number_text(x: Column) -> Column:
     size, zero = F.abs(x), F.lit("0")
     shortest = _shortest_digits(x)
-    exact_integer = (x == F.floor(x)) & (size < F.lit(2.0**53))
     large = shortest.try_cast(T.DecimalType(38, 0)).cast("string")
     fraction = F.rtrim(shortest.try_cast(T.DecimalType(38, 22)).cast("string"), zero)
     scientific = F.lower(shortest)
@@ -273,14 +272,25 @@ def number_text(x: Column) -> Column:
     power = F.substring_index(scientific, "e", -1).try_cast("int").cast("string")
     sign = F.when(size >= 1, F.lit("e+")).otherwise(F.lit("e"))
     return (
-        F.when(exact_integer, x.try_cast("bigint").cast("string"))
-        .when(F.isnan(x) | (size == F.lit(float("inf"))), x.cast("string"))
+        F.when(F.isnan(x) | (size == F.lit(float("inf"))), x.cast("string"))
         .when((size >= F.lit(1e21)) | (size < F.lit(1e-6)), F.concat(mantissa, sign, power))
         .when(size >= F.lit(2.0**53), large)
         .otherwise(fraction)
     )
 
 
+def number_text(x: Column) -> Column:
+    """A double as text: no trailing ``.0``, exponents only below 1e-6 and from 1e21."""
+    size, java = F.abs(x), x.cast("string")
+    exact_integer = (x == F.floor(x)) & (size < F.lit(2.0**53))
+    # Java writes this range without an exponent, and 15 digits cannot be too many.
+    plain = (size >= F.lit(1e-3)) & (size < F.lit(1e7)) & (F.length(java) <= 16)
+    # The long expression for other numbers is kept out of the generated method,
+    # which would otherwise grow past the size the JVM compiles.
+    other = F.get(F.transform(F.array(x), _any_number_text), F.lit(0))
+    return F.when(exact_integer, x.try_cast("bigint").cast("string")).when(plain, java).when(x.isNotNull(), other)
+
+
 def text(c: Cell) -> Column:
     """The cell as text, null staying null."""
     if c.is_literal and not isinstance(c.literal, (int, float)):

@@ -100,7 +100,7 @@ def to_java(pattern: str) -> JavaPattern:
         raise _invalid(pattern, "unterminated character class")
     java = "".join(out)
     python = re.sub(r"\(\?<([A-Za-z_$])", r"(?P<\1", java).replace(r"\z", r"\Z")
-    python = re.sub(r"\\k<(\w+)>", r"(?P=\1)", python)
+    python = re.sub(r"\\k<(\w+)>", r"(?P=\1)", python).replace(r"\p{Z}", "")
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")

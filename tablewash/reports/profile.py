@@ -11,7 +11,7 @@ from tablewash.table import ColumnInfo, Table
 
 
 def is_iso_date(text: Column) -> Column:
-    return text.rlike(cells.ISO_DATE) & text.try_cast("date").isNotNull()
+    return (F.length(text) == 10) & text.rlike(cells.ISO_DATE) & text.try_cast("date").isNotNull()
 
 
 def is_iso_datetime(text: Column) -> Column:

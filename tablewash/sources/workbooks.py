@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +28,8 @@ CELLS = (
     "path string, sheet_index int, sheet string, row int, col int, "
     "k string, s string, n double, b boolean, had_formula boolean, missing_value boolean"
 )
+ARROW_TYPES = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+ARROW_CELLS = pa.schema([(c.split()[0], ARROW_TYPES[c.split()[1]]) for c in CELLS.split(", ")])
 SHEET = ["path", "sheet"]
 CELLS_PER_BATCH = 20_000
 HEADER_CANDIDATES = 10
@@ -44,22 +46,25 @@ def read_workbook_files(spark: SparkSession, path: str) -> DataFrame:
 def workbook_cells(files: DataFrame) -> DataFrame:
     """One row per cell that holds a value or a formula, from ``(path, content)``."""
 
-    sheet_cells = xlsx_cells.sheet_cells
+    sheet_cells, schema = xlsx_cells.sheet_cells, ARROW_CELLS
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in CELLS.split(", ")]
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                for found in sheet_cells(bytes(content)):
-                    rows.append((path, *found))
+                name = path.as_py()
+                for found in sheet_cells(content.as_py()):
+                    rows.append((name, *found))
                     if len(rows) >= CELLS_PER_BATCH:
-                        yield pd.DataFrame(rows, columns=names)
+                        yield as_batch(rows)
                         rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=names)
+            yield as_batch(rows)
 
-    return files.select("path", "content").mapInPandas(parse, CELLS)
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return files.select("path", "content").mapInArrow(parse, CELLS)
 
 
 def stored(df: DataFrame) -> DataFrame:
