@@ -86,6 +86,8 @@ class Table:
         names, types = names or {}, types or {}
         columns = []
         for f in df.schema.fields:
+            if "." in f.name or "`" in f.name:
+                raise StepError("invalidColumnId", f"rename column {f.name!r}: dots and backticks name nested fields")
             if f.name.startswith(HIDDEN):
                 continue
             kind = types.get(f.name) or f.metadata.get("logicalType") or cells.logical_type(f.dataType)
@@ -163,8 +165,8 @@ class Table:
     def check_new(self, column_id: str, name: str) -> str:
         if column_id in self.ids:
             raise StepError("duplicateColumnId", f"column {column_id!r} already exists")
-        if not column_id or column_id.startswith(HIDDEN):
-            raise StepError("invalidExpression", f"{column_id!r} cannot be used as a column id")
+        if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_-]*", column_id):
+            raise StepError("invalidColumnId", f"{column_id!r} is not made of letters, digits, '_' and '-'")
         return self.check_name(name)
 
     # --- building the next table ----------------------------------------------

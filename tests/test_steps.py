@@ -328,6 +328,8 @@ def test_rename_drop_comment(load_csv):
         (rename_column("col_a", " B "), "nameConflict"),
         (derive_column("col_a", "x", "y"), "duplicateColumnId"),
         (derive_column("x", "A", "y"), "nameConflict"),
+        (derive_column("__x", "x", "y"), "invalidColumnId"),
+        (derive_column("a.b", "x", "y"), "invalidColumnId"),
         (derive_column("x", "x", lambda r: r["nope"]), "missingColumn"),
         (derive_column("x", "x", lambda r: fx.split(r["col_a"], ",")), "invalidExpression"),
         (filter_rows("keep", lambda r: r["col_a"]), "incompatibleType"),
