@@ -18,7 +18,7 @@ from tablewash.operators import (
     sort_rows,
 )
 from tablewash.plans import apply_steps, observe_steps
-from tablewash.reports import change_summary, compare_rows, dense_positions, infer_types, profile
+from tablewash.reports import change_summary, compare_rows, dense_positions, infer_types, profile, run_summary
 
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 
@@ -140,28 +140,53 @@ def _flat(summary):
     return summary.withColumn("created_column_ids", F.concat_ws(",", "created_column_ids"))
 
 
-@query(
-    f"""with m as ({MESSY_ORDERS}),
+FILTERED_SUMMARY = f"""with m as ({MESSY_ORDERS}),
     w as (select *, priority is null or {sql_trim("priority")} = '' as gone,
       (priority is distinct from {sql_trim("priority")})::int as c1 from m),
     f as (select *, min(case when gone then o_orderkey end) over () as first_gone from w)
     select count_if(gone or true) as changed_row_count, sum(case when gone then 0 else c1 + 2 end)::bigint as changed_cell_count,
       count_if(gone) as removed_row_count, count_if(gone or o_orderkey > first_gone) > 0 as row_order_changed,
       'code' as created_column_ids from f"""
-)
+# Trimmed, filtered, one column added and one dropped; no sort.
+FILTERED_STEPS = [
+    scoped_rule(["priority"], default=Patch(lambda r, v: fx.trim(v))),
+    filter_rows("drop", lambda r: fx.is_empty(r["priority"])),
+    combine_columns(["o_orderstatus", "o_custkey"], "-", "code", "Code"),
+    drop_columns(["price"]),
+]
+
+
+@query(FILTERED_SUMMARY)
 def change_summary_filtered(spark, sf_dir):
-    """Trimmed, filtered, one column added and one dropped; no sort."""
     before = messy_orders(spark, sf_dir)
-    after = apply_steps(
-        before,
-        [
-            scoped_rule(["priority"], default=Patch(lambda r, v: fx.trim(v))),
-            filter_rows("drop", lambda r: fx.is_empty(r["priority"])),
-            combine_columns(["o_orderstatus", "o_custkey"], "-", "code", "Code"),
-            drop_columns(["price"]),
-        ],
-    )
-    return _flat(change_summary(before, after))
+    return _flat(change_summary(before, apply_steps(before, FILTERED_STEPS)))
+
+
+@query(FILTERED_SUMMARY)
+def run_summary_without_join(spark, sf_dir):
+    return _flat(run_summary(messy_orders(spark, sf_dir), FILTERED_STEPS))
+
+
+@query(
+    f"""with m as ({MESSY_CUSTOMERS}),
+    r as (select c_custkey, nation > 20 and vip as gone, (nation <= 15 and (status is null or status = ''))::int as c1,
+      coalesce(contains(balance, '-'), false)::int as c2 from m),
+    f as (select *, min(case when gone then c_custkey end) over () as first_gone from r)
+    select count_if(gone or c1 + c2 > 0 or coalesce(c_custkey > first_gone, false)) as changed_row_count,
+      sum(case when gone then 0 else c1 + c2 end)::bigint as changed_cell_count, count_if(gone) as removed_row_count,
+      count_if(gone) > 0 as row_order_changed, '' as created_column_ids from f"""
+)
+def run_summary_values_and_fills(spark, sf_dir):
+    steps = [
+        scoped_rule(
+            ["status"],
+            default=Patch(lambda r, v: fx.coalesce(v, "unknown")),
+            where=lambda r: fx.not_(fx.greater_than(r["nation"], 15)),
+        ),
+        scoped_rule(["balance"], cases=[Case(lambda r, v: fx.contains(v, "-"), Patch(fill="#ffcccc"))]),
+        filter_rows("keep", lambda r: fx.not_(fx.and_(r["vip"], fx.greater_than(r["nation"], 20)))),
+    ]
+    return _flat(run_summary(messy_customers(spark, sf_dir), steps))
 
 
 @query(

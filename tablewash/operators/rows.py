@@ -14,21 +14,39 @@ from tablewash.operators.steps import Step
 from tablewash.table import OrderKey, Row, Table
 
 
-def filter_rows(mode: str, condition: Callable[[Row], Any]) -> Step:
-    """``keep`` or ``drop`` the rows where the condition holds; null is false."""
+class FilterRows(Step):
+    """Keeps or drops the rows where a condition holds; null is false."""
 
-    def run(table: Table) -> Table:
-        if mode not in ("keep", "drop"):
-            raise StepError("invalidExpression", f"mode {mode!r} is neither keep nor drop")
+    def __init__(self, mode: str, condition: Callable[[Row], Any]):
+        super().__init__("filterRows", self._apply)
+        self.mode = mode
+        self.condition = condition
+
+    def _tested(self, table: Table):
+        if self.mode not in ("keep", "drop"):
+            raise StepError("invalidExpression", f"mode {self.mode!r} is neither keep nor drop")
         row = Row(table)
-        test = cells.truthy(cells.boolean_arg("filter_rows", condition(row)))
+        test = cells.truthy(cells.boolean_arg("filter_rows", self.condition(row)))
+        return row.stage(table.df), test
+
+    def _apply(self, table: Table) -> Table:
+        staged, test = self._tested(table)
         # A filter reads null as false, so the form that Spark can push into
         # the scan serves for keeping; dropping needs the two-valued form.
-        wanted = (test.where if test.where is not None else test.col) if mode == "keep" else ~test.col
-        staged = row.stage(table.df).filter(wanted)
-        return replace(table, df=staged.select(*table.ids, *table.hidden_names()))
+        kept = (test.where if test.where is not None else test.col) if self.mode == "keep" else ~test.col
+        return replace(table, df=staged.filter(kept).select(*table.ids, *table.hidden_names()))
 
-    return Step("filterRows", run)
+    def marked(self, table: Table, flag: str) -> Table:
+        """Set the carried column ``flag`` on the rows to remove, and keep them."""
+        staged, test = self._tested(table)
+        gone = F.col(flag) | (~test.col if self.mode == "keep" else test.col)
+        marked = staged.withColumn(flag, gone)
+        return replace(table, df=marked.select(*table.ids, *table.hidden_names()))
+
+
+def filter_rows(mode: str, condition: Callable[[Row], Any]) -> Step:
+    """``keep`` or ``drop`` the rows where the condition holds; null is false."""
+    return FilterRows(mode, condition)
 
 
 def deduplicate_rows(column_ids: Sequence[str]) -> Step:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+from typing import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,9 +12,18 @@ from pyspark.sql import types as T
 
 from tablewash.functions import cells
 from tablewash.functions.cells import Cell
+from tablewash.operators.rows import FilterRows
+from tablewash.operators.steps import Step
+from tablewash.plans.runs import apply_steps
 from tablewash.reports.positions import dense_positions
 from tablewash.session import scratch_path
-from tablewash.table import FILL, Table
+from tablewash.table import FILL, Table, run_time
+
+GONE = "__gone"
+SUMMARY = (
+    "changed_row_count bigint, changed_cell_count bigint, removed_row_count bigint, "
+    "row_order_changed boolean, created_column_ids array<string>"
+)
 
 
 def _comparable(table: Table, column_id: str) -> Cell:
@@ -19,6 +31,15 @@ def _comparable(table: Table, column_id: str) -> Cell:
     return Cell(F.col(column_id), info.type, info.spark)
 
 
+def _comparable_values(old: Cell, new: Cell) -> tuple[Column, Column]:
+    """Two cells in a form whose equality is that of their values."""
+    if old.type == new.type or "unknown" in (old.type, new.type):
+        (left, right), _, _ = cells.unify([old, new], "change summary")
+        return left, right
+    # Different types never hold the same value; only two nulls agree.
+    return F.when(old.col.isNotNull(), F.lit("before")), F.when(new.col.isNotNull(), F.lit("after"))
+
+
 def _same_order_spec(before: Table, after: Table) -> bool:
     """Both are ordered by the untouched row id, ascending."""
     labels = [(k.label, k.ascending) for k in before.order]
@@ -40,14 +61,9 @@ def compare_rows(before: Table, after: Table) -> DataFrame:
     """
     shared = [c for c in before.ids if c in after.ids]
     one_sided = len(before.columns) + len(after.columns) - 2 * len(shared)
-    left_values, right_values, unlike = [], [], 0
+    left_values, right_values = [], []
     for c in shared:
-        old, new = _comparable(before, c), _comparable(after, c)
-        if old.type == new.type or "unknown" in (old.type, new.type):
-            (left, right), _, _ = cells.unify([old, new], "change summary")
-        else:
-            # Different types never hold the same value; only two nulls agree.
-            left, right = F.when(old.col.isNotNull(), F.lit("before")), F.when(new.col.isNotNull(), F.lit("after"))
+        left, right = _comparable_values(_comparable(before, c), _comparable(after, c))
         left_values.append(left)
         right_values.append(right)
     left = _side(before, "b", shared, left_values)
@@ -107,3 +123,64 @@ def change_summary(before: Table, after: Table) -> DataFrame:
         F.count_if(gone).alias("removed_row_count"),
         (F.count_if(gone | moved) > 0).alias("row_order_changed"),
     ).withColumn("created_column_ids", F.lit(created) if created else F.array().cast(T.ArrayType(T.StringType())))
+
+
+def run_summary(before: Table, steps: Iterable[Step]) -> DataFrame:
+    """The change summary of a run, without a join where none is needed.
+
+    If the run neither sorts nor deduplicates, each row carries its original
+    cells along and removed rows are only marked, so that counting is a scan
+    without a shuffle, and a second one if rows were removed. Other runs compare
+    the two tables.
+    """
+    steps = list(steps)
+    if any(s.kind in ("sortRows", "deduplicateRows") for s in steps) or not _same_order_spec(before, before):
+        return change_summary(before, apply_steps(before, steps))
+    was = {c: f"__was{i}" for i, c in enumerate(before.ids)}
+    was_fill = {c: f"__wasfill{i}" for i, c in enumerate(before.ids) if c in before.fills}
+    place = [f"__place{i}" for i in range(len(before.row_id))]
+    originals = [F.col(c).alias(n) for c, n in was.items()] + [F.col(FILL + c).alias(n) for c, n in was_fill.items()]
+    originals += [F.col(c).alias(n) for c, n in zip(before.row_id, place)]
+    carrier = replace(
+        before,
+        df=before.df.select("*", *originals, F.lit(False).alias(GONE)),
+        carried=before.carried + tuple(was.values()) + tuple(was_fill.values()) + tuple(place) + (GONE,),
+        run_at=before.run_at or run_time(),
+    )
+    after = reduce(lambda t, s: s.marked(t, GONE) if isinstance(s, FilterRows) else s(t), steps, carrier)
+    rows = _carried_changes(before, after, was, was_fill, place)
+    removed, changed = F.col("removed"), F.col("removed") | (F.col("changed_cells") > 0)
+    found = rows.agg(
+        F.count_if(changed).alias("rows"),
+        F.coalesce(F.sum("changed_cells"), F.lit(0).cast("bigint")).alias("cells"),
+        F.count_if(removed).alias("removed"),
+        F.min(F.when(removed, F.col("at"))).alias("first"),
+    ).first()
+    changed_rows = found["rows"]
+    if found["removed"]:
+        first = found["first"] if len(place) > 1 else (found["first"],)
+        limit = [F.lit(v).cast(after.df.schema[n].dataType).alias(n) for n, v in zip(place, first)]
+        moved = F.col("at") > (F.struct(*limit) if len(place) > 1 else limit[0])
+        changed_rows = rows.agg(F.count_if(changed | moved)).first()[0]
+    created = [c for c in after.ids if c not in before.ids]
+    summary = (changed_rows, found["cells"], found["removed"], found["removed"] > 0, created)
+    return before.df.sparkSession.createDataFrame([summary], SUMMARY)
+
+
+def _carried_changes(before: Table, after: Table, was: dict, was_fill: dict, place: list[str]) -> DataFrame:
+    """Rows ``(removed, changed_cells, at)`` from rows that carry their originals."""
+    shared = [c for c in before.ids if c in after.ids]
+    changes = F.lit(len(before.columns) + len(after.columns) - 2 * len(shared))
+    for c in shared:
+        old, new = _comparable_values(replace(_comparable(before, c), col=F.col(was[c])), _comparable(after, c))
+        same = old.eqNullSafe(new)
+        if c in before.fills or c in after.fills:
+            fill = F.col(was_fill[c]) if c in was_fill else F.lit(None).cast("string")
+            same = same & fill.eqNullSafe(after.fill(c))
+        changes = changes + (~same).cast("int")
+    gone = F.col(GONE)
+    return after.df.select(
+        gone.alias("removed"),
+        F.when(gone, F.lit(0)).otherwise(changes).cast("bigint").alias("changed_cells"),
+        (F.struct(*place) if len(place) > 1 else F.col(place[0])).alias("at"),
+    )

@@ -66,6 +66,8 @@ class Table:
     # Whether the partitions already hold the rows in order, as after a scan
     # that numbered them. Sinks then need no sort.
     in_order: bool = False
+    # Further hidden columns that every step hands on.
+    carried: tuple[str, ...] = ()
 
     # --- construction ------------------------------------------------------
 
@@ -135,6 +137,7 @@ class Table:
 
     def hidden_names(self) -> list[str]:
         used = [k.column for k in self.order] + list(self.row_id) + [FILL + c for c in sorted(self.fills)]
+        used += self.carried
         return [n for n in dict.fromkeys(used) if n not in self.ids]
 
     def fill(self, column_id: str) -> Column:

@@ -21,7 +21,7 @@ from tablewash.operators import (
     split_column,
 )
 from tablewash.plans import apply_steps, find_issues, observe_steps
-from tablewash.reports import change_summary
+from tablewash.reports import change_summary, run_summary
 
 
 def summary(before, after):
@@ -407,6 +407,24 @@ def test_change_summary_of_a_full_run(load_csv):
     assert (same["changed_row_count"], same["changed_cell_count"], same["row_order_changed"]) == (0, 0, False)
 
 
+def test_run_summary_agrees_with_the_comparison(spark):
+    rows = [(i % 5, i, "x" if i % 3 else None, i / 2) for i in range(40)]
+    t = Table.of(spark.createDataFrame(rows, "a int, b int, s string, n double").repartition(3), ["a", "b"])
+    mark = scoped_rule(["s"], cases=[Case(lambda r, v: fx.is_empty(v), Patch("y", "#ffffff"))])
+    keep = filter_rows("keep", lambda r: fx.less_than(r["n"], 15))
+    rewrite_key = scoped_rule(["a"], default=Patch(lambda r, v: fx.add(v, 1)))
+    retype = scoped_rule(["n"], default=Patch(lambda r, v: fx.to_string(v)))
+    new = derive_column("c", "c", lambda r: fx.concat(r["s"], r["n"]))
+    for steps in (
+        [], [mark], [keep], [mark, keep, new], [rewrite_key, keep, drop_columns(["b"])], [retype, new, rename_column("s", "S")],
+        [keep, filter_rows("drop", lambda r: fx.equals(r["s"], "x"))], [sort_rows([("n", "desc")]), keep], [deduplicate_rows(["s"]), mark],
+    ):
+        expected = summary(t, apply_steps(t, steps))
+        assert run_summary(t, steps).first().asDict() == expected, steps
+    marked = mark(t)
+    assert run_summary(marked, [keep, mark]).first().asDict() == summary(marked, apply_steps(marked, [keep, mark]))
+
+
 def test_removal_moves_only_later_rows(spark):
     t = Table.of(spark.range(10).selectExpr("id", "id * 2 as x"), "id")
     out = filter_rows("drop", lambda r: fx.equals(r["id"], 6))(t)
