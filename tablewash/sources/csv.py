@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewash.functions import cells
-from tablewash.reports.profile import is_iso_date, is_iso_datetime, type_from_counts
+from tablewash.reports.profile import CODE, column_types, text_kind
 from tablewash.sources.headers import Header, normalize_headers
 from tablewash.table import OrderKey, Table
 
@@ -171,26 +171,20 @@ def _is_boolean(raw: Column) -> Column:
     return F.lower(raw).isin("true", "false")
 
 
+def _kind(raw: Column) -> Column:
+    """Code of a field: typed by its text alone, quoted or not."""
+    leading = F.substring(raw, 1, 1)
+    numeric = ((leading == "-") | leading.between("0", "9")) & raw.rlike(NUMBER)
+    boolean = F.length(raw).between(4, 5) & _is_boolean(raw)
+    return F.when(numeric, CODE["number"]).when(boolean, CODE["boolean"]).otherwise(text_kind(raw))
+
+
 def _infer(raw: DataFrame, headers: list[Header]) -> dict[str, str]:
     """Column types from one pass over all cells."""
-    measures, kinds = [], []
-    for i, header in enumerate(headers):
-        col = F.col(f"c{i}")
-        boolean, numeric = _is_boolean(col), col.rlike(NUMBER)
-        tests = {
-            "boolean": boolean,
-            "number": numeric,
-            "date": is_iso_date(col),
-            "datetime": is_iso_datetime(col),
-            "any_text": col.isNotNull() & ~boolean & ~numeric,
-        }
-        measures.append(F.count(col).alias(f"p{i}"))
-        measures += [F.count_if(t).alias(f"{k}{i}") for k, t in tests.items()]
-        kind = type_from_counts(F.col(f"p{i}"), {k: F.col(f"{k}{i}") for k in tests})
-        kinds.append(kind.alias(header.id))
     if not headers:
         return {}
-    return raw.agg(*measures).select(*kinds).first().asDict()
+    found = column_types(raw, {h.id: _kind(F.col(f"c{i}")) for i, h in enumerate(headers)})
+    return {r["column_id"]: r["logical_type"] for r in found.collect()}
 
 
 def _typed(raw: Column, kind: str) -> Column:

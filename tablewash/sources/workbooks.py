@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tablewash.functions import cells as kinds
 from tablewash.functions.cells import number_text
 from tablewash.session import scratch_path
-from tablewash.reports.profile import is_iso_date, is_iso_datetime, type_from_counts
+from tablewash.reports.profile import CODE, text_kind, type_from_kinds
 from tablewash.sources import xlsx_cells
 from tablewash.table import Table
 
@@ -212,19 +212,14 @@ def body_cells(cells: DataFrame, sheets: DataFrame, columns: DataFrame) -> DataF
 
 def sheet_types(body: DataFrame, columns: DataFrame) -> DataFrame:
     """Rows ``(path, sheet, column_id, logical_type)``."""
-    counts = {
-        "boolean": F.count_if(F.col("k") == "b"),
-        "number": F.count_if(F.col("k") == "n"),
-        "date": F.count_if(is_iso_date(F.col("s"))),
-        "datetime": F.count_if(is_iso_datetime(F.col("s"))),
-        "any_text": F.count_if(F.col("k") == "s"),
-    }
-    counted = body.groupBy(*SHEET, "column_id").agg(
-        F.count("k").alias("present"), *[c.alias(name) for name, c in counts.items()]
+    kind = F.when(F.col("k") == "b", CODE["boolean"]).when(F.col("k") == "n", CODE["number"]).otherwise(text_kind(F.col("s")))
+    found = (
+        body.select(*SHEET, "column_id", kind.alias("kind"))
+        .groupBy(*SHEET, "column_id")
+        .agg(F.bit_or("kind").alias("kinds"))
     )
-    every = columns.select(*SHEET, "column_id").join(counted, [*SHEET, "column_id"], "left")
-    kind = type_from_counts(F.coalesce("present", F.lit(0)), {name: F.col(name) for name in counts})
-    return every.select(*SHEET, "column_id", kind.alias("logical_type"))
+    every = columns.select(*SHEET, "column_id").join(found, [*SHEET, "column_id"], "left")
+    return every.select(*SHEET, "column_id", type_from_kinds(F.col("kinds")).alias("logical_type"))
 
 
 def sheet_table(cells: DataFrame, sheet: str, header_rows: dict[str, int] | None = None) -> Table:
