@@ -23,7 +23,7 @@ from tablewash.sources import (
     workbook_cells,
     workbook_warnings,
 )
-from tablewash.sources.workbooks import stored
+from tablewash.session import stored
 
 cloudpickle.register_pickle_by_value(xlsx_bytes)
 

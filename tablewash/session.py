@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
-
-from tablewash.errors import StepError
+from pyspark.sql import DataFrame, SparkSession
 
 # Date functions work in UTC; AQE re-plans shuffles from real sizes. Shuffle
 # partitions are left to the cluster: AQE coalesces them when data is small.
@@ -19,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Folders made in this process, by application, for `clear_scratch`.
+_made: dict[str, list[str]] = {}
+
 
 def prepare_session(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators rely on."""
@@ -31,16 +30,32 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder for an intermediate table, on storage every executor sees.
 
-    The cluster names the parent folder in ``spark.checkpoint.dir``. Only a
-    local session may fall back to a temporary folder of this machine.
+    The parent is the folder in ``spark.checkpoint.dir``. Where that is unset,
+    it is ``_scratch`` in the warehouse folder, which a cluster shares as well.
     """
     parent = spark.conf.get("spark.checkpoint.dir", None)
     if not parent:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
-            raise StepError(
-                "scratchFolderMissing",
-                "set spark.checkpoint.dir to a folder shared by all executors",
-            )
-        parent = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
-    return f"{parent.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        parent = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    path = f"{parent.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def stored(df: DataFrame, label: str = "stored") -> DataFrame:
+    """The frame written once to the scratch folder and read back, which cuts its lineage."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables made so far, and return how many there were.
+
+    Lazy results that still read them can't be used afterwards.
+    """
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tablewash.functions import cells as kinds
 from tablewash.functions.cells import number_text
-from tablewash.session import scratch_path
+from tablewash.session import stored
 from tablewash.reports.profile import CODE, text_kind, type_from_kinds
 from tablewash.sources import xlsx_cells
 from tablewash.table import Table
@@ -67,18 +67,6 @@ def workbook_cells(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(parse, CELLS)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written to the scratch folder.
-
-    Stored cells are parsed once, and later passes read only the columns they
-    need. Of stored sheets and columns Spark knows the size, and so whether
-    they are small enough to broadcast.
-    """
-    path = scratch_path(df.sparkSession, "stored")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _cell_text() -> Column:
     return (
         F.when(F.col("k") == "s", F.col("s"))
