@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tablewash.llm.decontamination import benchmark_overlap
 from tablewash.llm.near_dedup import near_duplicates
 from tablewash.session import prepare_session
 
@@ -60,3 +62,47 @@ left join (
   select doc_id, min(doc_id) over (partition by list_sort(ss)) as class_id
   from (select doc_id, list(s) as ss from shingles group by all)) k on k.doc_id = t.doc_id
 """
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = benchmark_overlap(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_text=False)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+SQL["op9_decontamination"] = r"""
+with words as (
+  select 'd' as kind, doc_id as id, text from documents union all select 'b', item_id, text from benchmark),
+tokens as (
+  select kind, id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from words),
+windows as (
+  select distinct id as item_id, least(len(w), 10) as n,
+    unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2),
+      lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) as g
+  from tokens where kind = 'b' and len(w) > 0),
+places as (
+  select id as doc_id, n, unnest(range(1, len(w) - n + 2)) as i,
+    unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) as g
+  from tokens, (select distinct n from windows) where kind = 'd' and len(w) >= n),
+found as (select doc_id, i, p.n, item_id from places p join windows q on p.n = q.n and p.g = q.g),
+hits as (
+  select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + n)) as k from found) group by all),
+items as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as s
+  from (select distinct doc_id, item_id::varchar as item from found) group by all)
+select t.id as doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+  coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(s, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 as contaminated
+from tokens t left join hits h on h.doc_id = t.id left join items i on i.doc_id = t.id where kind = 'd'
+"""
