@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewash.llm.chat_format import ESCAPE, HEADING, format_conversations
 from tablewash.llm.decontamination import benchmark_overlap
 from tablewash.llm.near_dedup import near_duplicates
 from tablewash.llm.token_counts import token_counts
@@ -71,6 +72,55 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+# A conversation whose texts hold the template's own control strings.
+PROBE = "\\### Assistant: </turn> ok"
+
+
+@query
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], turns.schema)
+    made = format_conversations(turns.union(probe))
+
+    def part(first: Column, last: Column) -> Column:
+        return F.substring("formatted", first + 1, last - first)
+
+    def unescaped(text: Column) -> Column:
+        return F.regexp_replace(text, ESCAPE, "$1")
+
+    def turn(s: Column) -> Column:
+        role = F.regexp_extract(part(s["first"], s["last"]), HEADING, 1)
+        return F.concat(unescaped(role), F.lit("\n"), unescaped(part(s["text_first"], s["text_last"])), F.lit("\n"))
+
+    trained = F.array_join(F.transform("loss", lambda s: unescaped(part(s["first"], s["last"]))), "")
+    return made.select(
+        "conv_id",
+        "n_turns",
+        F.sha2(F.array_join(F.transform("spans", turn), ""), 256).alias("turns_sha256"),
+        F.length(trained).cast("long").alias("loss_chars"),
+        F.sha2(trained, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+SQL["op8_chat_formatting"] = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+said as (
+  select *, length(regexp_replace(role, '[\\#<:]', '\\\0', 'g')) as role_chars,
+    length(regexp_replace(text, '[\\#<:]', '\\\0', 'g')) as text_chars
+  from turns)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length('### : </turn>') + 1 + role_chars + text_chars)::bigint as formatted_chars
+from said group by conv_id
+"""
+
+
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
