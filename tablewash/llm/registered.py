@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablewash.llm.chat_format import ESCAPE, HEADING, format_conversations
 from tablewash.llm.decontamination import benchmark_overlap
 from tablewash.llm.near_dedup import near_duplicates
+from tablewash.llm.sharding import SEED, interleaved_shards
 from tablewash.llm.token_counts import token_counts
 from tablewash.session import prepare_session
 
@@ -72,6 +73,49 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = interleaved_shards(documents(spark, sf_dir))
+    return made.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+# The checksum's table by its rule (eight halvings, with the reversed polynomial
+# 0xEDB88320 where a bit falls out), then one step per byte of the text.
+SQL["op6_sharding"] = rf"""
+with table_ as (
+  select list(list_reduce([i] || range(8), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)
+    order by i) as t
+  from range(256) r(i)),
+checked as (
+  select doc_id, source, coalesce(text, '') as s, hex(encode(coalesce(text, ''))) as h from documents),
+bytes as (
+  select doc_id, source, octet_length(encode(s)) as n,
+    list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i:i + 1])::bigint) as b
+  from checked),
+rows_ as (
+  select doc_id, source, n + 1 as size, md5('{SEED}:' || doc_id) as k,
+    xor(list_reduce([4294967295::bigint] || b, lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295) as crc
+  from bytes, table_),
+ranked as (
+  select *, (2 * row_number() over (partition by source order by k, doc_id) - 1)
+    / (2 * count(*) over (partition by source)) as rank
+  from rows_),
+placed as (
+  select *, row_number() over (order by rank, 's' || source, k, doc_id) - 1 as p, count(*) over () as n from ranked)
+select doc_id, size::bigint as size, crc::bigint as text_crc32, 'rows' as law, (p * 16 // n)::int as shard,
+  (p - ((p * 16 // n) * n + 15) // 16)::bigint as slot, null::int as grown_shard
+from placed
+"""
+
+
 # A conversation whose texts hold the template's own control strings.
 PROBE = "\\### Assistant: </turn> ok"
 
