@@ -46,8 +46,9 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 class Settings:
     """``share`` is the similarity in hundredths. ``deviations`` is the margin of
     the radius over its mean at that similarity, in standard deviations. Buckets of
-    up to ``pairs_up_to`` members are paired by a join, larger ones in blocks of
-    ``block``; either way gives the same pairs. Ids are broadcast up to
+    up to ``pairs_up_to`` members are paired by a join. Larger ones that share members
+    form a family, which is compared as a whole up to ``family`` members and bucket
+    by bucket beyond, in blocks of ``block``; every way finds the same links. Ids are broadcast up to
     ``broadcast_rows`` of them (16 bytes each) and joined by a shuffle beyond."""
 
     share: int = 75
@@ -55,7 +56,8 @@ class Settings:
     chunks: int = 26
     deviations: float = 4.0
     pairs_up_to: int = 32
-    block: int = 512
+    family: int = 16_384
+    block: int = 1024
     broadcast_rows: int = 1_000_000
 
     @property
@@ -272,13 +274,35 @@ def _each(column: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
             end += n
 
 
-def _cells(members: DataFrame, settings: Settings) -> DataFrame:
-    """Large buckets cut into cells. A cell is a pair of blocks of a bucket, or one
-    block with itself, so a task holds at most two blocks whatever the bucket's size."""
+def _units(large: DataFrame, settings: Settings) -> DataFrame:
+    """What large buckets are compared by: ``(key, choice, size, id, component)``.
+
+    A near-copy family meets in most of its keys, so its buckets hold each member
+    many times. The buckets are joined over common members, and a joint family
+    with a bounded number of members is one unit, of choice -1. The buckets of
+    larger families stay units of their own.
+    """
+    families = stored(
+        connected_components(large.select(F.col("id").alias("a"), F.col("pivot").alias("b"))), "families"
+    ).toDF("id", "family")
+    sizes = families.groupBy("family").agg(F.count("*").alias("members"))
+    families = families.join(sizes, "family")
+    joint = (
+        large.select("id", "component")
+        .distinct()
+        .join(families.filter(F.col("members") <= settings.family), "id")
+        .select(F.col("family").alias("key"), F.lit(-1).alias("choice"), F.col("members").alias("size"), "id", "component")
+    )
+    rest = large.join(families.filter(F.col("members") > settings.family), "id", "left_semi")
+    return joint.union(rest.select("key", "choice", "size", "id", "component"))
+
+
+def _cells(units: DataFrame, settings: Settings) -> DataFrame:
+    """Units cut into cells. A cell is a pair of blocks of a unit, or one block with
+    itself, so a task holds at most two blocks whatever the unit's size."""
     blocks = F.ceil(F.col("size") / settings.block).cast("int")
     return (
-        members.filter(F.col("size") > settings.pairs_up_to)
-        .withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+        units.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
         .select("key", "choice", "cell", "own", "id", "component")
@@ -287,14 +311,15 @@ def _cells(members: DataFrame, settings: Settings) -> DataFrame:
 
 def _own_pairs(group: pa.Table, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """The places of pairs of a cell, closest first, between groups, within the
-    radius, and for which this bucket's key is the first one that both have."""
+    radius, and, in a bucket, for which its key is the first one that both have."""
     component, own = group["component"].to_numpy(), group["own"].to_numpy()
     slots = _slots(group["signature"].combine_chunks(), settings.slots)
     choice, selections = int(group["choice"][0].as_py()), settings.selections()
-    edges = np.array(settings.edges())
-    chunk = int(np.searchsorted(edges, selections[choice][0], side="right")) - 1
+    edges, chunk, before = np.array(settings.edges()), 0, []
+    if choice >= 0:
+        chunk = int(np.searchsorted(edges, selections[choice][0], side="right")) - 1
+        before = [np.array(s) for s in selections[:choice] if s[0] >= edges[chunk]]
     enough = np.diff(edges)[:chunk] - settings.errors
-    before = [np.array(s) for s in selections[:choice] if s[0] >= edges[chunk]]
     first, second = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
     found = []
     for i in first:
@@ -346,12 +371,13 @@ def _across(unsettled: DataFrame, classes: DataFrame, texts: DataFrame, settings
         places = np.array(links, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": ids[places[:, 0]], "b": ids[places[:, 1]]})
 
-    signed = _cells(unsettled, settings).join(classes.select("id", "signature"), "id")
+    large = unsettled.filter(F.col("size") > settings.pairs_up_to)
+    signed = _cells(_units(large, settings), settings).join(classes.select("id", "signature"), "id")
     columns = "key long, choice int, cell int, own int, id long, component long, signature binary"
-    chosen = stored(signed.groupBy("key", "cell").applyInArrow(needed, columns), "cells")
+    chosen = stored(signed.groupBy("key", "choice", "cell").applyInArrow(needed, columns), "cells")
     return (
         chosen.join(_texts_of(chosen.select("id").distinct(), classes, texts, settings), "id")
-        .groupBy("key", "cell")
+        .groupBy("key", "choice", "cell")
         .applyInArrow(confirm, "a long, b long")
     )
 
@@ -360,7 +386,7 @@ def _unsettled(buckets: DataFrame, links: DataFrame) -> DataFrame:
     """The buckets that hold several groups, with each member's group."""
     groups = stored(connected_components(links), "groups").withColumnRenamed("node", "id")
     component = F.coalesce("component", "id").alias("component")
-    placed = buckets.join(groups, "id", "left").select("key", "choice", "size", "id", component)
+    placed = buckets.join(groups, "id", "left").select("key", "choice", "pivot", "size", "id", component)
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     return stored(placed.join(several.filter("low <> high").select("key"), "key"), "unsettled")
 
