@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablewash.llm.chat_format import ESCAPE, HEADING, format_conversations
 from tablewash.llm.decontamination import benchmark_overlap
 from tablewash.llm.near_dedup import near_duplicates
+from tablewash.llm.quality_rules import quality_rules, trusted_ids
 from tablewash.llm.sharding import SEED, interleaved_shards
 from tablewash.llm.token_counts import token_counts
 from tablewash.session import prepare_session
@@ -68,6 +69,12 @@ left join (
 """
 
 
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules(documents(spark, sf_dir).select("doc_id", "text"), trusted_ids(labels)).drop("text")
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
