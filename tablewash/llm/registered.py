@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablewash.llm.chat_format import ESCAPE, HEADING, format_conversations
 from tablewash.llm.decontamination import benchmark_overlap
 from tablewash.llm.near_dedup import near_duplicates
+from tablewash.llm.quality_classifier import classify
 from tablewash.llm.quality_rules import quality_rules, trusted_ids
 from tablewash.llm.sharding import SEED, interleaved_shards
 from tablewash.llm.token_counts import token_counts
@@ -214,3 +215,9 @@ select t.id as doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as
   coalesce(n_hit, 0) > 0 as contaminated
 from tokens t left join hits h on h.doc_id = t.id left join items i on i.doc_id = t.id where kind = 'd'
 """
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return classify(documents(spark, sf_dir), labels, keep=["doc_id"])
