@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewash.llm.class_model import class_model_scores
 from tablewash.llm.chat_format import ESCAPE, HEADING, format_conversations
 from tablewash.llm.decontamination import benchmark_overlap
 from tablewash.llm.near_dedup import near_duplicates
@@ -124,6 +125,11 @@ from placed
 """
 
 
+@query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_model_scores(documents(spark, sf_dir))
+
+
 # A conversation whose texts hold the template's own control strings.
 PROBE = "\\### Assistant: </turn> ok"
 
