@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablewash.llm.class_model import class_model_scores
 from tablewash.llm.chat_format import ESCAPE, HEADING, format_conversations
 from tablewash.llm.decontamination import benchmark_overlap
+from tablewash.llm.language_id import identify_languages
 from tablewash.llm.near_dedup import near_duplicates
 from tablewash.llm.quality_classifier import classify
 from tablewash.llm.quality_rules import quality_rules, trusted_ids
@@ -77,6 +78,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir).select("doc_id", "text"), trusted_ids(labels)).drop("text")
 
 
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(documents(spark, sf_dir))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
