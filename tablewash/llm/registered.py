@@ -13,6 +13,7 @@ from tablewash.llm.chat_format import ESCAPE, HEADING, format_conversations
 from tablewash.llm.decontamination import benchmark_overlap
 from tablewash.llm.language_id import identify_languages
 from tablewash.llm.near_dedup import near_duplicates
+from tablewash.llm.packing import pack_documents
 from tablewash.llm.quality_classifier import classify
 from tablewash.llm.quality_rules import quality_rules, trusted_ids
 from tablewash.llm.sharding import SEED, interleaved_shards
@@ -83,6 +84,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(documents(spark, sf_dir))
 
 
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
