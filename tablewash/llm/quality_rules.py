@@ -37,6 +37,12 @@ def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
+def _in_place(value: Column) -> Column:
+    """The value, in a form that the optimizer does not copy into a filter above: a
+    filter on a measure would otherwise evaluate a text's arrays once per element."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def base_measures(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` with the word hashes ``__h`` and the measures of each text."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -65,7 +71,7 @@ def base_measures(docs: DataFrame, text: str) -> DataFrame:
         F.transform(places, lambda k: F.transform(F.array(*map(F.lit, range(3))), lambda d: F.get("__s", k)["i"] + d))
     )
     repeat = F.when(F.col("__s").isNull(), 0).otherwise(F.size(F.array_distinct(covered))).cast("long")
-    return placed.withColumn("n_repeat_words", repeat).drop("__w", "__s")
+    return placed.withColumn("n_repeat_words", _in_place(repeat)).drop("__w", "__s")
 
 
 def _ngrams(hashes: str) -> Column:
@@ -138,7 +144,7 @@ def quality_rules(
     score = F.when(F.size("__b") > 0, total / F.size("__b")).otherwise(0.0) if any_trusted else F.lit(0.0)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words"))
     return (
-        measured.withColumn("score", score)
+        measured.withColumn("score", _in_place(score))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
         .drop("__h", "__b", "__r")
