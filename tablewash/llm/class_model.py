@@ -1,6 +1,6 @@
 """Language-model scores of a Brown class model: class transitions and word emissions.
 
-1. *Blocks.* One pass turns texts into blocks of about a million tokens: each block
+1. *Blocks.* One pass turns texts into blocks of about half a million tokens: each block
    keeps its distinct words as hashes with their training counts, and its tokens
    as places in that dictionary. Later passes read blocks, never texts.
 2. *Units.* The most frequent words are units of their own, all others fall into
@@ -29,7 +29,7 @@ from pyspark.sql import Window
 from tablewash.llm.words import is_space_free, mixed, slices, utf8, words_of
 from tablewash.session import stored
 
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 FREQUENT = 256
 ENDINGS = 256
 CLASSES = 48
@@ -79,7 +79,7 @@ def _tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         yield hashes, units, count
 
 
-_BLOCK = "block string, ids array<long>, train array<boolean>, sizes binary, words long, tokens binary, hashes binary, counts binary, units binary"
+_BLOCK = "block long, ids array<long>, train array<boolean>, sizes binary, words long, tokens binary, hashes binary, counts binary, units binary"
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -99,7 +99,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rank[order] = np.arange(len(order))
             counts = np.bincount(place, weights=learned, minlength=len(names))[order]
             row = [
-                f"{TaskContext.get().partitionId()}-{number}",
+                (TaskContext.get().partitionId() << 32) + number,
                 ids.to_pylist(),
                 train.to_pylist(),
                 size.astype("<i8").tobytes(),
@@ -114,7 +114,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     pa.array([value], kind)
                     for value, kind in zip(
                         row,
-                        [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.int64(), *[pa.binary()] * 4],
+                        [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.int64(), *[pa.binary()] * 4],
                     )
                 ],
                 names=["block", "ids", "train", "sizes", "words", "tokens", "hashes", "counts", "units"],
@@ -162,7 +162,7 @@ def _entries(parts: DataFrame) -> DataFrame:
                     n = min(50_000, len(hashes) - low)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([block] * n),
+                            pa.array(np.full(n, block, dtype=np.int64)),
                             pa.array(np.arange(low, low + n, dtype=np.int32)),
                             pa.array(hashes[low : low + n].view(np.int64)),
                             pa.array(units[low : low + n].astype(np.int16)),
@@ -172,7 +172,7 @@ def _entries(parts: DataFrame) -> DataFrame:
                     )
 
     return parts.select("block", "hashes", "counts", "units").mapInArrow(
-        explode, "block string, place int, hash long, unit short, count long"
+        explode, "block long, place int, hash long, unit short, count long"
     )
 
 

@@ -272,7 +272,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
 def _overlap(docs: DataFrame, bench: Benchmark, text_col: str, first: bool, with_text: bool) -> DataFrame:
     if text_col in _FOUND.names:
         raise StepError("invalidColumnId", f"the text column can't be named {text_col}")
-    names = [c for c in docs.columns if c not in _FOUND.names]
+    names = [c for c in docs.columns if c.lower() not in _FOUND.names]
     held = names if first else names + list(_FOUND.names)
     kept = [k for k, c in enumerate(names) if with_text or c != text_col]
     shared = docs.sparkSession.sparkContext.broadcast(bench)
@@ -307,4 +307,5 @@ def _overlap(docs: DataFrame, bench: Benchmark, text_col: str, first: bool, with
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold any window of the benchmark, its columns as they were."""
-    return benchmark_overlap(docs, benchmark, text_col).filter("n_hit = 0").select(*docs.columns)
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    return benchmark_overlap(row, benchmark, with_text=False).filter("n_hit = 0").select("row.*")

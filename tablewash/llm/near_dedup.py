@@ -471,5 +471,5 @@ def near_duplicates(
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near duplicates, its columns as
     they were. Of rows that repeat an id, all stay or all go."""
-    gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col))
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

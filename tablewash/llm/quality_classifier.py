@@ -185,9 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(rows, np.array(sample["good"].to_pylist(), dtype=np.float64))
 
 
-def with_evidence(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs``, or its columns ``keep``, with the model's log-odds as ``evidence``."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "evidence"]
+def with_evidence(docs: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the model's log-odds as ``evidence``."""
     fields = docs.select(*keep).schema.fields
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -269,18 +268,17 @@ def classify(
     both kinds, the model says the same of all texts. An empty table gives no rows.
     Columns of ``docs`` with the result's names are replaced.
     """
-    made = ("evidence", "host", "path", "host_good", "path_good", "score", "kept", "shift")
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    made = ("evidence", "host", "path", "host_good", "path_good", "score", "kept")
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
     sited = docs.select(
-        *keep,
-        *[F.col(c).alias(f"__{c}") for c in [text_col]],
+        F.struct(*keep).alias("row"),
+        F.col(text_col).alias("text"),
         host_of(F.col(source_col)).alias("host"),
         path_of(F.col(source_col), F.col(section_col)).alias("path"),
     )
     model = train(docs, labels, id_col, text_col)
-    narrow = with_evidence(sited, model, f"__{text_col}", ["host", "path"])
-    sites = site_rates(narrow)
-    scored = with_evidence(sited, model, f"__{text_col}", [*keep, "host", "path"]).join(sites, ["host", "path"])
+    sites = site_rates(with_evidence(sited, model, "text", ["host", "path"]))
+    scored = with_evidence(sited, model, "text", ["row", "host", "path"]).join(sites, ["host", "path"])
     return scored.withColumn("score", F.col("evidence") + F.col("shift")).select(
-        *keep, *made[:5], "score", (F.col("score") >= min_log_odds).alias("kept")
+        "row.*", *made[:5], "score", (F.col("score") >= min_log_odds).alias("kept")
     )

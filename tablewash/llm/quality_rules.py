@@ -21,7 +21,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 17
 PSEUDO_COUNT = 10.0
-THRESHOLD = -0.1
+THRESHOLD = -0.15
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 50
 # Trusted ids up to this many (8 bytes each) are broadcast, more are joined by a shuffle.
@@ -137,7 +137,9 @@ def quality_rules(
     """
     ratios = ngram_ratios(docs, trusted, id_col, text_col)
     any_trusted = ~trusted.isEmpty()
-    measured = base_measures(docs, text_col).withColumn("__b", _ngrams("__h"))
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
+    row = F.struct(*[c for c in docs.columns if c.lower() not in made]).alias("row")
+    measured = base_measures(docs.select(row, F.col(text_col).alias("text")), "text").withColumn("__b", _ngrams("__h"))
     # A subquery can't stand inside a lambda, so the table becomes a column first.
     measured = measured.withColumn("__r", ratios.scalar())
     total = F.aggregate("__b", F.lit(0.0), lambda acc, b: acc + F.get("__r", b))
@@ -147,7 +149,7 @@ def quality_rules(
         measured.withColumn("score", _in_place(score))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-        .drop("__h", "__b", "__r")
+        .select("row.*", *made)
     )
 
 
