@@ -136,7 +136,7 @@ def quality_rules(
     with the result's names are replaced.
     """
     ratios = ngram_ratios(docs, trusted, id_col, text_col)
-    any_trusted = ~trusted.isEmpty()
+    any_trusted = not trusted.isEmpty()
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     row = F.struct(*[c for c in docs.columns if c.lower() not in made]).alias("row")
     measured = base_measures(docs.select(row, F.col(text_col).alias("text")), "text").withColumn("__b", _ngrams("__h"))

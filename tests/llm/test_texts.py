@@ -187,14 +187,28 @@ def test_class_model_is_a_distribution():
     assert t.label[class_model.END_UNIT] == 0 and (t.label[:-1] > 0).all()
 
 
-def test_exchange_raises_the_likelihood():
+def likelihood(n, label, classes):
+    one = np.zeros((len(n), classes))
+    one[np.arange(len(n)), label] = 1
+    f = lambda x: (x * np.log(np.maximum(x, 1e-12))).sum()
+    pair = one.T @ n @ one
+    return f(pair) - f(pair.sum(0)) - f(pair.sum(1))
+
+
+def test_exchange_ends_where_no_move_helps():
     rng = np.random.default_rng(4)
     # Two kinds of words that alternate, and an end.
     n = np.zeros((41, 41), dtype=np.int64)
     n[:20, 20:40] = rng.integers(5, 50, (20, 20))
     n[20:40, :20] = rng.integers(5, 50, (20, 20))
-    label = exchange_classes(n, classes=3)
-    assert len(set(label[:20])) == 1 and len(set(label[20:40])) == 1 and label[0] != label[20] and label[40] == 0
+    label = exchange_classes(n, classes=6)
+    assert not set(label[:20]) & set(label[20:40]) and label[40] == 0
+    reached = likelihood(n, label, 6)
+    for u in range(40):
+        for c in range(1, 6):
+            moved = label.copy()
+            moved[u] = c
+            assert likelihood(n, moved, 6) <= reached + 1e-6
 
 
 def overlap(texts, items, window=10):
