@@ -66,6 +66,38 @@ def date_add_overflow(spark, sf_dir):
     return apply_steps(orders, steps).df.select("o_orderkey", *wanted)
 
 
+def _far(day: str) -> str:
+    """ISO text of a day at midnight, in years of any length."""
+    year = f"year({day})"
+    return (
+        f"case when {year} between 0 and 9999 then lpad({year}::varchar, 4, '0') "
+        f"else case when {year} < 0 then '-' else '+' end || lpad(abs({year})::varchar, 6, '0') end "
+        f"|| '-' || lpad(month({day})::varchar, 2, '0') || '-' || lpad(day({day})::varchar, 2, '0') || 'T00:00:00.000Z'"
+    )
+
+
+@query(
+    f"""with a as (select o_orderkey, o_orderdate::date as d, (o_orderkey % 5 - 2)::int as k from orders),
+    x as (select o_orderkey, k, d + k * 40000000 as days, make_date(year(d) + k * 100000, month(d), 1) + (day(d) - 1)::int as years,
+      make_date(year(d) + (month(d) - 1 + k * 1000001) // 12, (month(d) - 1 + k * 1000001) % 12 + 1, 1) + (day(d) - 1)::int as months from a where k >= 0
+      union all select o_orderkey, k, d + k * 40000000, make_date(year(d) + k * 100000, month(d), 1) + (day(d) - 1)::int,
+      make_date(year(d) + (month(d) - 1 + k * 1000001 + 12000000) // 12 - 1000000, (month(d) - 1 + k * 1000001 + 12000000) % 12 + 1, 1) + (day(d) - 1)::int
+      from a where k < 0)
+    select o_orderkey, {_far("days")} as days, {_far("years")} as years, {_far("months")} as months,
+      null::varchar as too_far from x"""
+)
+def date_add_extremes(spark, sf_dir):
+    """Amounts that lead up to 219,000 years away, and one past the last moment."""
+    k = F.pmod("o_orderkey", F.lit(5)) - 2
+    days = scan(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderdate").cast("date").alias("d"), k.cast("double").alias("k"), F.lit(2e11).alias("far")
+    )
+    wanted = {"days": 40_000_000, "years": 100_000, "months": 1_000_001}
+    steps = [derive_column(u, u, lambda r, u=u, n=n: fx.date_add(r["d"], fx.multiply(r["k"], n), u)) for u, n in wanted.items()]
+    steps.append(derive_column("too_far", "too_far", lambda r: fx.date_add(r["d"], r["far"], "days")))
+    return apply_steps(Table.of(days, "o_orderkey"), steps).df.select("o_orderkey", *wanted, "too_far")
+
+
 @query(
     """with m as (select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as d from orders),
     t as (select o_orderkey, case o_orderkey % 6 when 0 then d when 1 then ' ' || d || 'T08:30 ' when 2 then d || 'T08:30:15.250Z'

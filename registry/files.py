@@ -8,7 +8,7 @@ from registry import xlsx_bytes
 from registry.common import MESSY_CUSTOMERS, messy_customers, query, scan, table
 from registry.xlsx_bytes import DATETIME_STYLE, Formula, Serial, workbook_bytes
 from tablewash import Table
-from tablewash.operators import drop_columns, sort_rows
+from tablewash.operators import sort_rows
 from tablewash.session import scratch_path
 from tablewash.sinks import write_csv, write_parquet
 from tablewash.sources import (
@@ -37,29 +37,39 @@ def _csv(spark, source: Table, **settings) -> str:
 @query(
     f"""with m as ({MESSY_CUSTOMERS})
     select c_custkey::double as col_c_custkey, coalesce(email, '') as col_email, coalesce(email_2, '') as col_email_2,
-      coalesce(status, '') as col_status, vip as col_vip, full_name as col_full_name, nation::double as col_nation from m"""
+      coalesce(status, '') as col_status, case when balance <> 'n/a' then balance::double end as number,
+      case when balance is null or balance = 'n/a' then coalesce(balance, '') end as text, vip as col_vip,
+      full_name as col_full_name, nation::double as col_nation from m"""
 )
 def csv_roundtrip(spark, sf_dir):
-    """Nulls come back as empty text."""
-    return read_csv(spark, _csv(spark, drop_columns(["balance"])(messy_customers(spark, sf_dir)))).to_df()
+    """Nulls come back as empty text, and a column of numbers and texts as both."""
+    return _apart(read_csv(spark, _csv(spark, messy_customers(spark, sf_dir))).to_df())
+
+
+def _apart(df):
+    """The mixed balance as its two kinds."""
+    number, text = F.col("col_balance.n").alias("number"), F.col("col_balance.s").alias("text")
+    return df.select("*", number, text).drop("col_balance")
 
 
 @query(
     f"""with m as ({MESSY_CUSTOMERS})
     select c_custkey::double as col_c_custkey, email as col_email, email_2 as col_email_2, status as col_status, vip as col_vip,
+      case when balance <> 'n/a' then balance::double end as number, case when balance = 'n/a' then balance end as text,
       full_name as col_full_name, nation::double as col_nation from m"""
 )
 def csv_roundtrip_keeping_nulls(spark, sf_dir):
-    source = drop_columns(["balance"])(messy_customers(spark, sf_dir))
-    return read_csv(spark, _csv(spark, source, keep_nulls=True), quoted_newlines=False).to_df()
+    return _apart(read_csv(spark, _csv(spark, messy_customers(spark, sf_dir), keep_nulls=True)).to_df())
 
 
-@query("select doc_id::double as col_doc_id, lang as col_lang, md5(text) as text_md5, length(text)::bigint as text_length from documents")
+@query(
+    """select doc_id::double as col_doc_id, lang as col_lang, source as col_source, n_chars::double as col_n_chars,
+      md5(text) as text_md5, length(text)::bigint as text_length from documents"""
+)
 def csv_roundtrip_of_texts(spark, sf_dir):
     """Whole texts with line breaks, quotes and commas."""
-    source = Table.of(scan(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
-    df = read_csv(spark, _csv(spark, source)).to_df()
-    return df.select("col_doc_id", "col_lang", F.md5("col_text").alias("text_md5"), F.length("col_text").cast("bigint").alias("text_length"))
+    df = read_csv(spark, _csv(spark, table(spark, sf_dir, "documents", "doc_id"))).to_df()
+    return df.select("col_doc_id", "col_lang", "col_source", "col_n_chars", F.md5("col_text").alias("text_md5"), F.length("col_text").cast("bigint").alias("text_length"))
 
 
 def _lines(spark, df, header: str) -> str:
@@ -91,7 +101,7 @@ def csv_ragged_lines(spark, sf_dir):
         .otherwise(F.concat_ws(",", key, price, flag, F.col("p_name")))
     )
     path = _lines(spark, scan(spark, sf_dir, "part").select(line.alias("line")), "id,price,flag")
-    return read_csv(spark, path, quoted_newlines=False).to_df()
+    return read_csv(spark, path).to_df()
 
 
 @query(
@@ -128,7 +138,7 @@ def _untidy_import(spark, sf_dir):
         F.when(key % 2 == 0, F.lit("True")).otherwise(F.lit("FALSE")),
     )
     path = _lines(spark, scan(spark, sf_dir, "events").select(line.alias("line")), "id,Mail, mail ,,seen  at,  ,ok")
-    return import_csv(spark, path, quoted_newlines=False)
+    return import_csv(spark, path)
 
 
 @query("select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")

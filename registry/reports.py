@@ -17,8 +17,10 @@ from tablewash.operators import (
     scoped_rule,
     sort_rows,
 )
-from tablewash.plans import apply_steps, observe_steps
+from tablewash.plans import apply_steps, count_steps
 from tablewash.reports import change_summary, compare_rows, dense_positions, infer_types, profile, run_summary
+from tablewash.session import scratch_path
+from tablewash.sinks import write_csv, write_parquet
 
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 
@@ -113,16 +115,21 @@ def rule_metrics(spark, sf_dir):
     return FILL_STATUS.metrics(messy_customers(spark, sf_dir))
 
 
-@query(
-    f"""with a as ({RULE_COUNTS}), m as ({MESSY_CUSTOMERS})
+STEP_METRICS = f"""with a as ({RULE_COUNTS}), m as ({MESSY_CUSTOMERS})
     select 'fill' as step_id, 'scopedRule' as step_type, a.* from a
     union all select 'drop', 'filterRows', 0, 0, 0, 0
     union all select 'mark', 'scopedRule', count(*), 0, count(*), count(*) from m
       where balance = 'n/a' and not (email is null or email = '') or balance = 'n/a' and nation < 20"""
-)
+
+
+@query(STEP_METRICS)
 def step_metrics(spark, sf_dir):
-    """Counts of every step of a run, gathered by the one job that writes it."""
-    run = observe_steps(
+    """Counts of every step of a run."""
+    return _metrics(spark, _metered(spark, sf_dir))
+
+
+def _metered(spark, sf_dir):
+    return count_steps(
         messy_customers(spark, sf_dir),
         [
             FILL_STATUS.named("fill"),
@@ -130,12 +137,29 @@ def step_metrics(spark, sf_dir):
             scoped_rule(["balance"], cases=[Case(lambda r, v: fx.equals(v, "n/a"), Patch(fill="#ffcccc"))]).named("mark"),
         ],
     )
-    run.table.to_df().write.format("noop").mode("overwrite").save()
+
+
+def _metrics(spark, run):
     rows = [tuple(s.values()) for s in run.summaries()]
     names = "matched_cell_count bigint, value_changed_cell_count bigint, format_changed_cell_count bigint, changed_cell_count bigint"
     return spark.createDataFrame(rows, f"step_id string, step_type string, {names}")
 
 
+@query(STEP_METRICS)
+def step_metrics_sorted_csv(spark, sf_dir):
+    """The same counts where the result is sorted and written as CSV before they are read."""
+    run = _metered(spark, sf_dir)
+    write_csv(sort_rows([("full_name", "desc")])(run.table), scratch_path(spark, "csv"))
+    return _metrics(spark, run)
+
+
+@query(STEP_METRICS)
+def step_metrics_ordered_parquet(spark, sf_dir):
+    run = _metered(spark, sf_dir)
+    write_parquet(sort_rows([("balance", "asc")])(run.table), scratch_path(spark, "parquet"), ordered=True)
+    return _metrics(spark, run)
+
+
 def _flat(summary):
     return summary.withColumn("created_column_ids", F.concat_ws(",", "created_column_ids"))
 

@@ -1,6 +1,6 @@
 """Whole step lists, as code and as documents, and sequences of them."""
 
-from registry.common import MESSY_CUSTOMERS, messy_customers, query, sql_trim
+from registry.common import MESSY_CUSTOMERS, MESSY_ORDERS, messy_customers, messy_orders, query, sql_trim
 from tablewash import functions as fx
 from tablewash.operators import (
     Case,
@@ -16,36 +16,34 @@ from tablewash.operators import (
 from tablewash.plans import Package, Workflow, apply_steps, package_from_document, run_sequence
 from tablewash.reports import dense_positions
 
-CLEAN = f"""with m as ({MESSY_CUSTOMERS}),
-    t as (select *, lower({sql_trim("email")}) as e1, lower({sql_trim("email_2")}) as e2, {sql_trim("status")} as s1 from m),
-    f as (select *, case when e1 is null or e1 = '' then e2 else e1 end as e, case when s1 is null or s1 = '' then 'unknown' else s1 end as s from t)"""
-
+# One debtor per nation and standing: VIPs, and whoever owes or has an unreadable balance.
 CLEANUP_STEPS = [
-    comment("normalise text, recover missing addresses, fill defaults, keep one row per address"),
-    scoped_rule(["email", "email_2"], default=Patch(lambda r, v: fx.lower(fx.trim(v)))),
-    scoped_rule(["status"], default=Patch(lambda r, v: fx.collapse_whitespace(fx.trim(v)))),
-    scoped_rule(["email"], default=Patch(lambda r, v: fx.coalesce(v, r["email_2"]))),
-    scoped_rule(["status"], default=Patch(lambda r, v: fx.coalesce(v, "unknown"))),
-    derive_column("title", "title", lambda r: fx.concat(fx.coalesce(r["status"], ""), " ", fx.coalesce(r["full_name"], ""))),
-    filter_rows("drop", lambda r: fx.is_empty(r["email"])),
-    deduplicate_rows(["email"]),
-    sort_rows([("nation", "desc"), ("full_name", "asc")]),
+    scoped_rule(["balance"], cases=[Case(lambda r, v: fx.equals(v, "n/a"), Patch(None))]),
+    derive_column("owed", "Owed", lambda r: fx.subtract(0, fx.to_number(r["balance"]))),
+    scoped_rule(
+        ["status"],
+        default=Patch(lambda r, v: fx.upper(fx.coalesce(fx.trim(v), r["email_2"], "unset"))),
+        where=lambda r: fx.not_(r["vip"]),
+    ),
+    filter_rows("keep", lambda r: fx.or_(r["vip"], fx.less_than(r["owed"], 0))),
+    comment("the largest debt of each nation and standing speaks for it"),
+    sort_rows([("owed", "desc")]),
+    deduplicate_rows(["nation", "status"]),
 ]
+KEPT = f"""with m as ({MESSY_CUSTOMERS}),
+    o as (select *, 0 - try_cast(case when balance <> 'n/a' then {sql_trim("balance")} end as double) as owed,
+      case when vip then status else upper(coalesce(nullif({sql_trim("status")}, ''), nullif(email_2, ''), 'unset')) end as s from m),
+    d as (select *, row_number() over (partition by nation, s order by owed desc nulls last, c_custkey) as n
+      from o where vip or coalesce(owed < 0, true))"""
 
 
-@query(
-    f"""{CLEAN}, d as (select *, row_number() over (partition by e order by c_custkey) as n from f where e is not null and e <> '')
-    select c_custkey, e as email, s as status, s || ' ' || full_name as title, nation from d where n = 1"""
-)
+@query(f"{KEPT} select c_custkey, s as status, owed, nation from d where n = 1")
 def customer_cleanup(spark, sf_dir):
     out = apply_steps(messy_customers(spark, sf_dir), CLEANUP_STEPS)
-    return out.df.select("c_custkey", "email", "status", "title", "nation")
+    return out.df.select("c_custkey", "status", "owed", "nation")
 
 
-@query(
-    f"""{CLEAN}, d as (select *, row_number() over (partition by e order by c_custkey) as n from f where e is not null and e <> '')
-    select c_custkey, row_number() over (order by nation desc, full_name, c_custkey) - 1 as position from d where n = 1"""
-)
+@query(f"{KEPT} select c_custkey, row_number() over (order by owed desc nulls last, c_custkey) - 1 as position from d where n = 1")
 def customer_cleanup_order(spark, sf_dir):
     return dense_positions(apply_steps(messy_customers(spark, sf_dir), CLEANUP_STEPS))
 
@@ -67,9 +65,6 @@ def when(test, then):
 
 
 VALUE, CASE = {"kind": "value"}, {"kind": "caseValue"}
-AT_RISK = call("equals", col("tier"), lit("at-risk"))
-
-
 def rule(step_id, column_id, **parts):
     return {"id": step_id, "type": "scopedRule", "columnIds": [column_id], **parts}
 
@@ -79,57 +74,52 @@ def derive(step_id, column_id, expression):
     return {"id": step_id, "type": "deriveColumn", "newColumn": new, "expression": expression}
 
 
-READINESS = {
+# Which desk an order goes to, how urgent it is there, and what is odd about it.
+ORDER_DESK = {
     "version": 2,
-    "workflowId": "readiness",
-    "name": "Contact readiness",
+    "workflowId": "order_desk",
+    "name": "Order desk",
     "steps": [
-        rule("mail", "email", defaultPatch={"value": call("lower", call("trim", call("coalesce", call("trim", VALUE), call("trim", col("email_2")))))}),
-        derive("digits", "digits", call("replaceRegex", call("coalesce", col("full_name"), lit("")), lit("[^0-9]"), lit(""))),
-        derive("way", "way", {
-            "kind": "match",
-            "subject": col("email"),
-            "cases": [
-                when(call("contains", CASE, lit("@")), lit("email")),
-                when(call("and", call("isEmpty", CASE), call("matchesRegex", col("digits"), lit("[02468]$"))), lit("sms")),
-                {"kind": "otherwise", "then": lit("none")},
-            ],
-        }),
-        derive("tier", "tier", {
+        rule("tidy", "priority", defaultPatch={"value": call("coalesce", call("collapseWhitespace", call("trim", VALUE)), lit("9-NONE"))}),
+        derive("rank", "rank", call("toNumber", call("first", col("priority")))),
+        derive("desk", "desk", {
             "kind": "match",
-            "subject": call("toNumber", col("balance")),
+            "subject": col("price"),
             "cases": [
-                when(call("and", call("equals", col("vip"), lit(True)), call("equals", call("lower", call("trim", col("status"))), lit("active"))), lit("vip-active")),
-                when(call("lessThan", CASE, lit(0)), lit("at-risk")),
-                {"kind": "otherwise", "then": lit("standard")},
+                when(call("greaterThan", CASE, lit(250000)), call("concat", lit("large-"), col("o_orderstatus"))),
+                when(call("and", call("lessThan", CASE, lit(50000)), call("not", call("isEmpty", CASE))), lit("counter")),
+                when(call("isEmpty", CASE), lit("pricing")),
+                {"kind": "otherwise", "then": lit("floor")},
             ],
         }),
-        rule("risk", "status", rowCondition=AT_RISK, cases=[
-            {"when": call("isEmpty", VALUE), "then": {"format": {"fillColor": "#FFEB9C"}}},
-            {"when": call("not", call("isEmpty", VALUE)), "then": {"value": call("lower", call("trim", VALUE)), "format": {"fillColor": "#ffeb9c"}}},
+        rule("urgent", "rank", rowCondition=call("startsWith", col("desk"), lit("large")), cases=[
+            {"when": call("lessThan", VALUE, lit(3)), "then": {"value": lit(0), "format": {"fillColor": "#D95F02"}}},
+            {"when": call("equals", VALUE, lit(0)), "then": {"format": {"fillColor": "#1b9e77"}}},
+            {"when": call("greaterThan", VALUE, lit(8)), "then": {"format": {"fillColor": "#7570B3"}}},
         ]),
-        rule("money", "balance", rowCondition=AT_RISK, defaultPatch={"format": {"fillColor": "#ffcccc"}}),
-        {"id": "drop", "type": "dropColumns", "columnIds": ["email_2"]},
-        {"id": "keep", "type": "filterRows", "mode": "keep", "condition": call("not", call("equals", col("way"), lit("none")))},
+        rule("unpriced", "price", rowCondition=call("equals", col("desk"), lit("pricing")), defaultPatch={"value": lit(-1), "format": {"fillColor": "#cccccc"}}),
+        {"id": "closed", "type": "filterRows", "mode": "drop", "condition": call("and", call("equals", col("o_orderstatus"), lit("F")), call("equals", col("desk"), lit("counter")))},
+        {"id": "slim", "type": "dropColumns", "columnIds": ["o_custkey"]},
     ],
 }
 
 
 @query(
-    f"""with m as ({MESSY_CUSTOMERS}),
-    t as (select *, lower(case when email is null or {sql_trim("email")} = '' then {sql_trim("email_2")} else {sql_trim("email")} end) as e,
-      regexp_replace(full_name, '[^0-9]', '', 'g') as digits, try_cast({sql_trim("balance")} as double) as bal from m),
-    w as (select *, case when contains(e, '@') then 'email' when (e is null or e = '') and regexp_matches(digits, '[02468]$') then 'sms' else 'none' end as way,
-      case when vip and coalesce(lower({sql_trim("status")}) = 'active', false) then 'vip-active' when bal is null or bal < 0 then 'at-risk' else 'standard' end as tier from t)
-    select c_custkey, e as email, way, tier,
-      case when tier = 'at-risk' and not (status is null or {sql_trim("status")} = '') then lower({sql_trim("status")}) else status end as status,
-      case when tier = 'at-risk' then '#ffeb9c' end as status_fill, case when tier = 'at-risk' then '#ffcccc' end as balance_fill
-    from w where way <> 'none'"""
+    f"""with m as ({MESSY_ORDERS}),
+    t as (select *, coalesce(nullif(regexp_replace({sql_trim("priority")}, '\\s+', ' ', 'g'), ''), '9-NONE') as p from m),
+    d as (select *, try_cast(p[1] as double) as r, case when price > 250000 then 'large-' || o_orderstatus when price < 50000 then 'counter'
+      when price is null then 'pricing' else 'floor' end as desk from t)
+    select o_orderkey, o_orderstatus, p as priority, desk, case when desk = 'pricing' then -1.0 else price end as price,
+      case when desk like 'large%' and r < 3 then 0.0 else r end as rank,
+      case when desk like 'large%' and r < 3 then '#1b9e77' when desk like 'large%' and r > 8 then '#7570b3' end as rank_fill,
+      case when desk = 'pricing' then '#cccccc' end as price_fill
+    from d where not (o_orderstatus = 'F' and desk = 'counter')""",
+    name="contact_readiness_document",
 )
-def contact_readiness_document(spark, sf_dir):
-    out = run_sequence(messy_customers(spark, sf_dir), package_from_document(READINESS))
+def order_desk_document(spark, sf_dir):
+    out = run_sequence(messy_orders(spark, sf_dir), package_from_document(ORDER_DESK))
     return out.df.select(
-        "c_custkey", "email", "way", "tier", "status", out.fill("status").alias("status_fill"), out.fill("balance").alias("balance_fill")
+        "o_orderkey", "o_orderstatus", "priority", "desk", "price", "rank", out.fill("rank").alias("rank_fill"), out.fill("price").alias("price_fill")
     )
 
 

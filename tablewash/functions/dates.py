@@ -65,27 +65,37 @@ def date_diff(a: Any, b: Any, unit: Any) -> Cell:
     return c.number(millis / F.lit(float(UNIT_MILLIS[_unit("dateDiff", unit)])))
 
 
+# The largest distance from 1970 in milliseconds that a moment may have,
+# and the years whose text has four digits.
+FURTHEST = 8_640_000_000_000_000
+PLAIN_YEARS = (0, 9999)
+
+
 def date_add(x: Any, amount: Any, unit: Any) -> Cell:
     """ISO datetime text. Months and years overflow into the next month: one
-    month after 31 January is 3 March (2 March in a leap year)."""
+    month after 31 January is 3 March (2 March in a leap year). A result further
+    than FURTHEST from 1970 is null, and years beyond four digits have a sign and six."""
     moment = _moment("dateAdd", x)
     amount = c.number_arg("dateAdd", amount)
     unit = _unit("dateAdd", unit)
+    # An amount that leads out of range from any moment in it is dropped before
+    # it is multiplied, so nothing overflows.
     n = c.double(amount)
+    n = F.when(F.abs(n) * float(UNIT_MILLIS[unit]) <= 2.5 * FURTHEST, n)
     if unit in ("years", "months"):
         step = 12 if unit == "years" else 1
         field = F.year(moment) if unit == "years" else F.month(moment) - 1
-        n = F.when(F.abs(n) < 1e5, n)
         moved = _truncate(field.cast("double") + n) * step
         months = moved + (F.month(moment) - 1 if unit == "years" else F.year(moment) * 12)
         year = F.floor(months / 12).cast("int")
-        first_day = F.when(year.between(0, 9999), F.make_date(year, (F.pmod(months, F.lit(12)) + 1).cast("int"), F.lit(1)))
-        day = F.date_add(first_day, F.dayofmonth(moment) - 1)
+        # Dates of all these years exist; most of the margin is cut off below.
+        year = F.when(year.between(-280_000, 280_000), year)
+        first_day = F.make_date(year, (F.pmod(months, F.lit(12)) + 1).cast("int"), F.lit(1))
+        day = F.unix_date(first_day).cast("bigint") + F.dayofmonth(moment) - 1
         into_day = F.unix_millis(moment) - F.unix_millis(F.date_trunc("day", moment))
-        millis = F.unix_millis(day.cast("timestamp")) + into_day
+        millis = day * UNIT_MILLIS["days"] + into_day
     else:
         whole = amount.is_literal and amount.literal is not None and float(amount.literal).is_integer()
-        n = F.when(F.abs(n) < 4e11, n)
         if whole:
             delta = n
         else:
@@ -93,9 +103,15 @@ def date_add(x: Any, amount: Any, unit: Any) -> Cell:
             field = {"days": F.dayofmonth, "hours": F.hour, "minutes": F.minute, "seconds": F.second}[unit](moment)
             delta = _truncate(field.cast("double") + n) - field
         millis = F.unix_millis(moment) + delta.cast("bigint") * UNIT_MILLIS[unit]
-    # The first and last millisecond of the years 0000 to 9999.
-    inside = millis.between(-62_167_219_200_000, 253_402_300_799_999)
-    return Cell(c.iso_text(F.timestamp_millis(F.when(inside, millis))), "datetime", c.STRING)
+    return Cell(_extended_iso(F.timestamp_millis(F.when(F.abs(millis) <= FURTHEST, millis))), "datetime", c.STRING)
+
+
+def _extended_iso(moment: Column) -> Column:
+    year = F.year(moment)
+    digits = F.lpad(F.abs(year).cast("string"), 6, "0")
+    signed = F.concat(F.when(year < 0, F.lit("-")).otherwise(F.lit("+")), digits)
+    rest = F.date_format(moment, "-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.when(year.between(*PLAIN_YEARS), c.iso_text(moment)).otherwise(F.concat(signed, rest))
 
 
 def _truncate(x: Column) -> Column:

@@ -215,12 +215,6 @@ class ScopedRule(Step):
         df, targets = self._staged(table)
         return df.agg(*self._counts(table, df, targets))
 
-    def observed(self, table: Table, observation) -> Table:
-        """Apply the rule; its counts arrive in ``observation`` with the job."""
-        table = table.protect(self.column_ids)
-        df, targets = self._staged(table)
-        return self._finish(table, df.observe(observation, *self._counts(table, df, targets)), targets)
-
 
 def scoped_rule(
     column_ids: Sequence[str],

@@ -1,10 +1,10 @@
 from tablewash.plans.documents import package_from_document, workflow_from_document
 from tablewash.plans.runs import (
-    ObservedRun,
+    CountedRun,
     Package,
     Workflow,
     apply_steps,
     find_issues,
-    observe_steps,
+    count_steps,
     run_sequence,
 )

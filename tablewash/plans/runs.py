@@ -6,7 +6,8 @@ from copy import copy
 from dataclasses import dataclass, field, replace
 from typing import Iterable
 
-from pyspark.sql import Observation
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tablewash.errors import StepError
 from tablewash.operators.rules import ScopedRule
@@ -31,33 +32,40 @@ def apply_steps(table: Table, steps: Iterable[Step]) -> Table:
 
 
 @dataclass(frozen=True)
-class ObservedRun:
-    """A planned run whose step metrics are filled in by the job that writes it."""
+class CountedRun:
+    """A planned run and, one row per rule, the plan of its step metrics."""
 
     table: Table
-    steps: tuple[tuple[Step, Observation | None], ...]
+    steps: tuple[Step, ...]
+    counts: DataFrame | None
 
     def summaries(self) -> list[dict]:
-        """Per step: its id, its kind and its cell counts. Waits for the job."""
-        out = []
-        for step, observation in self.steps:
-            counts = observation.get if observation is not None else {}
-            out.append(
-                {"step_id": step.step_id, "step_type": step.kind, **{m: int(counts.get(m) or 0) for m in METRICS}}
-            )
-        return out
-
-
-def observe_steps(table: Table, steps: Iterable[Step]) -> ObservedRun:
-    """Like ``apply_steps``, counting the cells each rule matches and changes
-    while the result is written, without another pass over the data."""
+        """Per step: its id, its kind and its cell counts, from one job over all rules.
+
+        The counts are plain aggregations over the rows a rule is given. They don't
+        depend on how, or how often, the result is written or a task is run.
+        """
+        found = {r["step"]: r for r in self.counts.collect()} if self.counts is not None else {}
+        return [
+            {"step_id": step.step_id, "step_type": step.kind, **{m: int(found[i][m]) if i in found else 0 for m in METRICS}}
+            for i, step in enumerate(self.steps)
+        ]
+
+
+def count_steps(table: Table, steps: Iterable[Step]) -> CountedRun:
+    """Like ``apply_steps``, with the numbers of cells that each rule matches and changes.
+
+    ``steps`` are planned once for the result and the counts, so both have one ``now()``.
+    """
     current = replace(table, run_at=table.run_at or run_time())
-    seen = []
-    for step in steps:
-        observation = Observation() if isinstance(step, ScopedRule) else None
-        current = step.observed(current, observation) if observation is not None else step(current)
-        seen.append((step, observation))
-    return ObservedRun(current, tuple(seen))
+    steps = tuple(steps)
+    counts = None
+    for i, step in enumerate(steps):
+        if isinstance(step, ScopedRule):
+            mine = step.metrics(current).select(F.lit(i).alias("step"), *METRICS)
+            counts = mine if counts is None else counts.union(mine)
+        current = step(current)
+    return CountedRun(replace(current, run_at=table.run_at), steps, counts)
 
 
 def find_issues(table: Table, steps: Iterable[Step]) -> list[StepError]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewash.functions import cells
@@ -13,27 +13,37 @@ from tablewash.functions.colors import readable_text_color
 from tablewash.table import FILL, Table
 
 
-def csv_rows(table: Table, keep_nulls: bool = False) -> DataFrame:
-    """The table as text under its display names, with the hidden order columns."""
-    columns = []
+def _csv_field(text: Column) -> Column:
+    """Quoted if it is empty, holds a comma, quote or line break, or has white space at an edge."""
+    space = F.array(*map(F.lit, cells.WHITESPACE))
+    edge = F.array_contains(space, F.substring(text, 1, 1)) | F.array_contains(space, F.substring(text, -1, 1))
+    needed = (text == "") | text.rlike('[",\\r\\n]') | edge
+    return F.when(needed, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def csv_lines(table: Table, keep_nulls: bool = False) -> DataFrame:
+    """``(value)``: the rows as CSV lines in row order, without a header."""
+    fields = []
     for c in table.columns:
-        value = cells.text(Cell(F.col(c.id), c.type, c.spark))
-        columns.append((value if keep_nulls else F.coalesce(value, F.lit(""))).alias(c.name))
-    return table.sorted_df().select(*columns)
+        text = cells.text(Cell(F.col(c.id), c.type, c.spark))
+        fields.append(F.coalesce(_csv_field(text), F.lit("" if keep_nulls else '""')))
+    return table.sorted_df().select(F.concat_ws(",", *fields).alias("value"))
 
 
 def write_csv(table: Table, path: str, keep_nulls: bool = False, mode: str = "errorifexists") -> None:
-    """CSV files in row order, fills ignored. Null and empty text are both
-    written ``""``; with ``keep_nulls`` a null is an unquoted empty field."""
-    csv_rows(table, keep_nulls).write.mode(mode).options(
-        header=True,
-        escape='"',
-        emptyValue='""',
-        nullValue="",
-        lineSep="\r\n",
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    ).csv(path)
+    """CSV files in row order, each with a header, fills ignored. Null and empty text are
+    both written ``""``; with ``keep_nulls`` a null is an unquoted empty field. Lines end
+    with CRLF; line breaks inside a field stay as they are."""
+    spark = table.df.sparkSession
+    names = spark.createDataFrame([tuple(c.name for c in table.columns)], ", ".join(f"c{i} string" for i in range(len(table.columns))))
+    header = names.select(F.concat_ws(",", *[_csv_field(F.col(c)) for c in names.columns])).first()[0]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    first = F.when(place == 0, F.array(F.lit(header), F.col("value"))).otherwise(F.array("value"))
+    lines = csv_lines(table, keep_nulls).select(F.explode(first).alias("value"))
+    lines.write.mode(mode).option("lineSep", "\r\n").text(path)
+    if spark.read.text(path).isEmpty():
+        alone = spark.createDataFrame([(header,)], "value string").coalesce(1)
+        alone.write.mode("append").option("lineSep", "\r\n").text(path)
 
 
 def write_parquet(table: Table, path: str, ordered: bool = False, mode: str = "errorifexists") -> None:

@@ -1,29 +1,37 @@
-"""CSV files: typed by their content, null and quoted empty text kept apart."""
+"""CSV files: typed by their content, null and quoted empty text kept apart.
+
+Files are read by physical lines, so they are split between tasks. A line alone
+does not tell whether it begins inside quotes; what it does to either state is a map
+of two states, and these maps compose. If no line leaves a quote open, each line is
+a record. Otherwise the maps are composed within splits, then over the splits of
+a file, and the lines of records that span several are put together.
+"""
 
 from __future__ import annotations
 
-import csv
 from dataclasses import dataclass, replace
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablewash.errors import StepError
 from tablewash.functions import cells
 from tablewash.reports.profile import CODE, column_types, text_kind
 from tablewash.sources.headers import Header, normalize_headers
 from tablewash.table import OrderKey, Table
 
-# Stands for a quoted empty field while Spark reads; a private-use character
-# that is not expected as the whole content of a field.
-QUOTED_EMPTY = "\ue000"
+# Fixed value: what a number looks like.
 NUMBER = r"^-?(?:0|[1-9]\d*)(?:\.\d+)?\z"
 # One field with the comma before it; possessive, so that long fields are safe.
-FIELD = r',(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^,]*+)'
-FORMAT = {"sep": ",", "quote": '"', "escape": '"', "emptyValue": QUOTED_EMPTY, "mode": "PERMISSIVE"}
-HEADER_SAMPLE = 1
-# Up to this many files, their header lines are broadcast (some tens of megabytes).
-BROADCAST_FILES = 100_000
+QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
+FIELD = rf",(?:{QUOTED}\"?[^,]*+|[^,]*+)"
+# A line that begins outside quotes and ends inside: whole fields, then one left open.
+OPENS = rf'^(?:,(?:{QUOTED}"[^,"]*+(?=,|\z)|(?!")[^,]*+(?=,|\z)))*+,{QUOTED}\z'
+# What of a line that begins inside quotes lies within them.
+INSIDE = r'^[^"]*+(?:""[^"]*+)*+'
+# Header rows of a folder that are compared with each other.
+MAX_HEADERS = 1000
 
 
 @dataclass(frozen=True)
@@ -35,136 +43,178 @@ class CsvImport:
 
 
 def read_csv(
-    spark: SparkSession,
-    path: str | Sequence[str],
-    quoted_newlines: bool = True,
-    width: int | None = None,
-    types: dict[str, str] | None = None,
+    spark: SparkSession, path: str | Sequence[str], width: int | None = None, types: dict[str, str] | None = None
 ) -> Table:
-    """One CSV file, or a folder of files that share a header, as a table.
-
-    ``quoted_newlines=False`` reads by lines: files are split between tasks and
-    blank lines are kept as rows of nulls. The default allows line breaks inside
-    quotes, which ties each file to one task and drops blank lines.
-
-    The number of columns and their types come from one pass each over the
-    files; give ``width`` and ``types`` (by column id) to save those passes.
-    Reading by lines always makes the first one, to find the headers.
+    """One CSV file, or a folder of files with the same columns, as a table.
+
+    Blank lines are rows of nulls, quoted fields may hold line breaks, and a file
+    is read by several tasks if it is large. The number of columns and their types
+    come from one pass each; give ``width`` and ``types`` (by column id) to save
+    them. A row that is wider than ``width``, or a cell that does not have its given
+    type, fails the job; files whose headers name other columns fail the import. Files
+    without any line give an empty table.
     """
-    return import_csv(spark, path, quoted_newlines, width, types).table
+    return import_csv(spark, path, width, types).table
 
 
 def import_csv(
-    spark: SparkSession,
-    path: str | Sequence[str],
-    quoted_newlines: bool = True,
-    width: int | None = None,
-    types: dict[str, str] | None = None,
+    spark: SparkSession, path: str | Sequence[str], width: int | None = None, types: dict[str, str] | None = None
 ) -> CsvImport:
-    path = path if isinstance(path, str) else list(path)
-    reader = _Records(spark, path) if quoted_newlines else _Lines(spark, path)
-    header = reader.header()
-    raw, width = reader.rows_and_width(len(header), width)
+    lines = _lines(spark, path if isinstance(path, str) else list(path))
+    # The one pass over the lines that every import makes; its rows are files.
+    opens = lines.agg(F.count_if("opens").alias("n")).first()["n"] > 0
+    records = _joined(lines) if opens else lines
+    firsts = records.groupBy("__file").agg(F.min_by("text", F.struct("__block", "__row_id")).alias("text"))
+    texts = [r["text"] for r in firsts.select("text").distinct().limit(MAX_HEADERS + 1).collect()]
+    fields = _fields(F.col("text"))
+    header = _header(spark, texts)
+    body = _below_headers(records, texts).select(fields.alias("f"), "__file", "__block", "__row_id")
+    if width is None:
+        width = max(len(header), body.agg(F.max(F.size("f"))).first()[0] or 0)
+    width = max(width, len(header))
     headers = normalize_headers(header + [None] * (width - len(header)))
-    types = types or _infer(raw, headers)
-    hidden = [c for c in raw.columns if c.startswith("__")]
+    wide = F.raise_error(F.format_string(f"a row has %d fields, and the given width is {width}", F.size("f"))).cast("string")
+    columns = [_content(F.get("f", F.lit(i))) for i in range(width)]
+    if columns:
+        columns[0] = F.when(F.size("f") > width, wide).otherwise(columns[0])
+    raw = body.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)], "__file", "__block", "__row_id")
+    found = types or _infer(raw, headers)
+    checked = types is not None
     typed = raw.select(
-        *[_typed(F.col(f"c{i}"), types[h.id]).alias(h.id) for i, h in enumerate(headers)], *hidden
+        *[_typed(F.col(f"c{i}"), found[h.id], checked).alias(h.id) for i, h in enumerate(headers)],
+        "__file", "__block", "__row_id",
+    )
+    table = Table.of(typed, "__row_id", names={h.id: h.name for h in headers}, types=found)
+    keys = tuple(OrderKey(n, n) for n in ("__file", "__block", "__row_id"))
+    # The splits of one file are read in order, unless lines were put together.
+    in_order = not opens and _is_one_file(spark, path)
+    return CsvImport(replace(table, order=keys, in_order=in_order), tuple(headers))
+
+
+def _is_one_file(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    if not isinstance(path, str):
+        return False
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(place) and files.getFileStatus(place).isFile()
+
+
+def _lines(spark: SparkSession, path) -> DataFrame:
+    """``(text, sep, opens, closes, __file, __block, __row_id)`` of every physical line.
+    A line ends with CR, LF or both; ``opens`` and ``closes`` say whether it leaves
+    the state outside and inside quotes."""
+    read = spark.read.option("lineSep", "\n").text(path)
+    ends = F.col("value").endswith("\r")
+    body = F.when(ends, F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
+    last = F.when(ends, F.lit("\r\n")).otherwise(F.lit("\n"))
+    pieces = F.split("body", "\r")
+    each = F.transform(
+        pieces, lambda p, i: F.struct(p.alias("text"), F.when(i < F.size(pieces) - 1, F.lit("\r")).otherwise(F.col("last")).alias("sep"))
     )
-    table = Table.of(typed, "__row_id", names={h.id: h.name for h in headers}, types=types)
-    if len(raw.inputFiles()) == 1:
-        # The splits of a single file are read in order.
-        table = replace(table, in_order=True)
-    else:
-        keys = tuple(OrderKey(n, n) for n in ("__file", "__block", "__row_id"))
-        table = replace(table, order=keys)
-    return CsvImport(table, tuple(headers))
-
-
-def _fields(text: Column) -> Column:
-    return F.regexp_count(F.concat(F.lit(","), text), F.lit(FIELD))
-
-
-def _schema(width: int) -> str:
-    return ", ".join(f"c{i} string" for i in range(width))
-
-
-def _origin() -> list[Column]:
-    return [
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__row_id"),
-    ]
-
-
-class _Records:
-    """Records whose quoted fields may span lines."""
-
-    def __init__(self, spark: SparkSession, path):
-        self.path = path
-        self.reader = lambda: spark.read.options(**FORMAT, multiLine=True)
-
-    def header(self) -> list[str | None]:
-        first = self.reader().csv(self.path).head(HEADER_SAMPLE)
-        return [None if v == QUOTED_EMPTY else v for v in first[0]] if first else []
-
-    def _widest(self, expected: int) -> int:
-        schema = _schema(max(expected, 1)) + ", __raw string"
-        df = self.reader().option("columnNameOfCorruptRecord", "__raw").schema(schema).csv(self.path)
-        # Records whose number of fields differs from the header's arrive whole.
-        found = df.agg(F.max(F.when(F.col("__raw").isNotNull(), _fields(F.col("__raw")))), F.count("c0")).first()
-        return found[0] or 0
-
-    def rows_and_width(self, expected: int, given: int | None) -> tuple[DataFrame, int]:
-        width = max(expected, given or self._widest(expected))
-        df = self.reader().option("header", True).schema(_schema(width)).csv(self.path)
-        return df.select(*[f"c{i}" for i in range(width)], *_origin()), width
-
-
-class _Lines:
-    """One record per line."""
-
-    def __init__(self, spark: SparkSession, path):
-        self.lines = spark.read.text(path)
-        first = self.lines.head(HEADER_SAMPLE)
-        self.header_line = first[0][0] if first else None
-        self.placed = self.lines.select("value", *_origin())
-        # A file's header is in its first block; a later line may be equal to it.
-        self.like_header = (F.col("value") == self.header_line) & (F.col("__block") == 0)
-
-    def header(self) -> list[str | None]:
-        return next(csv.reader([self.header_line]), [""]) if self.header_line is not None else []
-
-    def _files(self) -> DataFrame:
-        """One row per file: its widest record, its lines that look like the
-        header, and the first of those."""
-        return self.placed.groupBy("__file").agg(
-            F.max(_fields(F.col("value"))).alias("width"),
-            F.count_if(self.like_header).alias("alike"),
-            F.min(F.when(self.like_header, F.col("__row_id"))).alias("__row_id"),
+    whole = F.array(F.struct(F.col("body").alias("text"), F.col("last").alias("sep")))
+    origin = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")]
+    text = F.col("text")
+    after = F.expr(f"regexp_replace(text, r'{INSIDE}', '')")
+    quotes = text.contains('"')
+    return (
+        read.select(body.alias("body"), last.alias("last"), *origin)
+        .select(F.explode(F.when(F.col("body").contains("\r"), each).otherwise(whole)).alias("p"), "__file", "__block")
+        .select("p.text", "p.sep", "__file", "__block", F.monotonically_increasing_id().alias("__row_id"))
+        .withColumns(
+            {
+                "opens": quotes & F.concat(F.lit(","), text).rlike(OPENS),
+                # From inside, the line must have a closing quote, and not open another.
+                "closes": quotes & (after != "") & ~F.concat(F.lit(',"'), after).rlike(OPENS),
+            }
         )
+    )
 
-    def rows_and_width(self, expected: int, given: int | None) -> tuple[DataFrame, int]:
-        """The records below the headers, from one pass over the lines."""
-        files = self._files()
-        found = files.agg(F.max("width"), F.count_if(F.col("alike") > 1), F.count("*")).first()
-        width = max(expected, given or found[0] or 0)
-        if found[1] == 0:
-            body = self.placed.filter(~self.like_header)
-        else:
-            # Some file repeats its header as data: leave out first lines by their id.
-            firsts = files.select("__file", "__row_id")
-            firsts = F.broadcast(firsts) if found[2] <= BROADCAST_FILES else firsts
-            body = self.placed.join(firsts, ["__file", "__row_id"], "left_anti")
-        parsed = F.from_csv("value", _schema(width), FORMAT)
-        rows = body.select(parsed.alias("p"), "__file", "__block", "__row_id").select(
-            *[F.col(f"p.c{i}").alias(f"c{i}") for i in range(width)], "__file", "__block", "__row_id"
-        )
-        return rows, width
 
+def _joined(lines: DataFrame) -> DataFrame:
+    """``(text, __file, __block, __row_id)`` of records, from lines of which some leave a
+    quote open. Lines are dealt out by split; only what spans lines is grouped."""
+    split = Window.partitionBy("__file", "__block").orderBy("__row_id").rowsBetween(Window.unboundedPreceding, 0)
+    # A line sets the state (both ways end alike), keeps it, or swaps it.
+    odd = lambda n: (n % 2) == 1
+    xor = lambda a, b: a != b
+    swaps = F.col("opens") & F.col("closes")
+    sets = F.when(F.col("opens") != ~F.col("closes"), F.lit(None).cast("boolean")).otherwise(F.col("opens"))
+    counted = lines.withColumn("swaps", F.sum(swaps.cast("int")).over(split)).withColumn(
+        "set", F.last(xor(sets, odd(F.col("swaps"))), ignorenulls=True).over(split)
+    )
+    ends = counted.groupBy("__file", "__block").agg(F.max_by(F.struct("swaps", "set"), "__row_id").alias("e"))
+    file = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)
+    total = ends.withColumn("swaps", F.sum("e.swaps").over(file))
+    value = xor(xor(F.col("e.set"), odd(F.col("e.swaps"))), odd(F.col("swaps")))
+    total = total.withColumn("set", F.last(value, ignorenulls=True).over(file))
+    open_after = xor(F.coalesce("set", F.lit(False)), odd(F.col("swaps")))
+    before = F.lag(open_after, 1, False).over(Window.partitionBy("__file").orderBy("__block"))
+    starts = total.select("__file", "__block", before.alias("begins_open"))
+    placed = counted.join(starts, ["__file", "__block"])
+    after = xor(F.coalesce("set", "begins_open"), odd(F.col("swaps")))
+    place = Window.partitionBy("__file", "__block").orderBy("__row_id")
+    placed = placed.withColumn("after", after).withColumn(
+        "inside", F.coalesce(F.lag("after").over(place), F.col("begins_open"))
+    )
+    here = F.struct(F.col("__block").alias("b"), F.col("__row_id").alias("r"))
+    start = F.last(F.when(~F.col("inside"), here), ignorenulls=True)
+    placed = placed.withColumn("start", start.over(split))
+    # A record that began in an earlier split: its start is the last one there.
+    lasts = placed.groupBy("__file", "__block").agg(F.max("start").alias("start"))
+    earlier = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select("__file", "__block", F.last("start", ignorenulls=True).over(earlier).alias("carried"))
+    placed = placed.join(carried, ["__file", "__block"]).withColumn("start", F.coalesce("start", "carried"))
+    alone = placed.filter("not inside and not after").select("text", "__file", "__block", "__row_id")
+    parts = F.array_sort(F.collect_list(F.struct("__block", "__row_id", "text", "sep")))
+    said = F.transform(
+        F.col("parts"), lambda p, i: F.concat(p["text"], F.when(i < F.size("parts") - 1, p["sep"]).otherwise(F.lit("")))
+    )
+    spanning = (
+        placed.filter("inside or after")
+        .groupBy("__file", "start")
+        .agg(parts.alias("parts"))
+        .select(F.array_join(said, "").alias("text"), "__file", F.col("start.b").alias("__block"), F.col("start.r").alias("__row_id"))
+    )
+    return alone.union(spanning)
 
-def _unquoted(raw: Column) -> Column:
-    return F.when(raw == QUOTED_EMPTY, F.lit("")).otherwise(raw)
+
+def _fields(text: Column) -> Column:
+    """The raw fields of a record, each with the comma before it."""
+    return F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(FIELD), F.lit(0))
+
+
+def _content(field: Column) -> Column:
+    """A field's text: null if it is missing or unquoted and empty. What follows a closing
+    quote belongs to the text."""
+    raw = F.substring(field, 2, 2**31 - 1)
+    parts = rf'(?s)^({QUOTED})"?(.*)$'
+    inner = F.replace(F.substring(F.regexp_extract(raw, parts, 1), 2, 2**31 - 1), F.lit('""'), F.lit('"'))
+    quoted = F.concat(inner, F.regexp_extract(raw, parts, 2))
+    return F.when(raw.startswith('"'), quoted).when(raw != "", raw)
+
+
+def _header(spark: SparkSession, texts: list[str]) -> list[str | None]:
+    """The header's cells. All header rows must name the same columns."""
+    if not texts:
+        return []
+    if len(texts) > MAX_HEADERS:
+        raise StepError("headerMismatch", f"the files have over {MAX_HEADERS} different headers")
+    rows = spark.createDataFrame([(t,) for t in sorted(texts)], "text string")
+    found = rows.select("text", F.transform(_fields(F.col("text")), _content).alias("f")).collect()
+    ids = {tuple(h.id for h in normalize_headers(list(r["f"]))) for r in found}
+    if len(ids) > 1:
+        raise StepError("headerMismatch", f"the files have different columns, such as {sorted(ids)[:2]}")
+    return list(found[0]["f"])
+
+
+def _below_headers(records: DataFrame, texts: list[str]) -> DataFrame:
+    """The records without the first one of each file. A header is in its file's first
+    split; a later row there may be equal to it."""
+    alike = F.coalesce(F.col("text").isin(texts) & (F.col("__block") == 0), F.lit(False))
+    per_file = records.filter(alike).groupBy("__file").agg(F.count("*").alias("n"), F.min("__row_id").alias("__row_id"))
+    if per_file.filter("n > 1").isEmpty():
+        return records.filter(~alike)
+    return records.join(per_file.select("__file", "__row_id"), ["__file", "__row_id"], "left_anti")
 
 
 def _is_boolean(raw: Column) -> Column:
@@ -187,20 +237,28 @@ def _infer(raw: DataFrame, headers: list[Header]) -> dict[str, str]:
     return {r["column_id"]: r["logical_type"] for r in found.collect()}
 
 
-def _typed(raw: Column, kind: str) -> Column:
+def _typed(raw: Column, kind: str, checked: bool) -> Column:
+    """The cell in its column's type; a given type that does not fit fails the job."""
+
+    def fitting(value: Column, spark_type: str) -> Column:
+        if not checked:
+            return value
+        wrong = F.raise_error(F.format_string(f"%s is no {kind}", raw)).cast(spark_type)
+        return F.when(raw.isNull() | value.isNotNull(), value).otherwise(wrong)
+
     if kind == "boolean":
-        return F.when(_is_boolean(raw), F.lower(raw) == "true")
+        return fitting(F.when(_is_boolean(raw), F.lower(raw) == "true"), "boolean")
     if kind == "number":
-        return raw.try_cast("double")
+        return fitting(F.when(raw.rlike(NUMBER), raw.try_cast("double")), "double")
     if kind == "unknown":
-        return F.lit(None).cast("string")
+        return fitting(F.lit(None).cast("string"), "string")
     if kind != "mixed":
-        return _unquoted(raw)
+        return raw
     boolean, numeric = _is_boolean(raw), raw.rlike(NUMBER)
     tag = F.when(boolean, F.lit("b")).when(numeric, F.lit("n")).otherwise(F.lit("s"))
     tagged = F.struct(
         tag.alias("k"),
-        F.when(tag == "s", _unquoted(raw)).alias("s"),
+        F.when(tag == "s", raw).alias("s"),
         F.when(tag == "n", raw.try_cast("double")).alias("n"),
         F.when(tag == "b", F.lower(raw) == "true").alias("b"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import groupby
 
 from tablewash.table import collapse
 
@@ -27,27 +28,31 @@ def first_line(text: str) -> str:
     return next((line.strip() for line in re.split(r"\r\n|\n", text) if line.strip()), "")
 
 
+def _ranked(keys: list[str]) -> list[tuple[int, int]]:
+    """For each key, the position of its first occurrence and its number among its equals."""
+    found = [(0, 0)] * len(keys)
+    for _, equal in groupby(sorted(range(len(keys)), key=lambda i: (keys[i], i)), key=lambda i: keys[i]):
+        positions = list(equal)
+        for number, position in enumerate(positions, 1):
+            found[position] = (positions[0], number)
+    return found
+
+
 def normalize_headers(texts: list[str | None]) -> list[Header]:
     """Blank headers become ``Column``; a repeated name, ignoring case, gets
     `` (2)``, `` (3)``; ids are unique slugs of the name without that suffix."""
-    first_spelling: dict[str, str] = {}
-    repeats: dict[str, int] = {}
-    id_uses: dict[str, int] = {}
-    headers = []
-    for text in texts:
-        clean = collapse(text or "")
-        label = clean or "Column"
-        base = first_spelling.setdefault(label.lower(), label)
-        repeat = repeats[label.lower()] = repeats.get(label.lower(), 0) + 1
-        stem = f"col_{slug(base)}"
-        use = id_uses[stem] = id_uses.get(stem, 0) + 1
-        headers.append(
-            Header(
-                id=stem if use == 1 else f"{stem}_{use}",
-                name=base if repeat == 1 else f"{base} ({repeat})",
-                base=base,
-                blank=not clean,
-                repeat=repeat,
-            )
+    clean = [collapse(text or "") for text in texts]
+    labels = [text or "Column" for text in clean]
+    names = _ranked([label.lower() for label in labels])
+    bases = [labels[first] for first, _ in names]
+    stems = [f"col_{slug(base)}" for base in bases]
+    return [
+        Header(
+            id=stem if use == 1 else f"{stem}_{use}",
+            name=base if repeat == 1 else f"{base} ({repeat})",
+            base=base,
+            blank=not text,
+            repeat=repeat,
         )
-    return headers
+        for text, base, stem, (_, repeat), (_, use) in zip(clean, bases, stems, names, _ranked(stems))
+    ]

@@ -40,7 +40,7 @@ MACHINE_METADATA = r"""(?i)["']?(?:UniqueId|DisplayName|Name)["']?\s*[:=]"""
 
 def read_workbook_files(spark: SparkSession, path: str) -> DataFrame:
     """Rows ``(path, content)``, one per workbook file."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path).select("path", "content")
 
 
 def workbook_cells(files: DataFrame) -> DataFrame:

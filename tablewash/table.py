@@ -23,6 +23,8 @@ from tablewash.functions.cells import Cell
 
 HIDDEN = "__"
 FILL = "__fill__"
+# Hidden columns that the sources add: where a row comes from.
+OWN = ("__row_id", "__file", "__block", "__row", "__path", "__number")
 
 
 @dataclass(frozen=True)
@@ -86,11 +88,14 @@ class Table:
         ``{"signup": "date"}`` for ISO dates kept as text.
         """
         names, types = names or {}, types or {}
+        ids = (row_id,) if isinstance(row_id, str) else tuple(row_id or ())
         columns = []
         for f in df.schema.fields:
             if "." in f.name or "`" in f.name:
                 raise StepError("invalidColumnId", f"rename column {f.name!r}: dots and backticks name nested fields")
             if f.name.startswith(HIDDEN):
+                if f.name not in OWN and f.name not in ids and not f.name.startswith(FILL):
+                    raise StepError("invalidColumnId", f"rename column {f.name!r}: names from {HIDDEN!r} on are the package's own")
                 continue
             kind = types.get(f.name) or f.metadata.get("logicalType") or cells.logical_type(f.dataType)
             name = names.get(f.name) or f.metadata.get("displayName") or f.name

@@ -31,10 +31,10 @@ def spark(tmp_path_factory):
 def load_csv(spark, tmp_path):
     """CSV text as a table, blank lines kept."""
 
-    def load(text, quoted_newlines=False):
+    def load(text):
         path = tmp_path / "inline.csv"
         path.write_bytes(text.encode("utf-8"))
-        return import_csv(spark, str(path), quoted_newlines=quoted_newlines)
+        return import_csv(spark, str(path))
 
     return load
 

@@ -5,44 +5,42 @@ import json
 import pytest
 
 from conftest import cells, fills
-from samples import CASE, CLEANUP, CONTACTABLE, CONTACTS, VALUE, call, col, derive, lit, match, otherwise, rule, when, workflow
+from samples import ASKING, CASE, LATEST, LOANS, VALUE, call, col, derive, lit, match, otherwise, rule, when, workflow
 from tablewash import StepError, Table
 from tablewash.plans import apply_steps, find_issues, package_from_document, run_sequence, workflow_from_document
 from tablewash.plans.documents import CALLS
 
 
 @pytest.fixture
-def contacts(load_csv):
-    return load_csv(CONTACTS).table
+def loans(load_csv):
+    return load_csv(LOANS).table
 
 
 def run(table, document):
     return apply_steps(table, workflow_from_document(document).steps)
 
 
-def test_contacts_import(contacts):
-    types = {c.id: c.type for c in contacts.columns}
-    assert list(types)[3:6] == ["col_email", "col_email_2", "col_column"]
-    assert (types["col_balance"], types["col_vip"], types["col_phone"]) == ("mixed", "boolean", "mixed")
+def test_loans_import(loans):
+    types = {c.id: c.type for c in loans.columns}
+    assert types == {
+        "col_loan": "number", "col_instrument_kind": "string", "col_borrower": "string", "col_borrower_2": "string",
+        "col_deposit": "mixed", "col_column": "string", "col_back": "boolean", "col_due": "string", "col_column_2": "string",
+    }
+    assert cells(loans, "col_instrument_kind") == ["viola", "cello\n3/4", None, "drum", 'lute "old"', "viola"]
 
 
-def test_cleanup(contacts):
-    out = run(contacts, CLEANUP)
-    assert cells(out, "col_email") == ["spare@mail.test", "mara@mail.test"]
-    assert cells(out, "col_full_name") == ["Tom Bell-Low", "Mara Quist"]
-    assert cells(out, "col_status") == ["unknown", "Active"]
+def test_asking(loans):
+    out = run(loans, ASKING)
+    assert cells(out, "col_loan") == [7, 8, -9, 10, 11]
+    assert cells(out, "reach") == ["post:Ada Moe", "mail:bo@band.test", "mail:kit@band.test", "post:Cy", "mail:ada@band.test"]
+    assert fills(out, "col_loan") == ["#c0ffc0", None, "#ffe0e0", "#c0ffc0", None]
 
 
-def test_contactable(contacts):
-    out = run(contacts, CONTACTABLE)
-    assert cells(out, "col_email") == ["mara@mail.test", "spare@mail.test", None, "mara@mail.test"]
-    assert cells(out, "col_phone") == ["2025550141", "695", "2025550199", "12"]
-    assert cells(out, "col_way") == ["email", "email", "sms", "email"]
-    # A balance that is missing or unreadable is less than zero.
-    assert cells(out, "col_tier") == ["vip-active", "at-risk", "at-risk", "at-risk"]
-    assert fills(out, "col_status") == [None, "#ffeb9c", "#ffeb9c", "#ffeb9c"]
-    assert fills(out, "col_balance") == [None, "#ffeb9c", "#ffeb9c", "#ffeb9c"]
-    assert "col_email_2" not in out.ids
+def test_latest(loans):
+    out = run(loans, LATEST)
+    assert cells(out, "col_loan") == [11, 10, 9, 8, None]
+    assert cells(out, "col_instrument_kind") == ["viola", "lute", "drum", "cello", None]
+    assert "col_column" not in out.ids
 
 
 def test_every_call_can_be_planned(spark):
@@ -68,32 +66,27 @@ def test_every_call_can_be_planned(spark):
 
 
 def test_match_documents(load_csv):
-    t = load_csv("status,region,balance,email\r\nactive,west,-5,a@x\r\ninactive,west,120,b@x\r\npending,east,900,\r\n").table
-    status = call("lower", call("trim", col("col_status")))
+    t = load_csv("tide,port,gauge\r\nspring,Brest,4.5\r\nneap,Brest,1\r\nslack,,-2\r\nSPRING ,Rouen,\r\n").table
+    tide = call("lower", call("trim", col("col_tide")))
     out = run(
         t,
         workflow(
             "m",
-            derive("a", "label", match(
-                status,
-                when(call("equals", CASE, lit("active")), lit("Active customer")),
-                when(call("and", call("or", call("equals", CASE, lit("inactive")), call("equals", CASE, lit("disabled"))), call("equals", col("col_region"), lit("west"))), lit("Inactive west")),
-                otherwise(lit("Other")),
+            derive("a", "call_at", match(
+                tide,
+                when(call("and", call("equals", CASE, lit("spring")), call("equals", col("col_port"), lit("Rouen"))), lit("inland")),
+                when(call("or", call("equals", CASE, lit("spring")), call("equals", CASE, lit("slack"))), CASE),
             )),
-            derive("b", "score", match(
-                call("toNumber", col("col_balance")),
-                when(call("lessThan", CASE, lit(0)), lit(3)),
-                when(call("and", call("or", call("lessThan", CASE, lit(200)), call("equals", CASE, lit(200))), call("not", call("isEmpty", col("col_email")))), lit(2)),
-                otherwise(lit(1)),
+            derive("b", "depth", match(
+                col("col_gauge"),
+                when(call("lessThan", CASE, lit(0)), lit("below")),
+                when(call("greaterThan", CASE, lit(4)), call("concat", lit("over "), call("toString", CASE))),
+                otherwise(lit("usual")),
             )),
-            derive("c", "unmatched", match(status, when(call("equals", CASE, lit("vip")), lit("VIP")))),
-            derive("d", "same", match(status, when(call("equals", CASE, lit("active")), CASE), otherwise(CASE))),
         ),
     )
-    assert cells(out, "label") == ["Active customer", "Inactive west", "Other"]
-    assert cells(out, "score") == [3, 2, 1]
-    assert cells(out, "unmatched") == [None] * 3
-    assert cells(out, "same") == ["active", "inactive", "pending"]
+    assert cells(out, "call_at") == ["spring", None, "slack", "inland"]
+    assert cells(out, "depth") == ["over 4.5", "usual", "below", "below"]
 
 
 @pytest.mark.parametrize(

@@ -4,8 +4,10 @@ import re
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check_oracle import compare, connect
+from registry import all_queries as queries
+from registry import all_sql as oracle_sql
 
 SMALL = "/root/testdata/sf0.001"
 NAMES = sorted(queries())

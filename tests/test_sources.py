@@ -1,14 +1,15 @@
 """CSV and workbook import, and what the sinks write."""
 
+import random
 
 import pytest
 
 from conftest import cells
 from registry.xlsx_bytes import DATETIME_STYLE, Formula, Serial, workbook_bytes
-from samples import MESSY, ORDERS, PEOPLE
+from samples import LOANS
 from tablewash import StepError, Table
 from tablewash import functions as fx
-from tablewash.operators import Case, Patch, scoped_rule, sort_rows
+from tablewash.operators import Case, Patch, filter_rows, scoped_rule, sort_rows
 from tablewash.plans import apply_steps
 from tablewash.reports import dense_positions, infer_types, profile
 from tablewash.sinks import cell_formats, write_csv, write_formats, write_parquet
@@ -28,10 +29,9 @@ from tablewash.sources import (
 
 
 @pytest.fixture
-def samples_dir(tmp_path):
-    for name, text in (("people", PEOPLE), ("messy", MESSY), ("orders", ORDERS)):
-        (tmp_path / f"{name}.csv").write_text(text)
-    return tmp_path
+def loans_file(tmp_path):
+    (tmp_path / "loans.csv").write_text(LOANS)
+    return str(tmp_path / "loans.csv")
 
 
 def ids(table):
@@ -46,37 +46,18 @@ def kinds(table):
     return [c.type for c in table.columns]
 
 
-def test_sample_types_and_missing_values(spark, samples_dir):
-    customers = read_csv(spark, str(samples_dir / "people.csv"))
-    assert ids(customers) == [
-        "col_person_id", "col_given_name", "col_family_name", "col_mail", "col_town", "col_region", "col_joined_on",
-    ]
-    assert customers.column("col_joined_on").type == "date"
-    orders = read_csv(spark, str(samples_dir / "orders.csv"))
-    assert kinds(orders) == ["string", "string", "number", "string", "string", "string", "datetime"]
-    missing = {r["column_id"]: (r["nullable"], r["missing_count"]) for r in profile(orders).collect()}
-    assert missing["col_mail"] == (True, 1) and missing["col_order_total"] == (False, 0)
-    messy = read_csv(spark, str(samples_dir / "messy.csv"))
-    missing = {r["column_id"]: (r["nullable"], r["missing_count"]) for r in profile(messy).collect()}
-    assert missing["col_mail"] == (False, 1) and missing["col_phone"] == (True, 2) and missing["col_status"] == (True, 1)
-    assert cells(messy, "col_full_name")[0] == "  Mara   Quist  "
+def test_missing_values(spark, loans_file):
+    missing = {r["column_id"]: (r["nullable"], r["missing_count"]) for r in profile(read_csv(spark, loans_file)).collect()}
+    assert missing["col_loan"] == (True, 1) and missing["col_borrower"] == (True, 2) and missing["col_column_2"] == (True, 5)
 
 
 def test_headers(load_csv):
-    assert names(load_csv('"Status\nLabel",value\r\nOpen,1\r\n', quoted_newlines=True).table) == ["Status Label", "value"]
-    many = load_csv("Email, email ,EMAIL\r\none,two,three\r\n")
-    assert names(many.table) == ["Email", "Email (2)", "Email (3)"]
-    assert ids(many.table) == ["col_email", "col_email_2", "col_email_3"]
-    spark = many.table.df.sparkSession
-    assert [r["code"] for r in csv_warnings(spark, many).collect()] == ["duplicateHeaderNormalized"] * 2
-    blank = load_csv("name,,\r\nAlice,,\r\n")
-    assert names(blank.table) == ["name", "Column", "Column (2)"]
-    assert ids(blank.table) == ["col_name", "col_column", "col_column_2"]
-    codes = sorted(r["code"] for r in csv_warnings(spark, blank).collect())
-    assert codes == ["blankHeaderGenerated"] * 2 + ["duplicateHeaderNormalized"]
-    assert ids(load_csv("Customer ID,Customer-ID,Customer/ID\r\n1,2,3\r\n").table) == [
-        "col_customer_id", "col_customer_id_2", "col_customer_id_3",
-    ]
+    assert names(load_csv('"Wind\n(max)",x\r\n3,1\r\n').table) == ["Wind (max)", "x"]
+    many = load_csv("Buoy, buoy ,,BUOY,bu-oy,Bu/oy,\r\n1,2,3,4,5,6,7\r\n")
+    assert names(many.table) == ["Buoy", "Buoy (2)", "Column", "Buoy (3)", "bu-oy", "Bu/oy", "Column (2)"]
+    assert ids(many.table) == ["col_buoy", "col_buoy_2", "col_column", "col_buoy_3", "col_bu_oy", "col_bu_oy_2", "col_column_2"]
+    codes = [r["code"] for r in csv_warnings(many.table.df.sparkSession, many).collect()]
+    assert sorted(codes) == ["blankHeaderGenerated"] * 2 + ["duplicateHeaderNormalized"] * 3
     assert [h.id for h in normalize_headers(["\u00c4", "--", None])] == ["col_column", "col_column_2", "col_column_3"]
 
 
@@ -93,18 +74,85 @@ def test_cell_typing(load_csv):
     assert [w["code"] for w in csv_warnings(mixed.df.sparkSession, load_csv("v\r\n1\r\nx\r\n")).collect()] == ["mixedTypeColumn"]
 
 
-@pytest.mark.parametrize("quoted_newlines", [True, False])
-def test_ragged_rows_take_the_widest_row(load_csv, quoted_newlines):
-    t = load_csv('a\r\n"x,1",,"q""q"\r\ny\r\n,,,last\r\n', quoted_newlines).table
+def parsed(text):
+    """Records of CSV text, read one character at a time."""
+    records, record, value, inside, quoted, k = [], [], "", False, False, 0
+    while k <= len(text):
+        c = text[k] if k < len(text) else None
+        if inside and c is not None:
+            if c == '"' and text[k + 1 : k + 2] == '"':
+                value, k = value + '"', k + 1
+            elif c == '"':
+                inside = False
+            else:
+                value += c
+        elif c is None or c in ",\r\n":
+            record.append(value if value or quoted else None)
+            value, quoted = "", False
+            if c is None or c != ",":
+                if c is not None or record != [None]:
+                    records.append(record)
+                record = []
+                k += c == "\r" and text[k + 1 : k + 2] == "\n"
+        elif c == '"' and not value:
+            inside = quoted = True
+        else:
+            value += c
+        k += 1
+    return records
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_any_csv_text_in_small_splits(spark, tmp_path, seed):
+    """Line breaks in quotes, stray quotes, text after quotes, blank lines, any line end."""
+    rng = random.Random(seed)
+
+    def field():
+        inner = "".join(rng.choice(["a", ",", "\n", "\r\n", '""', " ", "\ue000"]) for _ in range(rng.randrange(7)))
+        return rng.choice(["", "a b", '""', '5" x', 'a"b"', f'"{inner}"', f'"{inner}"z'])
+
+    end = rng.choice(["\n", "\r\n", "\r"])
+    lines = ["" if rng.random() < 0.1 else ",".join(field() for _ in range(rng.choice([1, 3, 4]))) for _ in range(300)]
+    text = "a,b,c,d" + end + end.join(lines) + rng.choice([end, ""])
+    (tmp_path / "any.csv").write_text(text, newline="")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        t = read_csv(spark, str(tmp_path / "any.csv"), types={f"col_{c}": "string" for c in "abcd"})
+        assert spark.read.text(str(tmp_path / "any.csv")).rdd.getNumPartitions() > 1
+        got = [list(r) for r in t.sorted_df().select(*t.ids).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert got == [r + [None] * (4 - len(r)) for r in parsed(text)[1:]]
+
+
+def test_wide_rows_make_columns(load_csv):
+    t = load_csv('a\r\n"x,1",,"q""q"\r\ny\r\n,,,last\r\n').table
     assert names(t) == ["a", "Column", "Column (2)", "Column (3)"]
-    assert cells(t, "col_a") == ["x,1", "y", None]
-    assert cells(t, "col_column_2") == ['q"q', None, None]
-    assert cells(t, "col_column_3") == [None, None, "last"]
+    assert cells(t, "col_column_2") == ['q"q', None, None] and cells(t, "col_column_3") == [None, None, "last"]
+
 
+def test_nothing_is_lost_silently(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("a,b\n1,2\n3,4,5\n")
+    path = str(tmp_path / "f.csv")
+    with pytest.raises(Exception, match="given width is 2"):
+        read_csv(spark, path, width=2, types={"col_a": "string", "col_b": "string"}).df.collect()
+    with pytest.raises(Exception, match="x is no number"):
+        (tmp_path / "g.csv").write_text("a\nx\n")
+        read_csv(spark, str(tmp_path / "g.csv"), types={"col_a": "number"}).df.collect()
+    (tmp_path / "e.csv").write_text("")
+    assert read_csv(spark, str(tmp_path / "e.csv")).columns == ()
+    with pytest.raises(StepError, match="invalidColumnId"):
+        Table.of(spark.range(2).selectExpr("id", "id as __mine"), "id")
 
-def test_quoted_newlines_and_blank_lines(load_csv):
-    assert cells(load_csv('a,b\n"x\ny",1\n\nz,\n', quoted_newlines=True).table, "col_a") == ["x\ny", "z"]
-    assert cells(load_csv("a\nx\n\ny\n").table, "col_a") == ["x", None, "y"]
+
+def test_files_with_other_columns_are_refused(spark, tmp_path):
+    for name, text in {"a": "k,v\n1,2\n", "b": "k, V \n3,4\n"}.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    assert sorted(cells(read_csv(spark, str(tmp_path)), "col_k")) == [1, 3]
+    (tmp_path / "c.csv").write_text("v,k\n5,6\n")
+    with pytest.raises(StepError, match="headerMismatch"):
+        read_csv(spark, str(tmp_path))
 
 
 def test_several_files_share_a_header_and_keep_file_order(spark, tmp_path):
@@ -114,25 +162,25 @@ def test_several_files_share_a_header_and_keep_file_order(spark, tmp_path):
         lines = ["k,v"] + [f"r{n}{i},x" for i in range(3 + n * 40)] + (["k,v"] if n == 2 else [])
         (folder / f"f{n}.csv").write_text("\n".join(lines) + "\n")
     expected = [f"r{n}{i}" for n in range(4) for i in range(3 + n * 40)]
-    t = read_csv(spark, str(folder), quoted_newlines=False)
+    t = read_csv(spark, str(folder))
     assert t.df.count() == len(expected) + 1  # a later line equal to the header is data
-    assert [r for r in cells(t, "col_k") if r != "k"][-3:] == expected[-3:]
-    quoted = read_csv(spark, str(folder))
-    assert cells(quoted, "col_v").count("x") == len(expected)
+    assert [r for r in cells(t, "col_k") if r != "k"] == expected
 
 
-def test_csv_roundtrip(spark, tmp_path, samples_dir):
-    t = read_csv(spark, str(samples_dir / "messy.csv"))
-    write_csv(t, str(tmp_path / "out"))
+def test_csv_roundtrip(spark, tmp_path, loans_file):
+    t = read_csv(spark, loans_file)
+    write_csv(t, str(tmp_path / "out"), keep_nulls=True)
     text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "out").glob("part-*")))
-    assert text.startswith("person_id,full_name") and "\r\n" in text
+    assert text.startswith("Loan,Instrument [kind],Borrower") and '"  Bo "' in text and '"cello\n3/4"' in text
     back = read_csv(spark, str(tmp_path / "out"))
-    assert names(back) == names(t) and cells(back, "col_person_id") == cells(t, "col_person_id")
-    assert cells(back, "col_full_name")[0] == "  Mara   Quist  "
-    assert cells(back, "col_mail")[2] == "" and cells(back, "col_phone")[2] == ""
-    write_csv(t, str(tmp_path / "nulls"), keep_nulls=True)
-    kept = read_csv(spark, str(tmp_path / "nulls"))
-    assert cells(kept, "col_phone")[2] is None and cells(kept, "col_mail")[2] == ""
+    assert names(back) == names(t)
+    assert [list(r) for r in back.sorted_df().select(*back.ids).collect()] == [list(r) for r in t.sorted_df().select(*t.ids).collect()]
+    write_csv(t, str(tmp_path / "filled"))
+    filled = read_csv(spark, str(tmp_path / "filled"))
+    assert "" in cells(filled, "col_borrower_2") and None not in cells(filled, "col_borrower_2")
+    none = apply_steps(t, [filter_rows("keep", lambda r: False)])
+    write_csv(none, str(tmp_path / "none"))
+    assert names(read_csv(spark, str(tmp_path / "none"))) == names(t)
 
 
 def test_csv_number_and_boolean_text(spark, tmp_path):
@@ -143,12 +191,12 @@ def test_csv_number_and_boolean_text(spark, tmp_path):
     assert lines == ['2,1e+21,"",""', '1,120.5,true,"a ""b"", c"']
 
 
-def test_parquet_sink_keeps_names_types_and_order(spark, tmp_path, samples_dir):
-    t = sort_rows([("col_joined_on", "desc")])(read_csv(spark, str(samples_dir / "people.csv")))
+def test_parquet_sink_keeps_names_types_and_order(spark, tmp_path, loans_file):
+    t = sort_rows([("col_loan", "desc")])(read_csv(spark, loans_file))
     write_parquet(t, str(tmp_path / "p"), ordered=True)
     back = Table.read_parquet(spark, str(tmp_path / "p"))
     assert names(back) == names(t) and kinds(back) == kinds(t)
-    assert cells(back, "col_person_id") == ["P05", "P04", "P03", "P02", "P01"]
+    assert cells(back, "col_loan") == [11, 10, 9, 8, 7, None]
 
 
 def test_cell_formats(spark, tmp_path):
@@ -182,33 +230,30 @@ def files(spark, **books):
 
 
 HEADER_BOOK = {
-    "Elements": [
-        ['{"UniqueId":"element_id","DisplayName":"Element ID"}', '{"UniqueId":"status","DisplayName":"Status"}'],
-        ["Element ID\nstring\nscope", "Status\nstring"],
-        ["E-001", "Active"],
-        ["E-002", "Inactive"],
+    "Probes": [
+        ['{"UniqueId":"probe"}', '{"DisplayName":"Depth"}', '{"Name":"Lost"}'],
+        ["Probe\nid", "Depth\nmetres", "Lost"],
+        ["p-4", 12.5, True],
+        ["p-5", 3, False],
     ]
 }
 
 
 def test_sheets_become_tables(spark):
-    found = workbook_cells(
-        files(spark, multi={"Customers": [["customer_id", "email"], ["C001", "a@example.com"]], "Orders": [["order_id", "order_total"], ["O100", 42]]})
-    )
-    t = sheet_table(found, "Orders")
-    assert ids(t) == ["col_order_id", "col_order_total"] and kinds(t) == ["string", "number"]
-    assert cells(t, "col_order_total") == [42.0]
+    found = workbook_cells(files(spark, multi={"Masts": [["mast", "height"], ["m1", 9]], "Sails": [["sail", "area"], ["jib", 14.25], ["main", 30]]}))
+    t = sheet_table(found, "Sails")
+    assert ids(t) == ["col_sail", "col_area"] and kinds(t) == ["string", "number"]
+    assert cells(t, "col_area") == [14.25, 30.0]
 
 
 def test_header_row_is_detected_or_chosen(spark):
     found = workbook_cells(files(spark, a=HEADER_BOOK)).persist()
-    t = sheet_table(found, "Elements")
-    assert names(t) == ["Element ID", "Status"] and cells(t, "col_element_id") == ["E-001", "E-002"]
-    chosen = sheet_table(found, "Elements", {"Elements": 0})
-    assert "UniqueId" in chosen.columns[0].name
-    assert cells(chosen, ids(chosen)[0])[0] == "Element ID\nstring\nscope"
+    t = sheet_table(found, "Probes")
+    assert names(t) == ["Probe", "Depth", "Lost"] and cells(t, "col_depth") == [12.5, 3.0]
+    chosen = sheet_table(found, "Probes", {"Probes": 0})
+    assert "UniqueId" in chosen.columns[0].name and cells(chosen, ids(chosen)[0])[0] == "Probe\nid"
     with pytest.raises(Exception, match="out of range"):
-        choose_header_rows(found, {"Elements": 9}).collect()
+        choose_header_rows(found, {"Probes": 9}).collect()
     found.unpersist()
 
 
@@ -237,7 +282,7 @@ def test_workbook_values_and_warnings(spark):
         ("mixedTypeColumn", "Formulas", None),
         ("formulaImportedAsValue", "Formulas", 2),
         ("formulaValueUnavailable", "Formulas", 1),
-        ("xlsxHeaderRowAutoDetected", "Elements", None),
+        ("xlsxHeaderRowAutoDetected", "Probes", None),
     }
     found.unpersist()
 
@@ -259,7 +304,9 @@ def test_fleet_of_workbooks_is_one_table(spark):
 
 def test_read_file_chooses_by_suffix(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(workbook_bytes({"One": [["h"], ["x"]], "Two": [["g"], ["y"]]}))
+    (tmp_path / "B.XLSX").write_bytes(workbook_bytes({"One": [["k"], ["z"]]}))
     (tmp_path / "a.CSV").write_text("h\nx\n")
+    assert cells(read_file(spark, str(tmp_path / "B.XLSX")), "col_k") == ["z"]
     assert ids(read_file(spark, str(tmp_path / "a.xlsx"))) == ["col_h"]
     assert ids(read_file(spark, str(tmp_path / "a.xlsx"), "Two")) == ["col_g"]
     assert cells(read_file(spark, str(tmp_path / "a.CSV")), "col_h") == ["x"]

@@ -1,9 +1,11 @@
-"""Steps on small tables with exact cell values."""
+"""Steps on a generated table, against plain loops over its rows."""
+
+import random
 
 import pytest
 
+import model
 from conftest import cells, fills
-from samples import MESSY, ORDERS
 from tablewash import StepError, Table
 from tablewash import functions as fx
 from tablewash.operators import (
@@ -20,56 +22,81 @@ from tablewash.operators import (
     sort_rows,
     split_column,
 )
-from tablewash.plans import apply_steps, find_issues, observe_steps
+from tablewash.plans import apply_steps, count_steps, find_issues
 from tablewash.reports import change_summary, run_summary
+from tablewash.sinks import write_csv, write_parquet
+
+DEPOTS = ["Kiel", "Turku", " Gdynia ", "", None, "\t"]
+NOTES = ["fragile; upright", "cold;;keep", "", None, " heavy ", "A;b;C;d"]
+
+
+def parcels(rows=60, seed=3):
+    """Parcels with gaps, blanks, equal weights and awkward amounts."""
+    rng = random.Random(seed)
+    return [
+        (
+            n,
+            rng.choice(DEPOTS),
+            rng.choice(DEPOTS),
+            rng.choice([None, 0.0, -2.5, 0.5, 1.5, 2.5, 40.0, 40.0, 1e21]),
+            rng.choice(NOTES),
+            rng.choice([None, "12", " 7.5", "0x1F", "n/a", ""]),
+            rng.choice([True, False, None]),
+        )
+        for n in range(1, rows + 1)
+    ]
+
+
+FIELDS = ["no", "depot", "fallback", "kg", "note", "fee", "paid"]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return [dict(zip(FIELDS, r)) for r in parcels()]
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    schema = "no int, depot string, fallback string, kg double, note string, fee string, paid boolean"
+    return Table.of(spark.createDataFrame(parcels(), schema), "no")
 
 
 def summary(before, after):
     return change_summary(before, after).first().asDict()
 
 
-def row_ids(table, before):
-    """1-based source positions of the rows, in row order."""
-    original = {r[0]: i + 1 for i, r in enumerate(before.sorted_df().select("__row_id").collect())}
-    return [original[r[0]] for r in table.sorted_df().select(table.row_id[0]).collect()]
+def numbers(table):
+    """Parcel numbers in row order."""
+    return cells(table, "no")
 
 
-def test_rule_reads_coalesce_emptiness_and_row_condition(load_csv):
-    t = load_csv("first_name,last_name,status,region\r\nAlice,Ng,,west\r\nAmy,Adams,  ,west\r\nBen,Ortiz,,east\r\n").table
-    fill = scoped_rule(
-        ["col_first_name", "col_last_name", "col_status"],
-        default=Patch(lambda r, v: fx.coalesce(v, "unknown")),
-        where=lambda r: fx.equals(r["col_region"], "west"),
+def test_rule_under_a_condition(table, rows):
+    rule = scoped_rule(
+        ["depot", "note"], default=Patch(lambda r, v: fx.coalesce(v, "none")), where=lambda r: fx.equals(r["paid"], True)
     )
-    out = apply_steps(t, [fill])
-    assert cells(out, "col_status") == ["unknown", "  ", None]
-    assert cells(out, "col_first_name") == ["Alice", "Amy", "Ben"]
-    assert summary(t, out)["changed_cell_count"] == 1
-    assert fill.metrics(t).first().asDict() == {
-        "matched_cell_count": 6,
-        "value_changed_cell_count": 1,
-        "format_changed_cell_count": 0,
-        "changed_cell_count": 1,
-    }
-
-
-def test_cases_are_cumulative_and_fill_what_stays_empty(load_csv):
-    t = load_csv("email,email_2\r\n,backup@example.com\r\n,\r\nprimary@example.com,\r\n").table
+    out = apply_steps(table, [rule])
+    changed = 0
+    for name in ("depot", "note"):
+        want = ["none" if r["paid"] and r[name] in (None, "") else r[name] for r in rows]
+        changed += sum(a != r[name] for a, r in zip(want, rows))
+        assert cells(out, name) == want
+    assert summary(table, out)["changed_cell_count"] == changed
+    paid = sum(r["paid"] is True for r in rows)
+    assert tuple(rule.metrics(table).first()) == (2 * paid, changed, 0, changed)
+
+
+def test_each_case_sees_what_the_last_one_left(table, rows):
     rule = scoped_rule(
-        ["col_email"],
+        ["depot"],
         cases=[
-            Case(lambda r, v: fx.is_empty(v), Patch(lambda r, v: r["col_email_2"])),
-            Case(
-                lambda r, v: fx.and_(fx.is_empty(v), fx.is_empty(r["col_email_2"])),
-                Patch(lambda r, v: v, "#FF0000"),
-            ),
+            Case(lambda r, v: fx.is_empty(v), Patch(lambda r, v: r["fallback"])),
+            Case(lambda r, v: fx.is_empty(v), Patch(fill="#ABCDEF")),
         ],
     )
-    out = apply_steps(t, [rule])
-    assert cells(out, "col_email") == ["backup@example.com", None, "primary@example.com"]
-    assert fills(out, "col_email") == [None, "#ff0000", None]
-    found = summary(t, out)
-    assert (found["changed_row_count"], found["changed_cell_count"]) == (2, 2)
+    out = apply_steps(table, [rule])
+    want = [r["fallback"] if model.is_empty(r["depot"]) else r["depot"] for r in rows]
+    assert cells(out, "depot") == want
+    assert fills(out, "depot") == ["#abcdef" if model.is_empty(v) else None for v in want]
 
 
 def test_rule_reads_other_targets_as_they_were(spark):
@@ -108,169 +135,112 @@ def test_many_cases_keep_the_plan_small(spark):
     assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 60_000
 
 
-def test_match_value_inside_a_rule(spark):
-    t = Table.of(spark.createDataFrame([(1, "a"), (2, "z")], "id int, x string"), "id")
-    rule = scoped_rule(
-        ["x"],
-        cases=[Case(lambda r, v: fx.equals(v, "a"), Patch("b"))],
-    )
-    graded = scoped_rule(
-        ["x"],
-        cases=[
-            Case(lambda r, v: fx.equals(v, "a"), Patch("b")),
-            Case(
-                lambda r, v: fx.not_(fx.is_empty(v)),
-                Patch(lambda r, v: r.match(fx.upper(v), [(lambda u: fx.equals(u, "B"), "was a"), (lambda u: True, "other")])),
-            ),
-        ],
-    )
-    assert cells(rule(t), "x") == ["b", "z"]
-    assert cells(graded(t), "x") == ["was a", "other"]
-
-
-def test_nested_text_functions(load_csv):
-    t = load_csv(MESSY).table
-    out = apply_steps(
-        t,
-        [
-            scoped_rule(["col_mail"], default=Patch(lambda r, v: fx.lower(fx.trim(v)))),
-            scoped_rule(
-                ["col_full_name"],
-                default=Patch(lambda r, v: fx.replace(fx.collapse_whitespace(fx.trim(v)), "Quist", "QUIST")),
-            ),
-            scoped_rule(
-                ["col_status"],
-                default=Patch(lambda r, v: fx.substring(fx.upper(fx.trim(v)), 0, 3)),
-                where=lambda r: fx.not_(fx.is_empty(fx.trim(r["col_status"]))),
-            ),
-        ],
-    )
-    assert cells(out, "col_mail")[0] == "mara.q@mail.test"
-    assert cells(out, "col_full_name")[0] == "Mara QUIST"
-    assert cells(out, "col_status")[1] == "ACT" and cells(out, "col_status")[4] == "   "
-
-
-def test_derive_text_lists_and_math(load_csv):
-    names = load_csv("first_name,last_name\r\nAlice,Ng\r\nCara,Patel Singh\r\nDiego,Ramirez Lopez\r\n").table
-    initials = derive_column(
-        "col_initials",
-        "initials",
-        lambda r: fx.concat(
-            fx.upper(fx.first(r["col_first_name"])), fx.upper(fx.first(fx.last(fx.split(r["col_last_name"], " "))))
+def test_match_inside_a_rule(table, rows):
+    size = scoped_rule(
+        ["note"],
+        default=Patch(
+            lambda r, v: r.match(
+                r["kg"],
+                [
+                    (lambda kg: fx.is_empty(kg), fx.concat("unweighed ", fx.coalesce(v, "-"))),
+                    (lambda kg: fx.greater_than(kg, 30), "pallet"),
+                ],
+                otherwise=v,
+            )
         ),
     )
-    assert cells(initials(names), "col_initials") == ["AN", "CS", "DL"]
+    want = [
+        f"unweighed {r['note'] or '-'}" if r["kg"] is None else "pallet" if r["kg"] > 30 else r["note"] for r in rows
+    ]
+    assert cells(size(table), "note") == want
 
-    sums = load_csv("price,quantity,discount\r\n10.2,3,2\r\n,4,0\r\n7,0,0\r\n").table
+
+def test_nested_text_functions(table, rows):
     out = apply_steps(
-        sums,
+        table,
         [
-            derive_column("total", "total", lambda r: fx.multiply(r["col_price"], r["col_quantity"])),
-            derive_column("net", "net", lambda r: fx.subtract(r["total"], r["col_discount"])),
-            derive_column("rounded", "rounded", lambda r: fx.round(r["net"])),
-            derive_column("low", "low", lambda r: fx.floor(fx.divide(r["net"], 2))),
-            derive_column("high", "high", lambda r: fx.ceil(fx.divide(r["net"], 2))),
-            derive_column("rest", "rest", lambda r: fx.modulo(r["rounded"], 4)),
-            derive_column("none", "none", lambda r: fx.divide(r["rounded"], 0)),
+            derive_column("label", "Label", lambda r: fx.upper(fx.concat(fx.first(fx.trim(r["depot"])), "-", fx.to_string(r["no"])))),
+            derive_column("tail", "Tail", lambda r: fx.last(fx.split(fx.coalesce(r["note"], ""), ";"))),
         ],
     )
-    first, second = out.sorted_df().take(2)
-    assert first["total"] == pytest.approx(30.6) and first["net"] == pytest.approx(28.6)
-    assert (first["rounded"], first["low"], first["high"], first["rest"], first["none"]) == (29, 14, 15, 1, None)
-    assert second["total"] is None and second["rounded"] is None
+    trimmed = [model.trim(r["depot"]) for r in rows]
+    assert cells(out, "label") == [((t[:1] if t else "") + f"-{r['no']}").upper() if t is not None else f"-{r['no']}" for t, r in zip(trimmed, rows)]
+    assert cells(out, "tail") == [(r["note"] or "").split(";")[-1] for r in rows]
 
 
-def test_dates_and_a_stable_now(load_csv):
-    t = load_csv("sign_up_date\r\n2026-01-02\r\nbad-date\r\n").table
+def test_parts_of_lists_and_arithmetic(table, rows):
     out = apply_steps(
-        t,
+        table,
         [
-            derive_column("a", "a", lambda r: r.now()),
-            derive_column("b", "b", lambda r: r.now()),
-            derive_column("year", "year", lambda r: fx.date_part(r["col_sign_up_date"], "year")),
-            derive_column("next", "next", lambda r: fx.date_add(r["col_sign_up_date"], 7, "days")),
-            derive_column("diff", "diff", lambda r: fx.date_diff(r["next"], r["col_sign_up_date"], "days")),
+            derive_column("parts", "Parts", lambda r: fx.length(fx.split(r["note"], ";"))),
+            derive_column("second", "Second", lambda r: fx.at_index(fx.split(r["note"], ";"), 1)),
+            derive_column("grams", "Grams", lambda r: fx.multiply(r["kg"], 1000)),
+            derive_column("share", "Share", lambda r: fx.divide(r["no"], r["kg"])),
         ],
     )
-    first, second = out.sorted_df().collect()
-    assert first["a"] == first["b"] == second["a"] and len(first["a"]) == 24
-    assert (first["year"], first["next"], first["diff"]) == (2026, "2026-01-09T00:00:00.000Z", 7)
-    assert (second["year"], second["next"], second["diff"]) == (None, None, None)
-
-
-def test_casts_and_numeric_sort_of_a_mixed_column(load_csv):
-    t = load_csv("value,flag,created_at\r\n 42 ,YES,2026-01-02\r\n0,no,2026-01-03\r\nhello,maybe,\r\n,1,2026-01-04\r\n").table
-    assert [c.type for c in t.columns] == ["mixed", "mixed", "date"]
+    split = [None if r["note"] is None else r["note"].split(";") for r in rows]
+    assert cells(out, "parts") == [0 if s is None else len(s) for s in split]
+    assert cells(out, "second") == [s[1] if s and len(s) > 1 else None for s in split]
+    assert cells(out, "grams") == [None if r["kg"] is None else r["kg"] * 1000 for r in rows]
+    assert cells(out, "share") == [r["no"] / r["kg"] if r["kg"] else None for r in rows]
+
+
+def test_now_is_one_moment_and_dates_reach_far(spark):
+    t = Table.of(spark.createDataFrame([(1, "2024-02-29"), (2, "1999-12-31T23:59:59Z"), (3, "soon")], "no int, due string"), "no")
+    moves = {"a": (-9000, "years"), "b": (1e9, "years"), "c": (13, "months"), "d": (1e300, "seconds"), "e": (float("nan"), "days"), "f": (5e7, "days")}
+    steps = [derive_column(k, k, lambda r, n=n, u=u: fx.date_add(r["due"], n, u)) for k, (n, u) in moves.items()]
+    steps += [derive_column(k, k, lambda r: r.now()) for k in ("n1", "n2")]
+    out = apply_steps(t, steps)
+    assert cells(out, "a") == ["-006976-02-29T00:00:00.000Z", "-007001-12-31T23:59:59.000Z", None]
+    assert cells(out, "b") == cells(out, "d") == cells(out, "e") == [None] * 3
+    assert cells(out, "c") == ["2025-03-29T00:00:00.000Z", "2001-01-31T23:59:59.000Z", None]
+    assert cells(out, "f")[0].startswith("+138919-")
+    assert len({*cells(out, "n1"), *cells(out, "n2")}) == 1
+
+
+def test_casts_and_a_sort_by_them(table, rows):
     out = apply_steps(
-        t,
-        [
-            derive_column("n", "n", lambda r: fx.to_number(r["col_value"])),
-            derive_column("b", "b", lambda r: fx.to_boolean(r["col_flag"])),
-            derive_column("s", "s", lambda r: fx.to_string(r["n"])),
-            derive_column("d", "d", lambda r: fx.to_number(r["col_created_at"])),
-            derive_column("copy", "copy", lambda r: r["col_value"]),
-            sort_rows([("n", "asc")]),
-        ],
+        table,
+        [derive_column("amount", "Amount", lambda r: fx.to_number(r["fee"])), sort_rows([("amount", "desc"), ("depot", "asc")])],
     )
-    assert row_ids(out, t) == [2, 1, 3, 4]
-    assert cells(out, "n") == [0.0, 42.0, None, None]
-    assert cells(out, "b") == [False, True, None, True]
-    assert cells(out, "s") == ["0", "42", None, None]
-    assert cells(out, "d") == [None] * 4
-    assert out.column("copy").type == "mixed"
-    for bad in (
-        sort_rows([("col_value", "asc")]),
-        filter_rows("keep", lambda r: fx.equals(r["col_value"], "x")),
-        derive_column("x", "x", lambda r: fx.coalesce(r["col_value"], "")),
-    ):
-        with pytest.raises(StepError, match="incompatibleType"):
-            bad(t)
-    assert len(cells(deduplicate_rows(["col_value"])(t), "col_value")) == 4
-
-
-def test_filters(load_csv):
-    t = load_csv(ORDERS).table
-    paid = lambda r: fx.and_(fx.greater_than(r["col_order_total"], 100), fx.equals(r["col_order_status"], "paid"))
-    kept = filter_rows("keep", paid)(t)
-    assert row_ids(kept, t) == [1, 3, 5]
-    assert row_ids(filter_rows("drop", paid)(t), t) == [2, 4, 6]
-    # A missing value is neither matched nor dropped.
-    with_mail = filter_rows("drop", lambda r: fx.starts_with(r["col_mail"], "mara"))(t)
-    assert row_ids(with_mail, t) == [2, 3, 4, 5, 6]
-    blank = load_csv('email\r\n   \r\nalice@example.com\r\n""\r\n').table
-    assert row_ids(filter_rows("keep", lambda r: fx.is_empty(r["col_email"]))(blank), blank) == [1, 3]
-
-
-def test_split_and_combine(load_csv):
-    t = load_csv("full_name\r\nAlice Ng\r\nBob\r\nCara Patel Singh\r\n\r\n").table
-    out = split_column("col_full_name", " ", [("a", "first_name"), ("b", "last_name")])(t)
-    assert cells(out, "a") == ["Alice", "Bob", "Cara", None]
-    assert cells(out, "b") == ["Ng", None, "Patel Singh", None]
-    dotted = Table.of(t.df.sparkSession.createDataFrame([(1, "a.b.|c")], "id int, x string"), "id")
-    assert split_column("x", ".", [("a", "a"), ("b", "b")])(dotted).to_df().first()[2:] == ("a", "b.|c")
-    assert split_column("x", ".|", [("a", "a"), ("b", "b")])(dotted).to_df().first()[2:] == ("a.b", "c")
-
-    c = load_csv('city,state\r\nSeattle,WA\r\n,""\r\n"   ",CA\r\n').table
-    assert cells(combine_columns(["col_city", "col_state"], ", ", "loc", "location")(c), "loc") == [
-        "Seattle, WA",
-        "",
-        "   , CA",
-    ]
-
-
-def test_sort_then_dedupe_keeps_first_in_row_order(load_csv):
-    t = load_csv("email,name\r\nalice@example.com,Alice A\r\nalice@example.com,Alice Z\r\nbob@example.com,Bob\r\n").table
-    out = apply_steps(t, [sort_rows([("col_name", "desc")]), deduplicate_rows(["col_email"])])
-    assert row_ids(out, t) == [3, 2]
-    scores = load_csv("name,score\r\nA,2\r\nB,\r\nC,2\r\nD,1\r\n").table
-    ordered = sort_rows([("col_score", "desc")])(scores)
-    assert row_ids(ordered, scores) == [1, 3, 4, 2]
-    assert summary(scores, ordered)["row_order_changed"]
+    amount = [model.to_number(r["fee"]) for r in rows]
+    order = sorted(rows, key=lambda r: r["no"])
+    order.sort(key=lambda r: (r["depot"] is None, r["depot"] or ""))
+    order.sort(key=lambda r: (amount[r["no"] - 1] is None, -(amount[r["no"] - 1] or 0)))
+    assert numbers(out) == [r["no"] for r in order]
+
+
+def test_filters_keep_and_drop(table, rows):
+    heavy = lambda r: fx.greater_than(r["kg"], 1)
+    known = [r["no"] for r in rows if r["kg"] is not None and r["kg"] > 1]
+    assert numbers(filter_rows("keep", heavy)(table)) == known
+    assert numbers(filter_rows("drop", heavy)(table)) == [r["no"] for r in rows if r["no"] not in known]
+    empty = filter_rows("keep", lambda r: fx.is_empty(r["depot"]))(table)
+    assert numbers(empty) == [r["no"] for r in rows if model.is_empty(r["depot"])]
+
+
+def test_split_keeps_the_rest_and_combine_skips_gaps(table, rows):
+    out = split_column("note", ";", [("head", "Head"), ("rest", "Rest")])(table)
+    cut = [(None, None) if r["note"] is None else (*r["note"].split(";", 1), None)[:2] for r in rows]
+    assert cells(out, "head") == [a for a, _ in cut]
+    assert cells(out, "rest") == [b for _, b in cut]
+    joined = combine_columns(["depot", "fallback", "fee"], " > ", "route", "Route")(table)
+    want = [" > ".join(v for v in (r["depot"], r["fallback"], r["fee"]) if v not in (None, "")) for r in rows]
+    assert cells(joined, "route") == want
+
+
+def test_dedupe_after_a_sort_keeps_the_first_in_row_order(table, rows):
+    order = sorted(rows, key=lambda r: (r["kg"] is None, -(r["kg"] or 0), r["no"]))
+    seen, want = set(), []
+    for r in order:
+        if r["depot"] not in seen:
+            seen.add(r["depot"])
+            want.append(r["no"])
+    out = apply_steps(table, [sort_rows([("kg", "desc")]), deduplicate_rows(["depot"])])
+    assert numbers(out) == want
     # A later edit or drop of the key does not disturb the order.
-    edited = apply_steps(
-        scores, [sort_rows([("col_score", "desc")]), scoped_rule(["col_score"], default=Patch(0)), drop_columns(["col_score"])]
-    )
-    assert row_ids(edited, scores) == [1, 3, 4, 2]
+    edited = apply_steps(table, [sort_rows([("kg", "desc")]), scoped_rule(["kg"], default=Patch(1)), drop_columns(["kg"])])
+    assert numbers(edited) == [r["no"] for r in order]
 
 
 def test_dedupe_is_type_and_null_exact(spark):
@@ -363,48 +333,58 @@ def test_step_errors(load_csv, step, code):
 
 
 def test_issues_are_collected_without_running(load_csv):
-    t = load_csv("first_name,last_name\r\nAlice,Ng\r\n").table
+    t = load_csv("depot,note\r\nKiel,cold\r\n").table
     found = find_issues(
         t, [derive_column("full", "first_name", "x").named("a"), rename_column("full", "y").named("b"), comment("c")]
     )
     assert [(e.code, e.step_id) for e in found] == [("nameConflict", "a"), ("missingColumn", "b")]
 
 
-def test_metrics_arrive_with_the_write(load_csv, tmp_path):
-    t = load_csv("status,note\r\n,a\r\nx,b\r\n ,c\r\n").table
-    run = observe_steps(
-        t,
-        [
-            scoped_rule(["col_status"], default=Patch(lambda r, v: fx.coalesce(v, "unknown"), "#ffffff")).named("fill"),
-            filter_rows("drop", lambda r: fx.equals(r["col_note"], "b")).named("drop"),
-            scoped_rule(["col_status"], cases=[Case(lambda r, v: fx.is_empty(v), Patch(fill="#ffffff"))]).named("mark"),
-        ],
-    )
-    run.table.to_df().write.parquet(str(tmp_path / "out"))
-    assert [tuple(s.values())[2:] for s in run.summaries()] == [(3, 1, 3, 3), (0, 0, 0, 0), (1, 0, 0, 0)]
+METERED = [
+    scoped_rule(["depot"], cases=[Case(lambda r, v: fx.is_empty(v), Patch("Kiel", "#00ff00"))]).named("gaps"),
+    filter_rows("drop", lambda r: r["paid"]).named("paid"),
+    sort_rows([("kg", "asc")]).named("sort"),
+    scoped_rule(["kg", "fee"], default=Patch(None), where=lambda r: fx.less_than(r["no"], 20)).named("clear"),
+]
+
+
+@pytest.mark.parametrize("sink", ["none", "noop", "csv", "parquet", "ordered"])
+def test_metrics_do_not_depend_on_the_sink(table, rows, tmp_path, sink):
+    run = count_steps(table, METERED)
+    path = str(tmp_path / sink)
+    if sink == "csv":
+        write_csv(run.table, path)
+    elif sink == "noop":
+        run.table.sorted_df().write.format("noop").mode("overwrite").save()
+    elif sink != "none":
+        write_parquet(run.table, path, ordered=sink == "ordered")
+    gaps = sum(model.is_empty(r["depot"]) for r in rows)
+    left = [r for r in rows if r["paid"] is not True and r["no"] < 20]
+    cleared = sum((r["kg"] is not None) + (r["fee"] is not None) for r in left)
+    assert [tuple(s.values()) for s in run.summaries()] == [
+        ("gaps", "scopedRule", gaps, gaps, gaps, gaps),
+        ("paid", "filterRows", 0, 0, 0, 0),
+        ("sort", "sortRows", 0, 0, 0, 0),
+        ("clear", "scopedRule", 2 * len(left), cleared, 0, cleared),
+    ]
 
 
-def test_change_summary_of_a_full_run(load_csv):
-    t = load_csv(MESSY).table
-    out = apply_steps(
-        t,
-        [
-            scoped_rule(["col_status"], default=Patch(lambda r, v: fx.coalesce(v, "unknown"))),
-            combine_columns(["col_town", "col_region"], ", ", "col_location", "location"),
-            filter_rows("drop", lambda r: fx.is_empty(r["col_mail"])),
-            sort_rows([("col_joined_on", "desc")]),
-        ],
-    )
-    # 6 surviving rows each gain a cell, row 1 gains a status; row 3 is removed.
-    assert summary(t, out) == {
-        "changed_row_count": 7,
-        "changed_cell_count": 7,
-        "removed_row_count": 1,
-        "row_order_changed": True,
-        "created_column_ids": ["col_location"],
-    }
-    same = summary(t, t)
-    assert (same["changed_row_count"], same["changed_cell_count"], same["row_order_changed"]) == (0, 0, False)
+def test_change_summary_of_a_sorted_run(table, rows):
+    steps = [
+        scoped_rule(["depot"], default=Patch(lambda r, v: fx.trim(v))),
+        filter_rows("drop", lambda r: fx.is_empty(r["fee"])),
+        sort_rows([("no", "desc")]),
+        derive_column("extra", "Extra", lambda r: 1),
+    ]
+    found = summary(table, apply_steps(table, steps))
+    left = [r for r in rows if not model.is_empty(r["fee"])]
+    places = {r["no"]: k for k, r in enumerate(reversed(left))}
+    trimmed = sum(model.trim(r["depot"]) != r["depot"] for r in left)
+    moved = sum(r["no"] - 1 != places[r["no"]] for r in left)
+    # Every surviving row has the new column's cell, so all rows have changed.
+    assert found["removed_row_count"] == len(rows) - len(left) and found["changed_row_count"] == len(rows)
+    assert found["changed_cell_count"] == trimmed + len(left)
+    assert found["row_order_changed"] == (moved > 0 or len(left) < len(rows)) and found["created_column_ids"] == ["extra"]
 
 
 def test_run_summary_agrees_with_the_comparison(spark):
