@@ -19,28 +19,30 @@ from tablewash.session import prepare_session, stored
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps, which learns from the labels."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = prepare_session(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return classify(docs, labels).filter("kept").select(*docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose countable faults and n-gram ratio are within limits."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = prepare_session(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules(docs, trusted_ids(labels)).filter("kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id."""
+    prepare_session(spark)
     return without_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark's items."""
-    return without_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_contamination(docs, prepare_session(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents, each with its place in a training sequence."""
+    prepare_session(spark)
     return pack_documents(docs)
 
 
