@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Date functions work in UTC; AQE re-plans shuffles from real sizes. Shuffle
 # partitions are left to the cluster: AQE coalesces them when data is small.
+# Rows that go to Python may hold long texts, so few of them go at a time.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 # Folders made in this process, by application, for `clear_scratch`.

@@ -335,7 +335,7 @@ def test_step_errors(load_csv, step, code):
 def test_issues_are_collected_without_running(load_csv):
     t = load_csv("depot,note\r\nKiel,cold\r\n").table
     found = find_issues(
-        t, [derive_column("full", "first_name", "x").named("a"), rename_column("full", "y").named("b"), comment("c")]
+        t, [derive_column("full", "depot", "x").named("a"), rename_column("full", "y").named("b"), comment("c")]
     )
     assert [(e.code, e.step_id) for e in found] == [("nameConflict", "a"), ("missingColumn", "b")]
 
