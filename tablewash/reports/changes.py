@@ -6,7 +6,7 @@ from dataclasses import replace
 from functools import reduce
 from typing import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,7 +56,8 @@ def _side(table: Table, prefix: str, ids: list[str], values: list[Column]) -> Da
 def compare_rows(before: Table, after: Table) -> DataFrame:
     """Rows ``(__id*, removed, changed_cells)``, one per row of ``before``.
 
-    Both sides are hashed on the unique row id, so no key is hot. Columns that
+    Both sides are hashed on the row id, which must be unique, so no key is hot; a
+    repeated id fails the job. Columns that
     exist on one side only count as one changed cell in each surviving row.
     """
     shared = [c for c in before.ids if c in after.ids]
@@ -78,10 +79,14 @@ def compare_rows(before: Table, after: Table) -> DataFrame:
             new = F.col(f"afill_{c}") if c in after.fills else F.lit(None).cast("string")
             same = same & old.eqNullSafe(new)
         counts.append((~same).cast("int"))
-    removed = F.col("__present").isNull()
+    # The join has brought equal ids together, so counting them moves nothing again.
+    alike = F.count("*").over(Window.partitionBy(*keys))
+    repeated = F.raise_error(F.lit("duplicateRowId: the row id is not unique, so rows can't be compared")).cast("boolean")
+    joined = joined.withColumn("removed", F.when(alike > 1, repeated).otherwise(F.col("__present").isNull()))
+    removed = F.col("removed")
     return joined.select(
         *keys,
-        removed.alias("removed"),
+        "removed",
         F.when(removed, F.lit(0)).otherwise(sum(counts[1:], counts[0])).cast("bigint").alias("changed_cells"),
     )
 

@@ -387,6 +387,12 @@ def test_change_summary_of_a_sorted_run(table, rows):
     assert found["row_order_changed"] == (moved > 0 or len(left) < len(rows)) and found["created_column_ids"] == ["extra"]
 
 
+def test_repeated_row_ids_are_refused(spark):
+    t = Table.of(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "no int, x string"), "no")
+    with pytest.raises(Exception, match="duplicateRowId"):
+        change_summary(t, t).collect()
+
+
 def test_run_summary_agrees_with_the_comparison(spark):
     rows = [(i % 5, i, "x" if i % 3 else None, i / 2) for i in range(40)]
     t = Table.of(spark.createDataFrame(rows, "a int, b int, s string, n double").repartition(3), ["a", "b"])
