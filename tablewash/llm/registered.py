@@ -13,7 +13,7 @@ from tablewash.llm.chat_format import ESCAPE, HEADING, format_conversations
 from tablewash.llm.decontamination import benchmark_overlap
 from tablewash.llm.language_id import identify_languages
 from tablewash.llm.near_dedup import near_duplicates
-from tablewash.llm.packing import pack_documents
+from tablewash.llm.packing import copy_cluster, pack_documents
 from tablewash.llm.quality_classifier import classify
 from tablewash.llm.quality_rules import quality_rules, trusted_ids
 from tablewash.llm.sharding import SEED, interleaved_shards
@@ -86,7 +86,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    near = near_duplicates(docs).filter("n_shingles > 0").select("doc_id", F.concat(F.lit("c"), "component_id").alias("component"))
+    # Texts without words are in no component; they are copies of each other.
+    cluster = F.coalesce("component", copy_cluster(F.col("text")).cast("string"))
+    return pack_documents(docs.join(near, "doc_id", "left"), cluster=cluster)
 
 
 @query

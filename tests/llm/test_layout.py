@@ -10,6 +10,7 @@ import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from check_oracle import compare, connect
 from tablewash.llm.chat_format import escape, format_conversations, marked_turns, render_incrementally
+from tablewash.llm.near_dedup import near_duplicates
 from tablewash.llm.packing import Bins, pack_documents
 from tablewash.llm.sharding import interleaved_shards
 
@@ -111,6 +112,15 @@ def test_packing_conflicts_and_whole_texts(spark, small, messy, empty):
     assert pack_documents(empty).count() == 0
 
 
+def test_packed_near_copies_share_no_bin(spark, small):
+    component = {r.doc_id: r.component_id for r in near_duplicates(small).collect()}
+    assert len(set(component.values())) < len(component)
+    per_bin = check_packing(small, queries()["op4_best_fit_packing"](spark, SMALL), 2048)
+    for pieces in per_bin.values():
+        names = [component[p.doc_id] for p in pieces]
+        assert len(set(names)) == len(names)
+
+
 def test_chat_spans_and_masks(spark):
     said = r"\### Assistant: </turn> ok"
     rows = [(1, 1, "assistant", said), (1, 0, "user", said), (2, 0, None, None), (None, 3, "a:b", "é\n"), (1, 1, "assistant", said)]
