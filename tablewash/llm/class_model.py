@@ -3,14 +3,16 @@
 1. *Blocks.* One pass turns texts into blocks of about half a million tokens: each block
    keeps its distinct words as hashes with their training counts, and its tokens
    as places in that dictionary. Later passes read blocks, never texts.
-2. *Units.* The most frequent words are units of their own, all others fall into
-   units by their last bytes. Bigrams of units over all training tokens are
-   counted in each task and summed; their number is bounded by the units'.
-3. *Classes.* Exchange clustering moves units between classes while the likelihood of
-   the training bigrams grows. A word's class is that of its unit.
-4. *Counts.* Dictionary entries of all blocks meet by word, get the word's count over
+2. *Counts.* Dictionary entries of all blocks meet by word, get the word's count over
    all training tokens, and go back to their block. A word takes part once a
    block, however often it occurs.
+3. *Start.* The most frequent words are units of their own, all others fall into
+   units by their last bytes, and exchange clustering moves units between classes.
+   The number of classes follows the number of training words.
+4. *Exchange.* In rounds, the counts of neighbouring classes of all training words
+   are gathered, and each word moves to the class where the likelihood of the
+   training bigrams gains most. A round counts only if the likelihood rises. Words
+   unseen in training keep the class of their ending.
 5. *Scores.* Each block is scored with its own counts and the class tables.
 """
 
@@ -27,12 +29,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tablewash.llm.words import is_space_free, mixed, slices, utf8, words_of
-from tablewash.session import stored
+from tablewash.session import discard, stored
 
 BLOCK_TOKENS = 1 << 19
 FREQUENT = 256
 ENDINGS = 256
+# The fewest classes; beyond, the cube root of the number of training words.
 CLASSES = 48
+# A round of moves that adds less than this share of what all rounds added is the last.
+LEAST_RISE = 0.1
+# Pairs of classes that never met count as this share of what chance would give.
+CHANCE = 0.02
+# Dictionary entries whose words are moved in one task, on average, and words at a time.
+MOVE_ENTRIES = 50_000
+MOVE_WORDS = 4_096
 # A word may be a unit of its own if it is so large a share of some block.
 FREQUENT_SHARE = 1e-4
 PSEUDO_COUNT = 0.1
@@ -296,15 +306,186 @@ class Tables:
     words: int
 
 
-def _tables(bigrams: np.ndarray, unit_words: np.ndarray, words: int) -> Tables:
-    label = exchange_classes(bigrams)
-    one = np.zeros((UNITS, CLASSES))
+def _tables(bigrams: np.ndarray, unit_words: np.ndarray, words: int, classes: int = CLASSES) -> Tables:
+    label = exchange_classes(bigrams, classes)
+    one = np.zeros((UNITS, classes))
     one[np.arange(UNITS), label] = 1
-    pair = one.T @ bigrams @ one
+    return _class_tables(label, one.T @ bigrams @ one, unit_words @ one, words)
+
+
+def _class_tables(label: np.ndarray, pair: np.ndarray, class_words: np.ndarray, words: int) -> Tables:
     count = pair.sum(0)
-    prior = (count + 1) / (count.sum() + CLASSES)
+    prior = (count + 1) / (count.sum() + len(pair))
     transition = (pair + TRANSITION_PRIOR * prior) / (pair.sum(1, keepdims=True) + TRANSITION_PRIOR)
-    return Tables(label, count, unit_words @ one, np.log10(transition), int(bigrams.sum()), words)
+    return Tables(label, count, class_words, np.log10(transition), int(pair.sum()), words)
+
+
+def likelihood(pair: np.ndarray) -> float:
+    """The part of the training bigrams' log likelihood that depends on the classes."""
+
+    def f(x: np.ndarray) -> float:
+        return float((x * np.log(np.maximum(x, 1e-12))).sum())
+
+    return f(pair) - f(pair.sum(0)) - f(pair.sum(1))
+
+
+def _neighbours(parts: DataFrame, labels: DataFrame, classes: int) -> DataFrame:
+    """``(hash, block, place, label, cells, counts)``, a row per dictionary entry: how often
+    its training tokens follow a token of each class (cells 0 to ``classes``) and
+    precede one (cells from ``classes``)."""
+
+    def count(part: pa.Table, entries: pa.Table) -> pa.Table:
+        label = np.zeros(entries.num_rows, dtype=np.int64)
+        label[entries["place"].to_numpy()] = entries["label"].to_numpy()
+        found: list[pa.Table] = []
+        for k in range(part.num_rows):
+            size = np.frombuffer(part["sizes"][k].as_py(), dtype="<i8")
+            hashes = np.frombuffer(part["hashes"][k].as_py(), dtype="<i8")
+            stream = _unpacked(part["tokens"][k].as_py(), int(size.sum()))
+            learned = np.repeat(np.array(part["train"][k].as_py(), dtype=bool), size)
+            kind = label[stream]
+            before = np.concatenate([[0], kind[:-1]])
+            follows = (stream * (2 * classes) + before)[learned]
+            inner = np.flatnonzero(learned & (before > 0))
+            precedes = stream[inner - 1] * (2 * classes) + classes + kind[inner]
+            keys, n = np.unique(np.concatenate([follows, precedes]), return_counts=True)
+            at = np.searchsorted(keys, np.arange(len(hashes) + 1) * (2 * classes))
+
+            def packed(values: np.ndarray) -> pa.Array:
+                ends = pa.py_buffer((at * values.itemsize).astype("<i4").tobytes())
+                return pa.Array.from_buffers(pa.binary(), len(hashes), [None, ends, pa.py_buffer(values.tobytes())])
+
+            found.append(
+                pa.table(
+                    {
+                        "hash": hashes,
+                        "block": np.full(len(hashes), part["block"][k].as_py(), dtype=np.int64),
+                        "place": np.arange(len(hashes), dtype=np.int32),
+                        "label": label.astype(np.int16),
+                        "cells": packed((keys % (2 * classes)).astype("<u2")),
+                        "counts": packed(n.astype("<u4")),
+                    }
+                )
+            )
+        return pa.concat_tables(found) if found else _NO_NEIGHBOURS
+
+    read = parts.select("block", "train", "sizes", "tokens", "hashes").groupBy("block")
+    return read.cogroup(labels.select("block", "place", "label").groupBy("block")).applyInArrow(
+        count, "hash long, block long, place int, label short, cells binary, counts binary"
+    )
+
+
+_NO_NEIGHBOURS = pa.schema(
+    [("hash", pa.int64()), ("block", pa.int64()), ("place", pa.int32()), ("label", pa.int16()), ("cells", pa.binary()), ("counts", pa.binary())]
+).empty_table()
+
+
+def _cells(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all cells of the rows of ``_neighbours``: row, cell and count."""
+    cells, counts = table["cells"].to_pylist(), table["counts"].to_pylist()
+    row = np.repeat(np.arange(len(cells)), [len(c) // 2 for c in cells])
+    return row, np.frombuffer(b"".join(cells), "<u2").astype(np.int64), np.frombuffer(b"".join(counts), "<u4")
+
+
+def _pairs(seen: DataFrame, classes: int) -> np.ndarray:
+    """How often each class follows each other one in training."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(classes * classes)
+        for batch in batches:
+            row, cell, n = _cells(batch)
+            mine = cell < classes
+            after = batch["label"].to_numpy().astype(np.int64)[row[mine]]
+            table += np.bincount(cell[mine] * classes + after, weights=n[mine], minlength=len(table))
+        held = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(table[held].astype(np.int64))], names=["cell", "n"])
+
+    rows = seen.select("label", "cells", "counts").mapInArrow(count, "cell long, n long")
+    summed = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    pair = np.zeros(classes * classes)
+    pair[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    return pair.reshape(classes, classes)
+
+
+def best_classes(near: np.ndarray, label: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """The class of each word where the likelihood gains most, by what it gains for each
+    neighbour; a word's own class is judged without the word. ``near`` holds the counts
+    of classes before and after each word."""
+    classes = len(pair)
+    left, right, total = pair.sum(1), pair.sum(0), max(pair.sum(), 1.0)
+
+    def ratio(n: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        expected = np.maximum(expected, 1e-9)
+        return np.log(np.maximum(n, 0) / expected + CHANCE)
+
+    weights = ratio(pair, np.outer(left, right) / total)
+    gain = near @ np.concatenate([weights, weights.T])
+    into, out = near[:, :classes], near[:, classes:]
+    n = into.sum(1, keepdims=True), out.sum(1, keepdims=True)
+    own = (into * ratio(pair[:, label].T - into, left[None, :] * (right[label][:, None] - n[0]) / total)).sum(1)
+    own += (out * ratio(pair[label] - out, (left[label][:, None] - n[1]) * right[None, :] / total)).sum(1)
+    rows = np.arange(len(label))
+    gain[rows, label] = own
+    gain[:, 0] = -np.inf
+    best = gain.argmax(1)
+    moves = (label > 0) & (n[0] + n[1] > 0).ravel() & (gain[rows, best] > own + 1e-9)
+    return np.where(moves, best, label)
+
+
+def _moved(seen: DataFrame, pair: np.ndarray, share: float, salt: int, buckets: int) -> DataFrame:
+    """``(block, place, label)`` after a share of the words went to their best classes."""
+    classes = len(pair)
+    shared = seen.sparkSession.sparkContext.broadcast(pair)
+
+    def move(group: pa.Table) -> pa.Table:
+        names, word = np.unique(group["hash"].to_numpy(), return_inverse=True)
+        label = np.zeros(len(names), dtype=np.int64)
+        label[word] = group["label"].to_numpy()
+        row, cell, n = _cells(group)
+        order = np.argsort(word[row], kind="stable")
+        of, cell, n = word[row][order], cell[order], n[order]
+        draw = mixed(names.view(np.uint64) + np.uint64(salt)) % np.uint64(1024)
+        new = label.copy()
+        for low in range(0, len(names), MOVE_WORDS):
+            high = min(low + MOVE_WORDS, len(names))
+            a, b = np.searchsorted(of, [low, high])
+            near = np.bincount((of[a:b] - low) * (2 * classes) + cell[a:b], weights=n[a:b], minlength=(high - low) * 2 * classes)
+            new[low:high] = best_classes(near.reshape(high - low, 2 * classes), label[low:high], shared.value)
+        new = np.where(draw < 1024 * share, new, label)
+        return pa.table({"block": group["block"], "place": group["place"], "label": new[word].astype(np.int16)})
+
+    dealt = seen.withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInArrow(move, "block long, place int, label short")
+
+
+def _exchanged(parts: DataFrame, labels: DataFrame, classes: int) -> tuple[DataFrame, np.ndarray]:
+    """Labels of all dictionary entries, and the pairs of classes, once moves of words
+    between classes no longer raise the likelihood much."""
+    buckets = max(1, -(-(parts.agg(F.sum("words")).first()[0] or 0) // MOVE_ENTRIES))
+    seen = stored(_neighbours(parts, labels, classes), "neighbours")
+    pair = _pairs(seen, classes)
+    gained, share, salt = 0.0, 1.0, 0
+    # After a round that lost, fewer words move at a time.
+    while pair.sum() and share >= 0.25:
+        salt += 1
+        moved = stored(_moved(seen, pair, share, salt, buckets), "labels")
+        tried = stored(_neighbours(parts, moved, classes), "neighbours")
+        after = _pairs(tried, classes)
+        rise = likelihood(after) - likelihood(pair)
+        if rise <= 0:
+            share /= 2
+            discard(moved)
+            discard(tried)
+            continue
+        discard(seen)
+        if gained:
+            discard(labels)
+        labels, seen, pair = moved, tried, after
+        gained += rise
+        if rise < LEAST_RISE * gained:
+            break
+    discard(seen)
+    return labels, pair
 
 
 def class_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,16 +523,24 @@ def class_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     unit_words = np.zeros(UNITS)
     for r in sizes:
         unit_words[r["unit"]] = r["words"]
-    tables = spark.sparkContext.broadcast(_tables(bigrams, unit_words, int(unit_words.sum())))
+    words = int(unit_words.sum())
+    classes = max(CLASSES, round(words ** (1 / 3)))
+    start = _tables(bigrams, unit_words, words, classes)
+    unit_label = F.array(*[F.lit(int(c)).cast("short") for c in start.label])
+    labels, pair = _exchanged(parts, counted.select("block", "place", unit_label[F.col("unit")].alias("label")), classes)
+    entries = counted.select("block", "place", "count", "first").join(labels, ["block", "place"])
+    class_words = np.zeros(classes)
+    for r in entries.filter("first and count > 0").groupBy("label").agg(F.count("*").alias("words")).collect():
+        class_words[r["label"]] = r["words"]
+    tables = spark.sparkContext.broadcast(_class_tables(start.label, pair, class_words, words))
 
     def score(part: pa.Table, entries: pa.Table) -> pa.Table:
         t = tables.value
         place = entries["place"].to_numpy()
         count = np.zeros(len(place), dtype=np.float64)
-        unit = np.zeros(len(place), dtype=np.int64)
+        label = np.zeros(len(place), dtype=np.int64)
         count[place] = entries["count"].to_numpy()
-        unit[place] = entries["unit"].to_numpy()
-        label = t.label[unit]
+        label[place] = entries["label"].to_numpy()
         base = np.log10((count + PSEUDO_COUNT) / (t.tokens + PSEUDO_COUNT * (t.words + 1)))
         emission = np.log10((count + PSEUDO_COUNT) / (t.class_count[label] + PSEUDO_COUNT * (t.class_words[label] + 1)))
         found: list[pa.Table] = []
@@ -378,7 +567,7 @@ def class_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pa.concat_tables(found)
 
     read = parts.select("block", "ids", "train", "sizes", "tokens").groupBy("block")
-    scored = read.cogroup(counted.select("block", "place", "unit", "count").groupBy("block")).applyInArrow(
+    scored = read.cogroup(entries.select("block", "place", "label", "count").groupBy("block")).applyInArrow(
         score,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

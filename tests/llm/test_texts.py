@@ -211,6 +211,16 @@ def test_exchange_ends_where_no_move_helps():
             assert likelihood(n, moved, 6) <= reached + 1e-6
 
 
+def test_rare_words_leave_the_class_of_their_ending(spark):
+    """Two kinds of words that alternate and all end alike, most of them not frequent."""
+    rng = random.Random(6)
+    kinds = [[f"{k}{i}xyz" for i in range(600)] for k in "ab"]
+    rows = [(i, " ".join(rng.choice(kinds[n % 2]) for n in range(200))) for i in range(300)]
+    found = class_model_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    held = [r for r in found if r.held_out]
+    assert sum(r.score - r.base_score for r in held) > 0.2 * sum(r.n_tokens for r in held)
+
+
 def overlap(texts, items, window=10):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     windows = [
