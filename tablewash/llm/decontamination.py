@@ -1,14 +1,15 @@
 """Benchmark decontamination with suffix arrays over shards of the documents.
 
 Each task cuts its rows into shards of some megabytes, sorts the suffixes of a
-shard's word sequence and binary-searches every suffix of the benchmark items in
-it. That gives each suffix's longest verbatim match and, for a window of an item
-(ten consecutive words, or the whole of a shorter item), the range of suffixes
-that begin with it, which are all its places in the shard.
+shard's word sequence and binary-searches every window of the benchmark items in
+it (ten consecutive words, or the whole of a shorter item). That gives the range of
+suffixes that begin with it, which are all its places in the shard. The items'
+own suffixes are sorted as well, and every place of a row is searched among them:
+that gives the longest verbatim match that begins there.
 
 Words are compared by their 64-bit hashes. A word that no item has ends every
 match, so suffixes that reach such a word before the shortest window are left
-out of the array: no window can begin there.
+out of a shard's array: no window can begin there.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ PART_BYTES = 64 << 20
 @dataclass
 class Benchmark:
     """Items as word codes. ``words`` is the sorted vocabulary; a code is a place in
-    it plus one. ``suffix`` has the start and end of every item suffix."""
+    it plus one. ``start`` and ``stop`` are those of every item suffix, and ``array``
+    sorts the suffixes, for whose places ``owner`` has the item."""
 
     words: np.ndarray
     codes: np.ndarray
@@ -45,6 +47,8 @@ class Benchmark:
     whole: np.ndarray
     names: list[str]
     shortest: int
+    array: Shard
+    owner: np.ndarray
 
 
 def _benchmark(names: list[str], texts: list[str | None], window: int) -> Benchmark:
@@ -55,6 +59,9 @@ def _benchmark(names: list[str], texts: list[str | None], window: int) -> Benchm
     count = np.diff(words.first)
     start = np.arange(len(hashes))
     stop = words.first[words.row + 1]
+    # One stop after each item.
+    apart = np.zeros(len(hashes) + len(count) + 1, dtype=np.int64)
+    apart[start + words.row] = codes + 1
     return Benchmark(
         words=vocabulary,
         codes=codes + 1,
@@ -65,6 +72,8 @@ def _benchmark(names: list[str], texts: list[str | None], window: int) -> Benchm
         whole=np.where(stop - start >= window, window, np.where(start == words.first[words.row], stop - start, 0)),
         names=names,
         shortest=int(min(window, count[count > 0].min())) if len(hashes) else 0,
+        array=Shard(apart, 1, int(count.max(initial=1))),
+        owner=np.repeat(np.arange(len(count)), count + 1),
     )
 
 
@@ -145,9 +154,28 @@ class Shard:
         return best, where
 
 
+def _longest(codes: np.ndarray, row_of: np.ndarray, bench: Benchmark) -> Iterator[tuple[int, int, int, int]]:
+    """Row, item, place and words of the longest match of each row that has any: the
+    first such place in the row, and the first item that matches there."""
+    place = np.flatnonzero(codes)
+    if not len(place):
+        return
+    stops = np.flatnonzero(codes == 0)
+    length, _ = bench.array.longest(codes, place, stops[np.searchsorted(stops, place)])
+    row = row_of[place]
+    rows, first, at = np.unique(row, return_index=True, return_inverse=True)
+    top = np.flatnonzero(length == np.maximum.reduceat(length, first)[at])
+    top = top[np.unique(row[top], return_index=True)[1]]
+    lo, hi = bench.array.ranges(codes, place[top], length[top])
+    ranges, of = np.unique(np.stack([lo, hi], axis=1), axis=0, return_inverse=True)
+    owners = np.append(bench.owner[bench.array.suffixes], len(bench.names))
+    item = np.minimum.reduceat(owners, ranges.ravel())[::2][of.ravel()]
+    yield from zip(rows.tolist(), item.tolist(), place[top].tolist(), length[top].tolist())
+
+
 def _search(column: pa.Array, bench: Benchmark) -> Iterator[list[tuple]]:
     """Per shard, for each row: words, hit words, matches ``(item, first word, words)``
-    of whole windows, and the longest match ``(item, first word, words)`` of all."""
+    of whole windows, and the row's longest match ``(item, first word, words)``."""
     data, offsets = utf8(column)
     for low, high in slices(offsets, SHARD_BYTES):
         at = offsets[low : high + 1]
@@ -181,15 +209,10 @@ def _search(column: pa.Array, bench: Benchmark) -> Iterator[list[tuple]]:
                 for p, b, n in zip(part, begin, length):
                     r = row_of[b]
                     rows[r][2].append((int(bench.item[p]), int(b - first[r]), int(n)))
-                if len(begin):
-                    best, where = shard.longest(bench.codes, bench.start, bench.stop)
-                    tops: dict[int, tuple] = {}
-                    for s in np.flatnonzero(best >= bench.shortest):
-                        r = int(row_of[where[s]])
-                        tops[r] = max(tops.get(r, (0,)), (int(best[s]), int(bench.item[s]), int(where[s] - first[r])))
-                    for r in np.flatnonzero(hits):
-                        top = tops.get(int(r))
-                        rows[r] = (rows[r][0], int(hits[r]), rows[r][2], top and (top[1], top[2], top[0]))
+                for r in np.flatnonzero(hits):
+                    rows[r] = (rows[r][0], int(hits[r]), rows[r][2], None)
+            for r, item, place, n in _longest(codes, row_of, bench):
+                rows[r] = (*rows[r][:3], (item, place - int(first[r]), n))
         yield rows
 
 
@@ -209,8 +232,9 @@ def benchmark_overlap(
     A-Z in lower case. ``n_hit`` counts words inside any place of a window; ``items``
     are the ids (as text, sorted, distinct) of the items that have such a window;
     ``spans`` are merged ranges ``first`` and ``words`` of hit words; ``longest`` is
-    the longest verbatim match of an item suffix found first in this row, if
-    any ends here. A null text has no words; items without words or with a
+    the longest run of words that this row has in common with an item, whether or not
+    it holds a window: the first of that length in the row, in the item with the
+    smallest id. It is null if no word is in any item. A null text has no words; items without words or with a
     null id are never found, and repeated items count once. An empty benchmark hits
     nothing. Columns of ``docs`` with the result's names are replaced.
     """
@@ -291,7 +315,8 @@ def _overlap(docs: DataFrame, bench: Benchmark, text_col: str, first: bool, with
                     if not first:
                         items |= set(part.column(len(names) + 2)[k].as_py())
                         spans += [(s["first"], s["words"]) for s in part.column(len(names) + 3)[k].as_py()]
-                        longest = max([longest, part.column(len(names) + 4)[k].as_py()], key=lambda x: x["words"] if x else 0)
+                        both = [x for x in (longest, part.column(len(names) + 4)[k].as_py()) if x]
+                        longest = min(both, key=lambda x: (-x["words"], x["first"], x["item"]), default=None)
                     merged = _merged(spans)
                     for key, value in zip(_ARROW, (n, sum(s["words"] for s in merged), sorted(items), merged, longest)):
                         found[key].append(value)

@@ -262,6 +262,36 @@ def test_longest_match_and_spans(spark):
     assert [tuple(s) for s in r.spans] == [(2, 23)] and tuple(r.longest) == ("1", 2, 23) and r.n_hit == 23
 
 
+def longest(texts, items):
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    parts = {}
+    for name, t in items:
+        w = find(t)
+        for a in range(len(w)):
+            for b in range(a + 1, len(w) + 1):
+                x = tuple(w[a:b])
+                parts[x] = min(parts.get(x, str(name)), str(name))
+    for text in texts:
+        w = find(text)
+        have = [(a - b, a, parts[tuple(w[a:b])]) for a in range(len(w)) for b in range(a + 1, len(w) + 1) if tuple(w[a:b]) in parts]
+        n, first, item = min(have, default=(None, None, None))
+        yield n and (item, first, -n)
+
+
+@pytest.mark.parametrize("part_bytes", [decontamination.PART_BYTES, 60])
+def test_every_row_has_its_longest_match(spark, part_bytes):
+    """Copies, shorter shares of the same passage and rows without a window, in one shard."""
+    rng = random.Random(10)
+    items = [(i, " ".join(f"q{rng.randrange(9)}" for _ in range(n))) for i, n in enumerate([4, 12, 15, 30])]
+    passage = items[3][1].split()
+    texts = [f"x {' '.join(passage[a:b])} y" for a, b in [(2, 22), (2, 22), (2, 17), (2, 7), (5, 22), (3, 4)]]
+    texts += [" ".join(f"q{rng.randrange(10)}" for _ in range(40)) for _ in range(30)] + ["none", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, text string").coalesce(1)
+    found = benchmark_overlap(docs, spark.createDataFrame(items, "item_id long, text string"), part_bytes=part_bytes)
+    got = [r.longest and tuple(r.longest) for r in sorted(found.collect(), key=lambda r: r.k)]
+    assert got == list(longest(texts, items))
+
+
 def test_decontamination_keeps_columns(spark, messy, empty):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     kept = without_contamination(messy, bench)
