@@ -4,9 +4,9 @@ The kernel of two texts is that of their blended spectra: the byte strings of on
 three characters that occur in both, divided by the geometric mean of the numbers
 that occur in each. Landmark texts span the Nyström approximation: a text is
 described by its kernels with the landmarks, and one ridge regression for each
-language, against all others, is fitted on these descriptions. Scoring a batch is
-two matrix products: presences of the landmarks' strings times the landmarks,
-then kernels times the regressions' coefficients.
+language, against all others, is fitted on these descriptions. The
+landmarks times the regressions' coefficients are a weight of each string for each
+language, so scoring a batch is one matrix product.
 
 Fitting uses a bounded sample of labelled texts; every text is predicted as a whole.
 """
@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from tablewash.llm.words import utf8
 from tablewash.session import stored
 
-# The bounds on the sample: labelled texts and landmarks of each language. Languages
-# themselves are few: those with the most texts, up to MAX_LANGUAGES.
+# The bounds on the sample: labelled texts and landmarks of each language. More than 64
+# languages share ALL_LANDMARKS, each with one at least; no language is left out.
 PER_LANGUAGE = 300
 LANDMARKS = 64
-MAX_LANGUAGES = 64
+ALL_LANDMARKS = 4096
+# Landmarks whose presences are a dense table at a time.
+BLOCK = 256
 ORDERS = 3
 RIDGE = 1e-2
 BATCH = 64
@@ -52,8 +54,8 @@ def spectra(texts: pa.Array) -> list[np.ndarray]:
 
 
 def kernel(xs: list[np.ndarray], vocabulary: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The kernels of texts with the landmarks, whose strings are ``vocabulary`` and whose
-    presences, each divided by the root of its landmark's number, are ``table``."""
+    """The presences of the strings of ``vocabulary`` in texts, each divided by the root of
+    the text's number of strings, times ``table``."""
     result = np.zeros((len(xs), table.shape[1]), dtype=np.float32)
     for low in range(0, len(xs), BATCH):
         part = xs[low : low + BATCH]
@@ -65,37 +67,54 @@ def kernel(xs: list[np.ndarray], vocabulary: np.ndarray, table: np.ndarray) -> n
     return result
 
 
+def landmark_kernels(xs: list[np.ndarray], marks: list[np.ndarray]) -> np.ndarray:
+    """The kernels of texts with the landmarks."""
+    result = np.zeros((len(xs), len(marks)), dtype=np.float32)
+    for low in range(0, len(marks), BLOCK):
+        part = marks[low : low + BLOCK]
+        vocabulary = np.unique(np.concatenate(part))
+        table = np.zeros((len(vocabulary), len(part)), dtype=np.float32)
+        for k, x in enumerate(part):
+            table[np.searchsorted(vocabulary, x), k] = 1 / np.sqrt(max(len(x), 1))
+        result[:, low : low + BLOCK] = kernel(xs, vocabulary, table)
+    return result
+
+
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
     vocabulary: np.ndarray
-    table: np.ndarray
-    coefficients: np.ndarray
+    weights: np.ndarray
     offsets: np.ndarray
 
     def margins(self, xs: list[np.ndarray]) -> np.ndarray:
-        return kernel(xs, self.vocabulary, self.table) @ self.coefficients + self.offsets
-
-
-def fit(texts: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS) -> Model:
-    """One-versus-rest kernel ridge regressions over the landmarks, the first texts of
-    each language; languages weigh alike."""
-    names = sorted(set(langs))
-    label = np.array([names.index(x) for x in langs])
-    marks = [i for c in range(len(names)) for i in np.flatnonzero(label == c)[:landmarks]]
-    vocabulary = np.unique(np.concatenate([texts[i] for i in marks]))
-    table = np.zeros((len(vocabulary), len(marks)), dtype=np.float32)
-    for k, i in enumerate(marks):
-        table[np.searchsorted(vocabulary, texts[i]), k] = 1 / np.sqrt(max(len(texts[i]), 1))
-    k_nm = kernel(texts, vocabulary, table).astype(np.float64)
-    k_mm = k_nm[marks]
-    weight = 1 / (len(names) * np.bincount(label)[label])
-    target = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
-    mean = weight @ target
+        return kernel(xs, self.vocabulary, self.weights) + self.offsets
+
+
+def fit(names: list[str], number: np.ndarray, marks: list[np.ndarray], rows: Iterator[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """One-versus-rest kernel ridge regressions over the landmarks; languages weigh alike.
+
+    ``rows`` has labels of sample texts and their kernels with the landmarks, of
+    ``number`` texts for each of the languages ``names``.
+    """
+    left = np.zeros((len(marks), len(marks)))
+    sums = np.zeros((len(names), len(marks)))
+    for label, k_nm in rows:
+        weight = 1 / (len(names) * number[label])
+        weighted = k_nm * weight[:, None]
+        left += weighted.T @ k_nm
+        np.add.at(sums, label, weighted)
+    # Targets are 1 for a language's own texts and -1 for all others, less their mean.
+    mean = 2 / len(names) - 1
+    right = (2 * sums - (1 + mean) * sums.sum(0)).T
     # Least squares with the ridge measured by the kernel between the landmarks.
-    left = (k_nm.T * weight) @ k_nm + RIDGE / len(marks) * k_mm + 1e-9 * np.eye(len(marks))
-    coefficients = np.linalg.solve(left, (k_nm.T * weight) @ (target - mean))
-    return Model(names, vocabulary, table, coefficients.astype(np.float32), mean.astype(np.float32))
+    left += RIDGE / len(marks) * landmark_kernels(marks, marks).astype(np.float64) + 1e-9 * np.eye(len(marks))
+    coefficients = np.linalg.solve(left, right)
+    vocabulary = np.unique(np.concatenate(marks))
+    weights = np.zeros((len(vocabulary), len(names)), dtype=np.float32)
+    for x, c in zip(marks, coefficients):
+        weights[np.searchsorted(vocabulary, x)] += (c / np.sqrt(max(len(x), 1))).astype(np.float32)
+    return Model(names, vocabulary, weights, np.full(len(names), mean, dtype=np.float32))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -105,38 +124,65 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """The model of a sample: for each language the texts with the smallest hashes of
+    """The model of a sample: for every language the texts with the smallest hashes of
     their ids, of texts with a letter that are not held out. None without any."""
     usable = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    known = usable.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    names = [r["lang"] for r in known.collect()]
     # The window's limit cuts each task's rows before they are dealt out by language.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))
     chosen = (
         usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("order"))
-        .filter(F.col("lang").isin(names))
         .withColumn("rank", rank)
         .filter(F.col("rank") <= PER_LANGUAGE)
-        .select("id", "lang", "order")
+        .select("id", "lang", "order", "rank")
     )
     chosen = stored(chosen, "sample")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([x.tobytes() for x in spectra(batch.column(2))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["lang", "order", "strings"])
+            found = pa.array([x.tobytes() for x in spectra(batch.column(3))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], found], names=["lang", "order", "rank", "strings"])
 
     texts = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sample = (
         texts.join(F.broadcast(chosen), ["id", "lang"])
-        .select("lang", "order", "text")
-        .mapInArrow(extract, "lang string, order long, strings binary")
-        .toArrow()
-        .sort_by([("lang", "ascending"), ("order", "ascending")])
+        .select("lang", "order", "rank", "text")
+        .mapInArrow(extract, "lang string, order long, rank int, strings binary")
     )
-    if not sample.num_rows:
+    sample = stored(sample, "spectra")
+    counted = sample.groupBy("lang").count().orderBy("lang").collect()
+    if not counted:
         return None
-    return fit([np.frombuffer(b, dtype=np.uint32) for b in sample["strings"].to_pylist()], sample["lang"].to_pylist())
+    names = sorted(r["lang"] for r in counted)
+    number = {r["lang"]: r["count"] for r in counted}
+    each = max(1, min(LANDMARKS, ALL_LANDMARKS // len(names)))
+    first = sample.filter(F.col("rank") <= each).select("lang", "order", "strings").toArrow()
+    first = first.sort_by([("lang", "ascending"), ("order", "ascending")])
+    marks = [np.frombuffer(x, dtype=np.uint32) for x in first["strings"].to_pylist()]
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs = [np.frombuffer(x, dtype=np.uint32) for x in batch.column(1).to_pylist()]
+            found = landmark_kernels(xs, shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], names=["lang", "row"])
+
+    place = {name: k for k, name in enumerate(names)}
+
+    def rows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held: list = []
+        for r in sample.select("lang", "strings").mapInArrow(compare, "lang string, row binary").toLocalIterator():
+            held.append(r)
+            if len(held) == PER_LANGUAGE:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
+
+    def packed(held: list) -> tuple[np.ndarray, np.ndarray]:
+        label = np.array([place[r["lang"]] for r in held])
+        return label, np.stack([np.frombuffer(r["row"], dtype=np.float32) for r in held]).astype(np.float64)
+
+    return fit(names, np.array([number[n] for n in names]), marks, rows())
 
 
 def predict_language(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -114,6 +114,20 @@ def test_languages_of_held_out_texts(small, messy, empty):
     assert {r.lang_pred for r in identify_languages(unlabelled).collect()} == {"und"}
 
 
+def test_every_labelled_language_is_learned(spark):
+    """More than 64 languages, the last of them with fewer texts than all others."""
+    rng = random.Random(3)
+    rows = []
+    for c in range(70):
+        own = ["".join(chr(0x4E00 + 40 * c + rng.randrange(40)) for _ in range(3)) for _ in range(20)]
+        rows += [(len(rows) + i, " ".join(rng.choice(own) for _ in range(15)), f"l{c:02}") for i in range(12 if c < 64 else 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = identify_languages(docs).join(docs, "doc_id").filter("held_out").collect()
+    late = [r for r in found if r.lang >= "l64"]
+    assert late and sum(r.lang_pred == r.lang for r in late) >= 0.9 * len(late)
+    assert sum(r.lang_pred == r.lang for r in found) >= 0.9 * len(found)
+
+
 @pytest.fixture(scope="module")
 def counter():
     return TokenCounter(PATH)
