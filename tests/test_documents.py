@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from conftest import cells, fills
+from support import cells, fills
 from samples import ASKING, CASE, LATEST, LOANS, VALUE, call, col, derive, lit, match, otherwise, rule, when, workflow
 from tablewash import StepError, Table
 from tablewash.plans import apply_steps, find_issues, package_from_document, run_sequence, workflow_from_document

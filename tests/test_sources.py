@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from conftest import cells
+from support import cells
 from registry.xlsx_bytes import DATETIME_STYLE, Formula, Serial, workbook_bytes
 from samples import LOANS
 from tablewash import StepError, Table

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import model
-from conftest import cells, fills
+from support import cells, fills
 from tablewash import StepError, Table
 from tablewash import functions as fx
 from tablewash.operators import (
