@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from tablewash.llm.class_model import class_model_scores
 from tablewash.llm.chat_format import ESCAPE, HEADING, format_conversations
 from tablewash.llm.decontamination import benchmark_overlap
+from tablewash.llm.hard_negatives import hard_negatives
 from tablewash.llm.language_id import identify_languages
 from tablewash.llm.near_dedup import near_duplicates
 from tablewash.llm.packing import copy_cluster, pack_documents
 from tablewash.llm.quality_classifier import classify
 from tablewash.llm.quality_rules import quality_rules, trusted_ids
+from tablewash.llm.secret_scan import secret_spans
 from tablewash.llm.sharding import SEED, interleaved_shards
+from tablewash.llm.spelling import spelling_variants
 from tablewash.llm.token_counts import token_counts
 from tablewash.session import prepare_session
 
@@ -243,3 +246,94 @@ from tokens t left join hits h on h.doc_id = t.id left join items i on i.doc_id
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classify(documents(spark, sf_dir), labels, keep=["doc_id"])
+
+
+@query
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(documents(spark, sf_dir).select("doc_id", "text"))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "novel")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        "n_novel",
+    )
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label)
+
+
+SQL["op12_hard_negatives"] = """
+with rows_ as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as c
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as alike, list_inner_product(a.c, b.c)::bigint as score
+  from rows_ a join rows_ b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scores where alike
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, (row_number() over w)::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from positives p join scores s using (anchor_id)
+where not alike and 80 * positive_score <= 100 * score and score <= positive_score
+window w as (partition by anchor_id, positive_id order by score desc, vec_id)
+qualify row_number() over w <= 5
+"""
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
+# The checksum as in op6. Words that are equal with one letter masked, or with one left
+# out, are one edit apart.
+SQL["op13_spelling_variants"] = r"""
+with recursive table_ as (
+  select list(list_reduce([i] || range(8), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)
+    order by i) as t
+  from range(256) r(i)),
+runs as (
+  select coalesce(doc_id::varchar, '') as d, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) as run
+  from documents),
+counted as (
+  select run, count(*) as c, hex(encode(d || ':' || run)) as x from runs where length(run) >= 5 group by d, run),
+checked as (
+  select run, c, xor(list_reduce([4294967295::bigint] || list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i:i + 1])::bigint),
+    lambda s, b: xor(s // 256, t[xor(s, b) % 256 + 1])), 4294967295) as h
+  from counted, table_),
+words as (
+  select word, sum(c)::bigint as n
+  from (select case when h % 97 = 0 then run[1:h % length(run)] || run[h % length(run) + 2:] else run end as word, c from checked)
+  where length(word) >= 5 group by word having sum(c) >= 3),
+places as (select word, n, unnest(range(1, length(word) + 1)) as i from words),
+cut as (select word, n, word[1:i - 1] || '*' || word[i + 1:] as masked, word[1:i - 1] || word[i + 1:] as left_out from places),
+near as (
+  select distinct a.word, b.word as other, b.n from cut a join cut b on a.masked = b.masked and a.word <> b.word
+  union select a.word, b.word, b.n from cut a join words b on a.left_out = b.word
+  union select b.word, a.word, a.n from cut a join words b on a.left_out = b.word),
+best as (
+  select word, count(*) as n_near, first(other order by n desc, encode(other)) as other, max(n) as most from near group by word),
+forms as (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when most >= 2 * w.n then other end as form,
+    case when most >= 2 * w.n then most end as form_n
+  from words w left join best b on w.word = b.word),
+chain as (
+  select word, word as at_ from forms
+  union all select c.word, f.form from chain c join forms f on f.word = c.at_ where f.form is not null)
+select f.word, f.form, c.at_ as root, f.n, f.n_near, f.form_n
+from forms f join chain c on c.word = f.word join forms e on e.word = c.at_ and e.form is null
+"""
