@@ -28,6 +28,8 @@ from tablewash.session import stored
 # The bounds on the sample: labelled texts and landmarks of each language. More than 64
 # languages share ALL_LANDMARKS, each with one at least; no language is left out.
 PER_LANGUAGE = 300
+# Parts that a language is dealt into before its ids are ranked together.
+SPLITS = 16
 LANDMARKS = 64
 ALL_LANDMARKS = 4096
 # Landmarks whose presences are a dense table at a time.
@@ -123,19 +125,41 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(left, F.lit(False))
 
 
+def smallest_ids(usable: DataFrame, id_col: str, lang_col: str) -> DataFrame:
+    """``(id, lang, order, rank)``: for every language the PER_LANGUAGE ids with the smallest hashes.
+
+    Each task keeps so many distinct ids of each language, and so do SPLITS parts of a
+    language before they meet. Repeated rows count once at every step.
+    """
+    pairs = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("order"))
+    kind = pairs.schema["id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            both = (pa.concat_tables([held, table]) if held is not None else table).group_by(["lang", "order", "id"]).aggregate([])
+            both = both.select(["id", "lang", "order"]).sort_by([("lang", "ascending"), ("order", "ascending"), ("id", "ascending")])
+            # The place of each row in its language: rows are sorted, so it counts from the language's first.
+            langs = both["lang"].combine_chunks().dictionary_encode().indices.to_numpy()
+            first = np.searchsorted(langs, langs, side="left")
+            held = both.filter(pa.array(np.arange(len(langs)) - first < PER_LANGUAGE))
+        if held is not None:
+            yield from held.to_batches()
+
+    few = pairs.mapInArrow(cut, f"id {kind}, lang string, order long").distinct()
+    for keys in (["lang", F.pmod("order", F.lit(SPLITS))], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("order", "id"))
+        few = few.withColumn("rank", rank).filter(F.col("rank") <= PER_LANGUAGE)
+    return few
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """The model of a sample: for every language the texts with the smallest hashes of
-    their ids, of texts with a letter that are not held out. None without any."""
+    their ids, of texts with a letter that are not held out; of rows that repeat an id with
+    a language one is used, the same in every run. None without any."""
     usable = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    # The window's limit cuts each task's rows before they are dealt out by language.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))
-    chosen = (
-        usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("order"))
-        .withColumn("rank", rank)
-        .filter(F.col("rank") <= PER_LANGUAGE)
-        .select("id", "lang", "order", "rank")
-    )
-    chosen = stored(chosen, "sample")
+    chosen = stored(smallest_ids(usable, id_col, lang_col), "sample")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,8 +167,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], found], names=["lang", "order", "rank", "strings"])
 
     texts = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # Of rows that repeat an id one is kept, in each task before they are dealt out by id.
+    one = F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")
     sample = (
         texts.join(F.broadcast(chosen), ["id", "lang"])
+        .groupBy("lang", "order", "rank", "id")
+        .agg(one)
         .select("lang", "order", "rank", "text")
         .mapInArrow(extract, "lang string, order long, rank int, strings binary")
     )

@@ -34,6 +34,8 @@ MAX_FEATURES = 512
 MIN_G = 20.0
 RIDGE = 0.3
 STEPS = 12
+# Documents whose features are laid out in a dense block at a time while fitting.
+FIT_ROWS = 1024
 # A document is kept from these log-odds of being good: about 82 in 100.
 MIN_LOG_ODDS = 1.5
 _SHAPE = np.uint64(0xA24BAED4963EE407)
@@ -105,53 +107,52 @@ class Model:
         return result
 
 
-def _selected(rows: list[np.ndarray], good: np.ndarray) -> np.ndarray:
-    """Features that are more common in bad documents: those with the largest
-    likelihood-ratio statistics (G) of at least MIN_G. What is more common in good ones
-    is left out, since a short text lacks it for no fault."""
-    size = np.array([len(r) for r in rows], dtype=np.int64)
-    names, place = np.unique(np.concatenate(rows), return_inverse=True)
-    label = np.repeat(good, size)
-    table = [np.bincount(place, weights=w, minlength=len(names)) for w in (label, 1 - label)]
-    totals = [good.sum(), (1 - good).sum()]
-    share = (table[0] + table[1]) / len(rows)
-    g = np.zeros(len(names))
-    for seen, total in zip(table, totals):
+def selected_features(sample: DataFrame, n_good: int, n_bad: int) -> np.ndarray:
+    """Features that are more common in bad documents of ``sample (good, features)``: those with
+    the largest likelihood-ratio statistics (G) of at least MIN_G. What is more common in good
+    ones is left out, since a short text lacks it for no fault. Counted in Spark; only the
+    selected ones come to the driver."""
+    counts = sample.select("good", F.explode("features").alias("feature")).groupBy("feature")
+    counts = counts.agg(F.sum("good").alias("in_good"), F.sum(1 - F.col("good")).alias("in_bad"))
+    share = (F.col("in_good") + F.col("in_bad")) / (n_good + n_bad)
+    g = F.lit(0.0)
+    for seen, total in ((F.col("in_good"), n_good), (F.col("in_bad"), n_bad)):
         for count, expected in ((seen, total * share), (total - seen, total * (1 - share))):
-            g += 2 * count * np.log(np.maximum(count, 1e-9) / np.maximum(expected, 1e-9))
-    g[table[0] * totals[1] >= table[1] * totals[0]] = 0
-    best = np.argsort(-g, kind="stable")[:MAX_FEATURES]
-    return np.sort(names[best[g[best] >= MIN_G]])
+            g += 2 * count * F.log(F.greatest(count.cast("double"), F.lit(1e-9)) / F.greatest(expected, F.lit(1e-9)))
+    telling = counts.filter(F.col("in_good") * n_bad < F.col("in_bad") * n_good).withColumn("g", g).filter(F.col("g") >= MIN_G)
+    best = telling.orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).select("feature").toArrow()
+    return np.sort(best["feature"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def fit(rows: list[np.ndarray], good: np.ndarray) -> Model:
-    """A ridge logistic model by Newton steps."""
-    if not len(rows) or good.all() or not good.any():
-        # Nothing to tell apart: without bad examples all are kept, without good ones none.
-        return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), 5.0 if good.all() else -5.0)
-    features = _selected(rows, good)
-    size = np.array([len(r) for r in rows], dtype=np.int64)
-    all_ = np.concatenate(rows)
-    place = np.minimum(np.searchsorted(features, all_), max(len(features) - 1, 0))
-    hit = features[place] == all_ if len(features) else np.zeros(len(all_), dtype=bool)
-    x = np.zeros((len(rows), len(features) + 1), dtype=np.float32)
-    x[np.repeat(np.arange(len(rows)), size)[hit], place[hit]] = 1
-    x[:, -1] = 1
-    ridge = np.full(x.shape[1], RIDGE)
+def fit(features: np.ndarray, places: list[np.ndarray], good: np.ndarray) -> Model:
+    """A ridge logistic model by Newton steps, over blocks of rows. ``places`` has, for each
+    document, where its features are among ``features``."""
+    width = len(features) + 1
+    ridge = np.full(width, RIDGE)
     ridge[-1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(width)
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for low in range(0, len(places), FIT_ROWS):
+            part = places[low : low + FIT_ROWS]
+            x = np.zeros((len(part), width), dtype=np.float32)
+            x[np.repeat(np.arange(len(part)), [len(p) for p in part]), np.concatenate(part)] = 1
+            x[:, -1] = 1
+            yield x, good[low : low + FIT_ROWS]
+
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = np.maximum(p * (1 - p), 1e-4).astype(np.float32)
-        gradient = x.T @ (p - good) + ridge * w
-        w = w - np.linalg.solve((x.T * curve) @ x + np.diag(ridge), gradient)
+        gradient, curvature = ridge * w, np.diag(ridge)
+        for x, y in blocks():
+            p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
+            curve = np.maximum(p * (1 - p), 1e-4).astype(np.float32)
+            gradient += x.T @ (p - y).astype(np.float32)
+            curvature += (x.T * curve) @ x
+        w = w - np.linalg.solve(curvature, gradient)
     return Model(features, w[:-1], float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The document model. ``labels`` has the id, ``quality`` (1 is good) and ``toxic`` (1 is
-    bad); an id that is labelled both ways, or not at all, is left out. At most
-    MAX_LABELLED documents are used, those with the smallest hashes of their ids."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(good, features)`` of at most MAX_LABELLED documents, one of each labelled id."""
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) != 1)
     clear = (
         labels.select(F.col("doc_id").alias("id"), good.cast("int").alias("good"))
@@ -162,27 +163,53 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .select("id", "good")
     )
     chosen = stored(clear.orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED), "sample")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Of rows that repeat an id one is kept, in each task before they are dealt out by id.
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(
+        F.first("good").alias("good"), F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")
+    )
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for rows in features_of(batch.column(2)):
-                packed = pa.array([r.tobytes() for r in rows], pa.binary())
-                columns = [batch.column(k).slice(done, len(rows)) for k in range(2)]
-                yield pa.RecordBatch.from_arrays([*columns, packed], names=["id", "good", "features"])
+            for rows in features_of(batch.column(1)):
+                found = pa.array([r.view(np.int64) for r in rows], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(rows)), found], names=["good", "features"])
                 done += len(rows)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = (
-        texts.join(F.broadcast(chosen), "id")
-        .select("id", "good", "text")
-        .mapInArrow(extract, f"id {kind}, good int, features binary")
-        .toArrow()
-        .sort_by("id")
-    )
-    rows = [np.frombuffer(b, dtype=np.uint64) for b in sample["features"].to_pylist()]
-    return fit(rows, np.array(sample["good"].to_pylist(), dtype=np.float64))
+    return stored(one.select("good", "text").mapInArrow(extract, "good int, features array<long>"), "features")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The document model. ``labels`` has the id, ``quality`` (1 is good) and ``toxic`` (1 is
+    bad); an id that is labelled both ways, or not at all, is left out. At most
+    MAX_LABELLED documents are used, those with the smallest hashes of their ids; of rows that
+    repeat an id one is used, the same in every run."""
+    sample = labelled_sample(docs, labels, id_col, text_col)
+    total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
+    n_good, n_bad = total["good"], total["n"] - total["good"]
+    if not n_good or not n_bad:
+        # Nothing to tell apart: without bad examples all are kept, without good ones none.
+        return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), -5.0 if n_bad else 5.0)
+    features = selected_features(sample, n_good, n_bad)
+    shared = docs.sparkSession.sparkContext.broadcast(features)
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            found = []
+            for row in batch.column(1):
+                own = row.values.to_numpy().view(np.uint64)
+                at = np.searchsorted(known, own)
+                hit = at < len(known)
+                hit[hit] = known[at[hit]] == own[hit]
+                found.append(at[hit].astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["good", "places"])
+
+    # At most MAX_LABELLED rows of at most MAX_FEATURES places of two bytes, in an order of their own.
+    rows = sample.mapInArrow(locate, "good int, places binary").toArrow().sort_by([("places", "ascending"), ("good", "ascending")])
+    places = [np.frombuffer(p, dtype=np.uint16) for p in rows["places"].to_pylist()]
+    return fit(features, places, rows["good"].to_numpy().astype(np.float64))
 
 
 def with_evidence(docs: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:

@@ -9,17 +9,21 @@ machines count its tokens without running it over the text:
    from every state before it to the state after it, the maps compose in a
    parallel prefix scan, and then every chunk is run from its true state. All
    chunks of a slice advance together, one character a step.
-2. The *lexicon* reads a pre-token and is annotated with the tokens it emits. It
-   is compiled on demand: a pre-token's state is named by the hash of its bytes,
-   and the pre-tokens not yet compiled are given to the tokenizer's library once
-   per task, in one batch.
-
-Texts that hold the string of a special token are counted by the library itself,
-and so are those with characters that are newer than this Python's tables.
+2. The *lexicon* reads the symbols of a pre-token. After each symbol its state is the last token
+   of the encoding so far, and the transition into it is annotated with the tokens
+   that it adds. A prefix is encoded as the prefix before its last token and that token,
+   so of the tokens that a prefix ends in, the last one is that which may follow
+   the state at its beginning: two tokens may be neighbours if merging the symbols of
+   both gives the same two again. The states are compiled from the file's vocabulary and
+   merges as they are met.
+
+The file's normalizer and pre-tokenizer must be those that the splitter is made for. Texts
+with characters newer than this Python's tables are counted by the tokenizer's library.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -162,12 +166,99 @@ def starts_of(kinds: np.ndarray) -> np.ndarray:
 _FACTOR = mixed(np.arange(1, 0x110001, dtype=np.uint64))
 
 
+# What the splitter stands for in a tokenizer's file.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class Merges:
+    """Token counts from a vocabulary and its merges."""
+
+    def __init__(self, model: dict):
+        plain = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+        if any(model.get(k, v) != v for k, v in plain.items()) or not model.get("end_of_word_suffix"):
+            raise ValueError("a byte pair encoding with a word-end mark and without options is needed")
+        self.end = model["end_of_word_suffix"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.rank = {pair: k for k, pair in enumerate(pairs)}
+        missing = [c + e for c in _BYTE_NAMES for e in ("", self.end) if c + e not in model["vocab"]]
+        if missing or len({a + b for a, b in pairs}) < len(pairs):
+            raise ValueError("all bytes must be tokens, and each merge must make a token of its own")
+        # Only what merging its own symbols gives back is ever a token of an encoding.
+        self.tokens = {t for t in model["vocab"] if self._merged(self._symbols(t)) == [t]}
+        self.longest = max(len(t) for t in self.tokens)
+        self._neighbours: dict[tuple[str, str], bool] = {}
+
+    def _symbols(self, token: str) -> list[str]:
+        if token.endswith(self.end) and len(token) > len(self.end):
+            body = token[: -len(self.end)]
+            return [*body[:-1], body[-1] + self.end]
+        return list(token)
+
+    def _merged(self, symbols: list[str]) -> list[str]:
+        """The symbols after all merges, the lowest rank and then the leftmost first."""
+        while len(symbols) > 1:
+            ranks = [self.rank.get(pair, len(self.rank)) for pair in zip(symbols, symbols[1:])]
+            best = min(ranks)
+            if best == len(self.rank):
+                break
+            k = ranks.index(best)
+            symbols = [*symbols[:k], symbols[k] + symbols[k + 1], *symbols[k + 2 :]]
+        return symbols
+
+    def may_follow(self, a: str, b: str) -> bool:
+        found = self._neighbours.get((a, b))
+        if found is None:
+            if len(self._neighbours) > LEXICON_SIZE:
+                self._neighbours.clear()
+            found = self._neighbours[a, b] = self._merged(self._symbols(a) + self._symbols(b)) == [a, b]
+        return found
+
+    def counts(self, words: list[str]) -> list[int]:
+        """The tokens of each word, given as the names of its bytes. Words in order share the states of their prefixes."""
+        order = sorted(range(len(words)), key=words.__getitem__)
+        result, last, count, before = [0] * len(words), [""], [0], ""
+        for place in order:
+            word = words[place]
+            shared, most = 0, min(len(word), len(before)) - 1
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
+            del last[shared + 1 :], count[shared + 1 :]
+            for i in range(shared + 1, len(word)):
+                j = self._last_token(word, i, "", last)
+                last.append(word[j:i])
+                count.append(count[j] + 1)
+            # The last symbol carries the word-end mark, so its state is no other word's.
+            result[place] = count[self._last_token(word, len(word), self.end, last)] + 1 if word else 0
+            before = word
+        return result
+
+    def _last_token(self, word: str, i: int, mark: str, last: list[str]) -> int:
+        """Where the last token of ``word[:i]`` begins; ``last`` has those of shorter prefixes."""
+        for j in range(max(0, i - self.longest), i):
+            token = word[j:i] + mark
+            if token in self.tokens and (j == 0 or self.may_follow(last[j], token)):
+                return j
+        raise AssertionError(word)
+
+
+def _byte_names() -> list[str]:
+    """The character that names each byte in vocabularies: printable ones themselves, others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+_BYTE_NAMES = _byte_names()
+_NAMED = {b: c for b, c in enumerate(_BYTE_NAMES)}
+
+
 class Lexicon:
     """Token counts of pre-tokens, compiled as they are met. Beyond its size limit it
     starts over, which costs time but changes no count."""
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, merges: Merges):
+        self.merges = merges
         self.keys = np.zeros(0, dtype=np.uint64)
         self.counts = np.zeros(0, dtype=np.int64)
 
@@ -198,20 +289,27 @@ class Lexicon:
         return counts[inverse]
 
     def _compiled(self, texts: list[str]) -> list[int]:
-        found = []
-        for low in range(0, len(texts), 10_000):
-            found += map(len, self.tokenizer.encode_batch_fast(texts[low : low + 10_000], add_special_tokens=False))
-        return found
+        return self.merges.counts([t.encode().decode("latin-1").translate(_NAMED) for t in texts])
 
 
 class Counter:
+    """Token counts of texts. A file whose normalizer, pre-tokenizer or model is of another kind is refused."""
+
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.lexicon = Lexicon(self.tokenizer)
-        specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = "|".join(specials)
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        made = json.loads(self.library.to_str())
+        split, bytes_ = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])
+        wanted = {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+        by_byte = bytes_.get("type") == "ByteLevel" and not bytes_["add_prefix_space"] and not bytes_["use_regex"]
+        if (made["normalizer"] or {}).get("normalizers") != NORMALIZERS or split != wanted or not by_byte:
+            raise ValueError(f"the normalizer or pre-tokenizer of {path} is not the one that texts are split by")
+        specials = self.library.get_added_tokens_decoder().values()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in specials):
+            raise ValueError("special tokens must be plain strings")
+        self.lexicon = Lexicon(Merges(made["model"]))
+        self.special = re.compile("|".join(re.escape(t.content) for t in sorted(specials, key=lambda t: -len(t.content)))) if specials else None
 
     def counts(self, column: pa.Array) -> np.ndarray:
         """The number of tokens of each text."""
@@ -219,7 +317,7 @@ class Counter:
         result = np.zeros(len(column), dtype=np.int64)
         apart = np.zeros(len(column), dtype=bool)
         if self.special:
-            apart = pc.match_substring_regex(column, self.special).to_numpy(zero_copy_only=False)
+            apart = pc.match_substring_regex(column, self.special.pattern).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(~apart), column, "")
         low = 0
         sizes = np.maximum(pc.utf8_length(plain).to_numpy(), 1)
@@ -228,7 +326,9 @@ class Counter:
             result[low:high] = self._plain(plain.slice(low, high - low))
             low = high
         for i in np.flatnonzero(apart):
-            result[i] = len(self.tokenizer.encode(column[int(i)].as_py(), add_special_tokens=False))
+            # A special token counts as one, and what lies around it as texts of their own.
+            around = self.special.split(column[int(i)].as_py())
+            result[i] = len(around) - 1 + int(self.counts(pa.array(around, pa.large_string())).sum())
         return result
 
     def _plain(self, texts: pa.Array) -> np.ndarray:
@@ -251,7 +351,7 @@ class Counter:
         counts = self.lexicon.counts_of(points, start, stop)
         result = np.bincount(row, weights=counts, minlength=len(rows)).astype(np.int64)
         for i in apart:
-            result[i] = len(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False))
+            result[i] = len(self.library.encode(texts[int(i)].as_py(), add_special_tokens=False))
         return result
 
 

@@ -26,7 +26,8 @@ def test_every_operator_is_registered():
     names = [n for n in queries() if n.startswith("op") or n == "pipeline"]
     assert sorted(names, key=lambda n: (n == "pipeline", int(n[2:].split("_")[0]) if n != "pipeline" else 0)) == [
         "op1_near_dedup", "op2_quality_rules", "op3_language_id", "op4_best_fit_packing", "op5_token_counts",
-        "op6_sharding", "op7_lm_scoring", "op8_chat_formatting", "op9_decontamination", "op10_quality_classifier", "pipeline",
+        "op6_sharding", "op7_lm_scoring", "op8_chat_formatting", "op9_decontamination", "op10_quality_classifier",
+        "op11_secret_scan", "op12_hard_negatives", "op13_spelling_variants", "pipeline",
     ]
 
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablewash.llm import class_model, decontamination, quality_classifier, quality_rules, token_counts
+from tablewash.llm import class_model, decontamination, language_id, quality_classifier, quality_rules, token_counts
 from tablewash.llm.class_model import class_model_scores, exchange_classes
 from tablewash.llm.decontamination import benchmark_overlap, without_contamination
 from tablewash.llm.language_id import identify_languages
@@ -338,3 +338,80 @@ def test_classifier_on_messy_tables(messy, empty, labels):
     assert {"host.test/sec"} <= {r.path for r in found.collect()}
     assert classify(messy, labels.limit(0)).filter("not kept").count() == 0
     assert classify(empty, labels).count() == 0
+
+
+def test_classifier_sample_of_repeated_ids(spark):
+    """An id on thousands of rows is one labelled document, the same one however rows are dealt out."""
+    texts = [f"good words number {k} stand here" for k in range(40)] + [f"bad spam !!! number {k} buy $$$" for k in range(40)]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)] + [(k, f"{texts[k]} {j}", "en", "s") for k in (3, 43) for j in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    marks = spark.createDataFrame([(k, int(k < 40), 0) for k in range(80)], "doc_id long, quality int, toxic int")
+    sample = quality_classifier.labelled_sample(docs, marks, "doc_id", "text")
+    assert sample.count() == 80
+    one, two = (quality_classifier.train(docs.repartition(n), marks) for n in (1, 7))
+    assert (one.features == two.features).all() and np.allclose(one.weights, two.weights)
+    found = classify(docs, marks)
+    assert found.count() == len(rows)
+    assert found.filter("doc_id >= 40 and kept").count() == 0
+
+
+def test_selected_features_equal_a_plain_count(spark):
+    rng = random.Random(7)
+    rows = [(int(rng.random() < 0.6), sorted(rng.sample(range(-30, 30), 12))) for _ in range(900)]
+    rows = [(good, [f for f in fs if f % 7 or not good or rng.random() < 0.4]) for good, fs in rows]
+    n = [sum(g for g, _ in rows), sum(1 - g for g, _ in rows)]
+    want = []
+    for f in range(-30, 30):
+        seen = [sum(f in fs for g, fs in rows if g == label) for label in (1, 0)]
+        share, g = sum(seen) / len(rows), 0
+        for s, total in zip(seen, n):
+            for count, expected in ((s, total * share), (total - s, total * (1 - share))):
+                g += 2 * count * math.log(max(count, 1e-9) / max(expected, 1e-9))
+        if g >= quality_classifier.MIN_G and seen[0] * n[1] < seen[1] * n[0]:
+            want.append(f)
+    sample = spark.createDataFrame(rows, "good int, features array<long>")
+    got = quality_classifier.selected_features(sample, *n)
+    assert want and got.tolist() == sorted(f % (1 << 64) for f in want)
+
+
+def test_languages_of_repeated_rows(spark):
+    hot = next(k for k in range(50) if zlib.crc32(str(k).encode()) % 3 != 1)
+    rows = [(hot, f"the same words {j}", "en") for j in range(5000)] + [(k, f"mots pareils {k}", "fr") for k in range(50, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(9)
+    usable = docs.filter(f"doc_id = {hot} or doc_id > 60")
+    chosen = language_id.smallest_ids(usable, "doc_id", "lang").collect()
+    assert len(chosen) == len({(r.id, r.lang) for r in chosen}) == 60
+    found = identify_languages(docs)
+    assert found.count() == len(rows) and found.filter(f"doc_id = {hot} and lang_pred <> 'en'").count() == 0
+
+
+def test_smallest_ids_equal_a_sort(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.col("id") % 3).alias("lang"))
+    want = set()
+    rows = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).collect()
+    for lang in {r.lang for r in rows}:
+        want |= {(r.doc_id, lang) for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r.h)[: language_id.PER_LANGUAGE]}
+    got = language_id.smallest_ids(docs.union(docs).repartition(13), "doc_id", "lang").collect()
+    assert {(r.id, r.lang) for r in got} == want and len(got) == len(want)
+
+
+def test_token_counts_equal_the_library_on_marks_and_capitals():
+    rng, counter, library = random.Random(11), TokenCounter(PATH), Tokenizer.from_file(PATH)
+    parts = ["İ", "\u20ec", "\u0307", "\u0345", "A", "É", "e\u0301", "'", "'re", "'s", "<|endoftext|>", "<|startof", "1", " ", "\n", "Σ", "ς", "ǅ", "ﬁ", "한", "\u1100\u1161"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    ranges = [(0x20, 0x7F), (0x300, 0x370), (0xC0, 0x250), (0x370, 0x530), (0x4E00, 0x4F00), (0x1F600, 0x1F650), (0x20D0, 0x20F0)]
+    texts += ["".join(chr(rng.randrange(*rng.choice(ranges))) for _ in range(rng.randrange(14))) for _ in range(4000)]
+    texts += ["İ\u20ec", "x" * 20_000, "the" * 3000, ""]
+    want = [len(e) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert counter.counts(pa.array(texts)).tolist() == want
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    made = json.load(open(PATH))
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": made["model"] | {"end_of_word_suffix": None}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(made | change))
+        with pytest.raises(ValueError):
+            TokenCounter(str(path))
