@@ -62,10 +62,11 @@ SHORTEST = 16
 # How far before a candidate its sensitive word may end, and how much text around it is compressed with it.
 REACH = 48
 AROUND = 256
-PIECE = 64
-# A candidate is novel from this many added bytes per hundred characters. One longer than a piece
-# is compressed by the frequencies of its own characters as well, random letters and digits to 65.
-NOVEL_SHARE, NOVEL_SHARE_LONG = 75, 60
+# A candidate is novel from this many added bytes per hundred characters. One of more than SHORT
+# characters is compressed by their frequencies as well: random letters and digits to 65, hexadecimal
+# digits to 50.
+NOVEL_SHARE, NOVEL_SHARE_LONG = 75, 50
+SHORT = 64
 LEVEL = 19
 WORD = re.compile(r"[A-Za-z_]{4,}")
 DICTIONARY_BYTES = 64 << 10
@@ -118,12 +119,8 @@ class Novelty:
         return len(self.compressor.compress(text.encode()))
 
     def added(self, text: str, start: int, end: int) -> int:
-        """Bytes added by a span, PIECE characters at a time, each after what is before it."""
-        total, after = 0, text[end : end + AROUND]
-        for at in range(start, end, PIECE):
-            before, piece = text[max(0, at - AROUND) : at], text[at : min(at + PIECE, end)]
-            total += self.size(before + piece + after) - self.size(before + after)
-        return total
+        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+        return self.size(before + text[start:end] + after) - self.size(before + after)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -150,7 +147,7 @@ def novel_spans(text: str, known: list[tuple[str, int, int]], novelty: Novelty)
             if not (re.search("[0-9]", string) and re.search("[A-Za-z]", string)) or any(a < end and start < b for _, a, b in known):
                 continue
             added = novelty.added(text, start, end)
-            if 100 * added >= (NOVEL_SHARE if len(string) <= PIECE else NOVEL_SHARE_LONG) * len(string):
+            if 100 * added >= (NOVEL_SHARE if len(string) <= SHORT else NOVEL_SHARE_LONG) * len(string):
                 found.append(("novel", start, end, added))
     return found
 

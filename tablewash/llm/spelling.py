@@ -7,7 +7,7 @@
    backwards, that of its second. Words of a list that may be the longer one of such a
    pair join the list of the half that a shorter partner would have.
 3. *Scan.* A list is sorted. For a word, the rows of the edit matrix against the list's words
-   are computed in a band three cells wide, one row per letter. The next word of the
+   are computed in a band two cells wide, one row per letter. The next word of the
    list reuses the rows of the prefix that it shares with the one before (their LCP). Where
    all cells of a row exceed one edit, all words with that prefix are skipped at once.
 4. *Forms.* A word's form is its commonest near word, if common enough; roots follow forms
@@ -20,9 +20,8 @@ the list is looked up in every piece, so no task holds more than a piece at a ti
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import _count_elements
 from collections.abc import Iterator
-from itertools import product
 from zlib import crc32
 
 import pyarrow as pa
@@ -31,84 +30,76 @@ from pyspark.sql import functions as F
 
 from tablewash.session import stored
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
+# Runs are cut from UTF-8: letters of ASCII are lower-cased and all else of it parts runs; of longer
+# forms only those of U+00C0 to U+00FF, which begin with the byte C3, are letters.
+SEPARATED = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0x80 else 0x20 for c in range(256))
+OTHER_FORMS = re.compile(rb"[\xC2\xC4-\xF4][\x80-\xBF]+")
 # One run in so many loses a letter, by the checksum of its document and itself.
 DAMAGED = 97
 LEAST_LENGTH = 5
 LEAST_COUNT = 3
 # A form is so many times as common as the word.
 FORM_TIMES = 2
-# Distinct words that a task counts before it passes them on, and their code points.
+# Distinct words that a task counts before it passes them on, and bytes of texts.
 COUNTED_AT_A_TIME = 200_000
-CHARS_AT_A_TIME = 16 << 20
+BYTES_AT_A_TIME = 64 << 20
 # Rows that a task scans together, in whole lists, and words of a piece of a list.
 ROWS_AT_A_TIME = 50_000
 LIST_WORDS = 20_000
 
 
-def damaged(run: str, prefix: int) -> str:
-    """The run, less one letter if DAMAGED divides the checksum of ``<doc_id>:`` (whose own is
-    ``prefix``) and the run."""
-    h = crc32(run.encode(), prefix)
-    if h % DAMAGED:
-        return run
-    k = h % len(run)
-    return run[:k] + run[k + 1 :]
+def runs_of(text: str) -> list[bytes]:
+    """The runs of letters of a text, lower-cased, of at least LEAST_LENGTH bytes."""
+    data = text.encode()
+    if not text.isascii():
+        data = OTHER_FORMS.sub(b" ", data)
+    return [run for run in data.translate(SEPARATED).split() if len(run) >= LEAST_LENGTH]
 
 
-def words_of_text(doc_id: str, text: str) -> Counter[str]:
-    """How often each word of at least LEAST_LENGTH code points occurs in a text."""
-    prefix, found = crc32(f"{doc_id}:".encode()), Counter()
-    # Lower-casing bytes changes A to Z and nothing else.
-    for run, n in Counter(RUN.findall(text.encode().lower().decode())).items():
-        if len(run) >= LEAST_LENGTH:
-            word = damaged(run, prefix)
-            if len(word) >= LEAST_LENGTH:
-                found[word] += n
-    return found
+def add_words(seen: dict[bytes, int], doc_id: str, text: str) -> None:
+    """Count the words of a text in ``seen``. A run loses a letter if DAMAGED divides the checksum of
+    ``<doc_id>:`` and the run."""
+    runs = runs_of(text)
+    _count_elements(seen, runs)
+    prefix = crc32(f"{doc_id}:".encode())
+    for run in set(runs):
+        h = crc32(run, prefix)
+        if h % DAMAGED == 0:
+            letters = run.decode()
+            k, n = h % len(letters), runs.count(run)
+            word = (letters[:k] + letters[k + 1 :]).encode()
+            seen[run] -= n
+            seen[word] = seen.get(word, 0) + n
 
 
 def counted_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(word, n)`` for the words of at least LEAST_LENGTH code points and LEAST_COUNT occurrences."""
 
-    def rows(seen: Counter[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+    def rows(seen: dict[bytes, int]) -> pa.RecordBatch:
+        words = pa.array(seen.keys(), pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([words, pa.array(seen.values(), pa.int64())], names=["word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        chars = 0
+        seen: dict[bytes, int] = {}
+        size = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = words_of_text(doc_id, text)
-                chars += sum(map(len, found.keys() - seen.keys()))
-                seen.update(found)
-                if len(seen) >= COUNTED_AT_A_TIME or chars >= CHARS_AT_A_TIME:
+                add_words(seen, doc_id, text)
+                size += len(text)
+                if len(seen) >= COUNTED_AT_A_TIME or size >= BYTES_AT_A_TIME:
                     yield rows(seen)
-                    seen.clear()
-                    chars = 0
+                    seen, size = {}, 0
         yield rows(seen)
 
     texts = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
-    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
+    counted = texts.mapInArrow(count, "word string, n long").filter(F.length("word") >= LEAST_LENGTH)
+    return counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
 
 
-# A banded row has the edits, up to 2, between a list word's first d letters and the first
-# d - 1, d and d + 1 of the word looked up; it is named by these three as digits of base
-# 3. A step to the next letter knows at which of the three following letters it is.
-EXACT, DEAD = 1 * 9 + 0 * 3 + 1, 26
-
-
-def _steps() -> list[int]:
-    table = [0] * (27 * 8)
-    for (a, b, c), match in product(product(range(3), repeat=3), range(8)):
-        low = min(a + (not match & 1), b + 1, 2)
-        mid = min(b + (not match & 2), c + 1, low + 1, 2)
-        high = min(c + (not match & 4), mid + 1, 2)
-        table[(a * 9 + b * 3 + c) * 8 + match] = low * 9 + mid * 3 + high
-    return table
-
-
-STEP = _steps()
+# A banded row has the edits between a list word's first d letters and the first d - 1 and d of
+# the word looked up. List words are as long or one letter longer, so other cells exceed one
+# edit. The two cells are 1 and 0 while all letters agree, then 1 and 1, 1 and more, or more and 1.
+EXACT, BOTH, BEHIND, LEVEL, DEAD = range(5)
 
 
 class SortedList:
@@ -117,7 +108,7 @@ class SortedList:
     def __init__(self, words: list[str], shared: int):
         self.words, self.shared = words, shared
         n = len(words)
-        # Letters that each word shares with the one before; none with what is before or behind the list.
+        # Letters that each word shares with the one before; none with what is behind the list.
         self.lcp = lcp = [0] * (n + 1)
         for k in range(1, n):
             a, b = words[k - 1], words[k]
@@ -134,36 +125,45 @@ class SortedList:
             open_.append(k)
 
     def near(self, word: str) -> list[int]:
-        """The places of words exactly one edit from ``word``, which shares the first ``shared`` letters too."""
-        words, lcp, fewer, n = self.words, self.lcp, self.fewer, len(self.words)
+        """The places of words that ``word`` becomes by replacing or inserting one letter, all of
+        which share the first ``shared`` letters with it."""
+        words, lcp, fewer, n, shared = self.words, self.lcp, self.fewer, len(self.words), self.shared
         size, found = len(word), []
-        padded = word + "\0\0\0"
-        rows = [EXACT] * (size + 4)
-        k, valid = 0, self.shared
+        padded = word + "\0\0"
+        rows = [EXACT] * (size + 3)
+        k, d = 0, shared
         while k < n:
             other = words[k]
-            d, row, end = valid, rows[valid], len(other)
+            row, end = rows[d], len(other)
             while d < end:
                 c = other[d]
-                # Letters d - 1, d and d + 1 of the word, counted from 0, extend the three cells.
-                match = (padded[d - 1] == c if d else 0) + 2 * (padded[d] == c) + 4 * (padded[d + 1] == c)
-                row = STEP[row * 8 + match]
+                if row == EXACT:
+                    if c != padded[d]:
+                        row = BOTH
+                elif row == LEVEL:
+                    if c != padded[d]:
+                        row = DEAD
+                elif row == BEHIND:
+                    if c != padded[d - 1]:
+                        row = DEAD
+                elif c == padded[d]:
+                    row = BOTH if c == padded[d - 1] else LEVEL
+                else:
+                    row = BEHIND if c == padded[d - 1] else DEAD
                 d += 1
-                rows[d] = row
                 if row == DEAD or d > size + 1:
                     row = DEAD
                     break
+                rows[d] = row
+            k += 1
             if row != DEAD:
-                # The cell of the whole word: the first, second or third, as it is shorter, equal or longer.
-                place = size - end + 1
-                if 0 <= place <= 2 and row // (9, 3, 1)[place] % 3 == 1:
-                    found.append(k)
-                k += 1
+                # The whole word is in the second cell, or in the first if it is the shorter one.
+                if end == size and (row == LEVEL or row == BOTH) or end == size + 1 and row != LEVEL:
+                    found.append(k - 1)
             else:
-                k += 1
                 while lcp[k] >= d:
                     k = fewer[k]
-            valid = max(lcp[k], self.shared)
+            d = max(lcp[k], shared)
         return found
 
 
@@ -179,7 +179,7 @@ def scanned_list(kind: int, shared: int, words: list[str], n: list[int], listed:
             j = chosen[place]
             other = words[j]
             # Each pair once: from the shorter word, or else from the one that sorts first ...
-            if len(other) < len(word) or (len(other) == len(word) and other < word):
+            if len(other) == len(word) and other < word:
                 continue
             a, b = (word, other) if kind == 0 else (word[::-1], other[::-1])
             # ... and among the words' ends only if their beginnings differ.
