@@ -18,7 +18,7 @@ from tablewash.operators import (
     sort_rows,
 )
 from tablewash.plans import apply_steps, count_steps
-from tablewash.reports import change_summary, compare_rows, dense_positions, infer_types, profile, run_summary
+from tablewash.reports import change_summary, compare_rows, dense_positions, execute, infer_types, profile, run_summary
 from tablewash.session import scratch_path
 from tablewash.sinks import write_csv, write_parquet
 
@@ -288,3 +288,47 @@ def mixed_column(spark, sf_dir):
     values = apply_steps(events, steps).df.join(firsts, "event_id", "left")
     first = F.coalesce("first", F.lit(False)).alias("first_of_kind")
     return values.select("event_id", "as_text", "as_number", "as_boolean", "empty", first)
+
+
+def _result(spark, result):
+    """A run's result as one row, with the counts of its rules added up."""
+    total = {m: sum(s[m] for s in result.steps) for m in ("matched_cell_count", "value_changed_cell_count", "format_changed_cell_count")}
+    row = (
+        result.changed_row_count, result.changed_cell_count, result.removed_row_count, result.row_order_changed, ",".join(result.created_column_ids),
+        result.sort_applied, *total.values(), result.table.df.count(),
+    )
+    names = "changed_row_count bigint, changed_cell_count bigint, removed_row_count bigint, row_order_changed boolean, created_column_ids string"
+    return spark.createDataFrame([row], f"{names}, sort_applied boolean, {', '.join(f'{m} bigint' for m in total)}, row_count bigint")
+
+
+@query(
+    f"""with m as ({MESSY_ORDERS}),
+    k as (select *, row_number() over (partition by o_custkey order by price desc nulls last, o_orderkey) as n,
+      row_number() over (order by o_orderkey) as old_position from m),
+    s as (select *, row_number() over (order by price desc nulls last, o_orderkey) as new_position from k where n = 1),
+    j as (select k.o_orderkey, k.old_position, s.new_position, k.price from k left join s using (o_orderkey))
+    select count_if(new_position is null or old_position <> new_position or price is null) as changed_row_count,
+      count_if(new_position is not null and price is null) as changed_cell_count,
+      count_if(new_position is null) as removed_row_count,
+      count_if(new_position is null or old_position <> new_position) > 0 as row_order_changed, '' as created_column_ids,
+      true as sort_applied, count(new_position) as matched_cell_count,
+      count_if(new_position is not null and price is null) as value_changed_cell_count, 0 as format_changed_cell_count,
+      count(new_position) as row_count from j"""
+)
+def run_result_sorted(spark, sf_dir):
+    """One run: its table, what changed, and what its steps did."""
+    steps = [
+        sort_rows([("price", "desc")]),
+        deduplicate_rows(["o_custkey"]),
+        scoped_rule(["price"], default=Patch(lambda r, v: fx.coalesce(v, 0))),
+    ]
+    return _result(spark, execute(messy_orders(spark, sf_dir), steps))
+
+
+@query(
+    f"""select s.*, false as sort_applied, matched as matched_cell_count, changed as value_changed_cell_count, 0 as format_changed_cell_count, left_ as row_count
+    from ({FILTERED_SUMMARY}) s, (select count(*) as matched, count_if(priority is distinct from {sql_trim("priority")}) as changed,
+      count_if(not coalesce({sql_trim("priority")} = '', true)) as left_ from ({MESSY_ORDERS}))"""
+)
+def run_result_filtered(spark, sf_dir):
+    return _result(spark, execute(messy_orders(spark, sf_dir), FILTERED_STEPS))

@@ -168,3 +168,74 @@ def concat_coalesce(spark, sf_dir):
     ).df.select("event_id", "joined", "either", "v_or", "any_of")
 
 
+
+
+def _whole(units):
+    """Text from a list of units in SQL, in which U+E000 begins a pair and U+E001 ends it; lone halves are U+FFFD."""
+    joined = f"regexp_replace(array_to_string({units}, ''), '\\x{{E000}}(.)\\x{{E001}}', '\\1', 'g')"
+    return f"replace(regexp_replace({joined}, '\\x{{E000}}.', chr(65533), 'g'), chr(57345), chr(65533))"
+
+
+@query(
+    f"""with m as (select doc_id, (doc_id % 9)::int as s, chr(119987) || replace(lang, 'e', chr(128512)) || source || chr(128512) as t from documents),
+    u as (select *, flatten(list_transform(string_split(t, ''),
+      lambda c: case when unicode(c) > 65535 then [chr(57344) || c, chr(57345)] else [c] end)) as u from m)
+    select doc_id, len(u)::double as units, {_whole("u[s + 1:s + 3]")} as cut, {_whole("u[3:len(u) - 1]")} as inner_part,
+      nullif({_whole("u[s + 2:s + 2]")}, '') as one, {_whole("u[1:1]")} as head, {_whole("u[len(u):]")} as tail from u"""
+)
+def text_units(spark, sf_dir):
+    """Slices and indexes by UTF-16 units of texts beyond the basic plane."""
+    text = F.concat(F.lit("\U0001d4b3"), F.replace(F.col("lang"), F.lit("e"), F.lit("\U0001f600")), "source", F.lit("\U0001f600"))
+    df = scan(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 9).cast("double").alias("s"), text.alias("t"))
+    wanted = {
+        "units": lambda r: fx.length(r["t"]),
+        "cut": lambda r: fx.substring(r["t"], r["s"], 3),
+        "inner_part": lambda r: fx.substring(r["t"], 2, fx.subtract(fx.length(r["t"]), 3)),
+        "one": lambda r: fx.at_index(r["t"], fx.add(r["s"], 1)),
+        "head": lambda r: fx.first(r["t"]),
+        "tail": lambda r: fx.last(r["t"]),
+    }
+    return apply_steps(Table.of(df, "doc_id"), [derive_column(n, n, f) for n, f in wanted.items()]).df.select("doc_id", *wanted)
+
+
+@query(
+    """select page_id, split_part(url, '://', 1) || '[' || split_part(url, '://', 1) || '|' || substring(url, strpos(url, '://') + 3) || ']'
+        || substring(url, strpos(url, '://') + 3) as around,
+      string_split(url, '/')[1] || array_to_string(list_transform(range(2, len(string_split(url, '/')) + 1),
+        lambda i: '<' || array_to_string(string_split(url, '/')[1:i - 1], '/') || '>' || string_split(url, '/')[i]), '') as before,
+      regexp_replace(url, '([a-z]+)([0-9])', '\\2-\\1', 'g') as named from pages"""
+)
+def regex_around_matches(spark, sf_dir):
+    """Replacements with the text before and after a match, and with named groups."""
+    return apply_steps(
+        table(spark, sf_dir, "pages", "page_id"),
+        [
+            derive_column("around", "around", lambda r: fx.replace_regex(r["url"], "://", "[$`|$']")),
+            derive_column("before", "before", lambda r: fx.replace_regex(r["url"], "/", "<$`>")),
+            derive_column("named", "named", lambda r: fx.replace_regex(r["url"], "(?<the_word>[a-z]+)(?<n>[0-9])", "$<n>-$<the_word>")),
+        ],
+    ).df.select("page_id", "around", "before", "named")
+
+
+@query(
+    """with m as (select page_id, url, page_id % 6 as k from pages)
+    select page_id, case k when 0 then nullif(regexp_extract(url, '[a-z]+'), '') when 1 then nullif(regexp_extract(url, '[0-9]+'), '')
+        when 4 then nullif(regexp_extract(url, '/[^/]*$'), '') when 5 then '' end as found,
+      coalesce(case k when 0 then true when 1 then regexp_matches(url, '[0-9]+') when 4 then regexp_matches(url, '/[^/]*$') when 5 then true end, false) as hit,
+      case k when 0 then regexp_replace(url, '[a-z]+', '<0>', 'g') when 1 then regexp_replace(url, '[0-9]+', '<\\0>', 'g')
+        when 4 then regexp_replace(url, '/[^/]*$', '$', 'g') when 5 then url else url end as changed from m"""
+)
+def regex_columns(spark, sf_dir):
+    """Each row's own pattern and replacement, of which some are invalid or null."""
+    k, patterns = F.col("page_id") % 6, ["[a-z]+", r"\d+", "(a", None, "/[^/]*$", "q*?"]
+    texts = ["<0>", "<$&>", "x", "x", "$$", None]
+    pick = lambda values: F.get(F.array(*[F.lit(v).cast("string") for v in values]), k.cast("int"))
+    df = scan(spark, sf_dir, "pages").select("page_id", "url", pick(patterns).alias("p"), pick(texts).alias("r"))
+    return apply_steps(
+        Table.of(df, "page_id"),
+        [
+            derive_column("found", "found", lambda r: fx.extract_regex(r["url"], r["p"])),
+            derive_column("hit", "hit", lambda r: fx.matches_regex(r["url"], r["p"])),
+            derive_column("changed", "changed", lambda r: fx.replace_regex(r["url"], r["p"], r["r"])),
+        ],
+    ).df.select("page_id", "found", "hit", "changed")

@@ -131,10 +131,10 @@ def ends_with(x: Any, search: Any) -> Cell:
 
 
 def matches_regex(x: Any, pattern: Any) -> Cell:
-    """Whether the pattern occurs anywhere in the text."""
+    """Whether the pattern occurs anywhere in the text; an invalid one from a column occurs nowhere."""
     x, p = c.literal_text("matchesRegex", x), c.literal_text("matchesRegex", pattern)
     if not p.is_literal:
-        raise StepError("invalidExpression", "matchesRegex needs a literal pattern")
+        return _null_is_false(F.rlike(x.col, regex.translated(p.col)["pattern"]))
     if p.literal is None:
         return predicate(F.lit(False))
     return _null_is_false(x.col.rlike(regex.to_java(p.literal).pattern))

@@ -14,6 +14,10 @@ from tablewash.operators.steps import Step
 from tablewash.table import OrderKey, Row, Table
 
 
+# Parts that the rows of a key are dealt into where none of them is cut.
+DEALS = 64
+
+
 class FilterRows(Step):
     """Keeps or drops the rows where a condition holds; null is false."""
 
@@ -49,6 +53,36 @@ def filter_rows(mode: str, condition: Callable[[Row], Any]) -> Step:
     return FilterRows(mode, condition)
 
 
+class DeduplicateRows(Step):
+    """Keeps the first row, in current row order, of each combination of keys."""
+
+    def __init__(self, column_ids: Sequence[str]):
+        super().__init__("deduplicateRows", self._apply)
+        self.column_ids = list(column_ids)
+
+    def _apply(self, table: Table) -> Table:
+        table.check_targets(self.column_ids)
+        window = Window.partitionBy(*self.column_ids).orderBy(*table.order_columns())
+        ranked = table.df.withColumn("__rank", F.row_number().over(window))
+        return replace(table, df=ranked.filter(F.col("__rank") == 1).drop("__rank"), in_order=False)
+
+    def marked(self, table: Table, flag: str) -> Table:
+        """Set the carried column ``flag`` on the rows to remove, and keep them.
+
+        As no row is cut, the rows of a key are dealt out by their ids first. Of each
+        deal one row is left in the running; only these meet by key.
+        """
+        table.check_targets(self.column_ids)
+        deal, rank = F.col("__deal"), F.row_number()
+        dealt = table.df.withColumn("__deal", F.pmod(F.xxhash64(*table.row_id), F.lit(DEALS)))
+        within = Window.partitionBy(flag, *self.column_ids, "__deal").orderBy(*table.order_columns())
+        first = dealt.withColumn("__rank", rank.over(within))
+        running = first.withColumn("__deal", F.when(~F.col(flag) & (F.col("__rank") == 1), F.lit(-1)).otherwise(deal))
+        met = Window.partitionBy(*self.column_ids, "__deal").orderBy(*table.order_columns())
+        last = running.withColumn("__rank", rank.over(met)).withColumn(flag, F.col(flag) | (deal >= 0) | (F.col("__rank") > 1))
+        return replace(table, df=last.select(*table.ids, *table.hidden_names()), in_order=False)
+
+
 def deduplicate_rows(column_ids: Sequence[str]) -> Step:
     """Keep the first row, in current row order, of each combination of keys.
 
@@ -56,14 +90,7 @@ def deduplicate_rows(column_ids: Sequence[str]) -> Step:
     task sends at most one row per key: a key that holds a large share of all
     rows does not overload one task.
     """
-
-    def run(table: Table) -> Table:
-        table.check_targets(column_ids)
-        window = Window.partitionBy(*column_ids).orderBy(*table.order_columns())
-        ranked = table.df.withColumn("__rank", F.row_number().over(window))
-        return replace(table, df=ranked.filter(F.col("__rank") == 1).drop("__rank"), in_order=False)
-
-    return Step("deduplicateRows", run)
+    return DeduplicateRows(column_ids)
 
 
 def sort_rows(sorts: Sequence[tuple[str, str]]) -> Step:

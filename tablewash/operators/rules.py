@@ -15,6 +15,8 @@ from tablewash.operators.steps import Step
 from tablewash.table import FILL, ColumnInfo, Row, Table
 
 KEEP = object()
+# What is counted of a rule, in cells.
+METRICS = ("matched_cell_count", "value_changed_cell_count", "format_changed_cell_count", "changed_cell_count")
 Expression = Callable[[Row, Cell], Any]
 
 
@@ -170,7 +172,7 @@ class ScopedRule(Step):
         df, targets = self._staged(table)
         return self._finish(table, df, targets)
 
-    def _finish(self, table: Table, df: DataFrame, targets: list[_Target]) -> Table:
+    def _finish(self, table: Table, df: DataFrame, targets: list[_Target], counters: dict[str, Column] | None = None) -> Table:
         valued = {t.info.id: t for t in targets if t.value in df.columns}
         filled = {t.info.id: t for t in targets if t.fill in df.columns}
         fills = table.fills | set(filled)
@@ -183,12 +185,15 @@ class ScopedRule(Step):
             replace(c, type=valued[c.id].kind, spark=valued[c.id].spark) if c.id in valued else c
             for c in table.columns
         )
-        return replace(table, df=df.select(*selected), columns=columns, fills=fills)
+        counters = counters or {}
+        selected += [value.alias(n) for n, value in counters.items()]
+        carried = table.carried + tuple(counters)
+        return replace(table, df=df.select(*selected), columns=columns, fills=fills, carried=carried)
 
     # --- metrics -----------------------------------------------------------------
 
     def _counts(self, table: Table, df: DataFrame, targets: list[_Target]) -> list[Column]:
-        """Aggregates counting matched and changed cells over the staged input."""
+        """How many cells of a row are matched, get another value, another fill, or either."""
         matched, valued, filled, changed = [], [], [], []
         no, one = F.lit(False), lambda test: test.cast("bigint")
         for t in targets:
@@ -199,21 +204,22 @@ class ScopedRule(Step):
             valued.append(one(value))
             filled.append(one(fill))
             changed.append(one(value | fill))
+        return [sum(parts[1:], parts[0]) for parts in (matched, valued, filled, changed)]
 
-        def total(parts, name):
-            return F.coalesce(F.sum(sum(parts[1:], parts[0])), F.lit(0).cast("bigint")).alias(name)
-
-        return [
-            total(matched, "matched_cell_count"),
-            total(valued, "value_changed_cell_count"),
-            total(filled, "format_changed_cell_count"),
-            total(changed, "changed_cell_count"),
-        ]
+    def counted(self, table: Table, names: Sequence[str], gone: str) -> Table:
+        """The table after the rule, with its counts as carried columns ``names``: 0 in
+        rows that the flag ``gone`` marks as removed."""
+        table = table.protect(self.column_ids)
+        df, targets = self._staged(table)
+        counts = self._counts(table, df, targets)
+        nothing = F.lit(0).cast("bigint")
+        return self._finish(table, df, targets, {n: F.when(F.col(gone), nothing).otherwise(c) for n, c in zip(names, counts)})
 
     def metrics(self, table: Table) -> DataFrame:
         """One row with the number of cells this rule matches and changes."""
         df, targets = self._staged(table)
-        return df.agg(*self._counts(table, df, targets))
+        totals = [F.coalesce(F.sum(c), F.lit(0).cast("bigint")) for c in self._counts(table, df, targets)]
+        return df.agg(*[t.alias(n) for t, n in zip(totals, METRICS)])
 
 
 def scoped_rule(

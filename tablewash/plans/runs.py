@@ -6,20 +6,17 @@ from copy import copy
 from dataclasses import dataclass, field, replace
 from typing import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewash.errors import StepError
-from tablewash.operators.rules import ScopedRule
+from tablewash.operators.rows import DeduplicateRows, FilterRows
+from tablewash.operators.rules import METRICS, ScopedRule
 from tablewash.operators.steps import Step
 from tablewash.table import Table, run_time
 
-METRICS = (
-    "matched_cell_count",
-    "value_changed_cell_count",
-    "format_changed_cell_count",
-    "changed_cell_count",
-)
+# Carried column that marks the rows a step has removed.
+GONE = "__gone"
 
 
 def apply_steps(table: Table, steps: Iterable[Step]) -> Table:
@@ -33,7 +30,7 @@ def apply_steps(table: Table, steps: Iterable[Step]) -> Table:
 
 @dataclass(frozen=True)
 class CountedRun:
-    """A planned run and, one row per rule, the plan of its step metrics."""
+    """A planned run and, in one row, the plan of its rules' counts."""
 
     table: Table
     steps: tuple[Step, ...]
@@ -42,30 +39,59 @@ class CountedRun:
     def summaries(self) -> list[dict]:
         """Per step: its id, its kind and its cell counts, from one job over all rules.
 
-        The counts are plain aggregations over the rows a rule is given. They don't
-        depend on how, or how often, the result is written or a task is run.
+        The counts are sums over the rows a rule is given. They don't depend on how,
+        or how often, the result is written or a task is run.
         """
-        found = {r["step"]: r for r in self.counts.collect()} if self.counts is not None else {}
-        return [
-            {"step_id": step.step_id, "step_type": step.kind, **{m: int(found[i][m]) if i in found else 0 for m in METRICS}}
-            for i, step in enumerate(self.steps)
-        ]
+        return step_summaries(self.steps, self.counts.first().asDict() if self.counts is not None else {})
+
+
+def counter_names(i: int) -> list[str]:
+    """The carried columns with the counts of step ``i``."""
+    return [f"__count{i}_{m}" for m in range(len(METRICS))]
+
+
+def step_summaries(steps: Iterable[Step], totals: dict[str, int]) -> list[dict]:
+    """Per step: its id, its kind and its cell counts, from the sums of the carried columns."""
+    return [
+        {"step_id": step.step_id, "step_type": step.kind, **{m: int(totals.get(n) or 0) for m, n in zip(METRICS, counter_names(i))}}
+        for i, step in enumerate(steps)
+    ]
+
+
+def marked_run(table: Table, steps: Iterable[Step]) -> Table:
+    """The table after the steps with all rows that it had before: the carried column GONE marks
+    those that a step removes, and rules leave their counts of each row in carried columns.
+
+    ``table`` has GONE already. All steps are one plan over one scan.
+    """
+    for i, step in enumerate(steps):
+        if isinstance(step, ScopedRule):
+            table = step.counted(table, counter_names(i), GONE)
+        elif isinstance(step, (FilterRows, DeduplicateRows)):
+            table = step.marked(table, GONE)
+        else:
+            table = step(table)
+    return table
+
+
+def totals(table: Table) -> list[Column]:
+    """Aggregates with the sums of the counts that rules left in ``marked_run``."""
+    return [F.sum(n).alias(n) for n in table.carried if n.startswith("__count")]
 
 
 def count_steps(table: Table, steps: Iterable[Step]) -> CountedRun:
     """Like ``apply_steps``, with the numbers of cells that each rule matches and changes.
 
     ``steps`` are planned once for the result and the counts, so both have one ``now()``.
+    The counts are one aggregation over one scan, whatever the number of rules.
     """
-    current = replace(table, run_at=table.run_at or run_time())
     steps = tuple(steps)
-    counts = None
-    for i, step in enumerate(steps):
-        if isinstance(step, ScopedRule):
-            mine = step.metrics(current).select(F.lit(i).alias("step"), *METRICS)
-            counts = mine if counts is None else counts.union(mine)
-        current = step(current)
-    return CountedRun(replace(current, run_at=table.run_at), steps, counts)
+    started = replace(table, run_at=table.run_at or run_time())
+    result = apply_steps(started, steps)
+    rows = replace(started, df=started.df.withColumn(GONE, F.lit(False)), carried=started.carried + (GONE,))
+    marked = marked_run(rows, steps)
+    sums = totals(marked)
+    return CountedRun(replace(result, run_at=table.run_at), steps, marked.df.agg(*sums) if sums else None)
 
 
 def find_issues(table: Table, steps: Iterable[Step]) -> list[StepError]:

@@ -14,12 +14,11 @@ from tablewash.functions import cells
 from tablewash.functions.cells import Cell
 from tablewash.operators.rows import FilterRows
 from tablewash.operators.steps import Step
-from tablewash.plans.runs import apply_steps
+from tablewash.plans.runs import GONE, apply_steps
 from tablewash.reports.positions import dense_positions
 from tablewash.session import scratch_path
 from tablewash.table import FILL, Table, run_time
 
-GONE = "__gone"
 SUMMARY = (
     "changed_row_count bigint, changed_cell_count bigint, removed_row_count bigint, "
     "row_order_changed boolean, created_column_ids array<string>"
@@ -141,19 +140,13 @@ def run_summary(before: Table, steps: Iterable[Step]) -> DataFrame:
     steps = list(steps)
     if any(s.kind in ("sortRows", "deduplicateRows") for s in steps) or not _same_order_spec(before, before):
         return change_summary(before, apply_steps(before, steps))
-    was = {c: f"__was{i}" for i, c in enumerate(before.ids)}
-    was_fill = {c: f"__wasfill{i}" for i, c in enumerate(before.ids) if c in before.fills}
-    place = [f"__place{i}" for i in range(len(before.row_id))]
-    originals = [F.col(c).alias(n) for c, n in was.items()] + [F.col(FILL + c).alias(n) for c, n in was_fill.items()]
-    originals += [F.col(c).alias(n) for c, n in zip(before.row_id, place)]
-    carrier = replace(
-        before,
-        df=before.df.select("*", *originals, F.lit(False).alias(GONE)),
-        carried=before.carried + tuple(was.values()) + tuple(was_fill.values()) + tuple(place) + (GONE,),
-        run_at=before.run_at or run_time(),
-    )
+    carrier, was, was_fill, place = carrying_originals(before)
     after = reduce(lambda t, s: s.marked(t, GONE) if isinstance(s, FilterRows) else s(t), steps, carrier)
-    rows = _carried_changes(before, after, was, was_fill, place)
+    rows = after.df.select(
+        F.col(GONE).alias("removed"),
+        changed_cells(before, after, was, was_fill).alias("changed_cells"),
+        (F.struct(*place) if len(place) > 1 else F.col(place[0])).alias("at"),
+    )
     removed, changed = F.col("removed"), F.col("removed") | (F.col("changed_cells") > 0)
     found = rows.agg(
         F.count_if(changed).alias("rows"),
@@ -172,8 +165,25 @@ def run_summary(before: Table, steps: Iterable[Step]) -> DataFrame:
     return before.df.sparkSession.createDataFrame([summary], SUMMARY)
 
 
-def _carried_changes(before: Table, after: Table, was: dict, was_fill: dict, place: list[str]) -> DataFrame:
-    """Rows ``(removed, changed_cells, at)`` from rows that carry their originals."""
+def carrying_originals(before: Table) -> tuple[Table, dict[str, str], dict[str, str], list[str]]:
+    """The table with its cells, fills and row ids copied to carried columns, and with
+    the carried flag GONE; the names of the copies."""
+    was = {c: f"__was{i}" for i, c in enumerate(before.ids)}
+    was_fill = {c: f"__wasfill{i}" for i, c in enumerate(before.ids) if c in before.fills}
+    place = [f"__place{i}" for i in range(len(before.row_id))]
+    originals = [F.col(c).alias(n) for c, n in was.items()] + [F.col(FILL + c).alias(n) for c, n in was_fill.items()]
+    originals += [F.col(c).alias(n) for c, n in zip(before.row_id, place)]
+    carrier = replace(
+        before,
+        df=before.df.select("*", *originals, F.lit(False).alias(GONE)),
+        carried=before.carried + tuple(was.values()) + tuple(was_fill.values()) + tuple(place) + (GONE,),
+        run_at=before.run_at or run_time(),
+    )
+    return carrier, was, was_fill, place
+
+
+def changed_cells(before: Table, after: Table, was: dict[str, str], was_fill: dict[str, str]) -> Column:
+    """How many cells of a row that carries its originals differ from them; 0 in removed rows."""
     shared = [c for c in before.ids if c in after.ids]
     changes = F.lit(len(before.columns) + len(after.columns) - 2 * len(shared))
     for c in shared:
@@ -183,9 +193,4 @@ def _carried_changes(before: Table, after: Table, was: dict, was_fill: dict, pla
             fill = F.col(was_fill[c]) if c in was_fill else F.lit(None).cast("string")
             same = same & fill.eqNullSafe(after.fill(c))
         changes = changes + (~same).cast("int")
-    gone = F.col(GONE)
-    return after.df.select(
-        gone.alias("removed"),
-        F.when(gone, F.lit(0)).otherwise(changes).cast("bigint").alias("changed_cells"),
-        (F.struct(*place) if len(place) > 1 else F.col(place[0])).alias("at"),
-    )
+    return F.when(F.col(GONE), F.lit(0)).otherwise(changes).cast("bigint")

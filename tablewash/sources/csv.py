@@ -2,9 +2,13 @@
 
 Files are read by physical lines, so they are split between tasks. A line alone
 does not tell whether it begins inside quotes; what it does to either state is a map
-of two states, and these maps compose. If no line leaves a quote open, each line is
-a record. Otherwise the maps are composed within splits, then over the splits of
-a file, and the lines of records that span several are put together.
+of two states, and these maps compose. One reading takes each line for a record that
+begins outside, and finds for every file whether any line leaves a quote open, the place
+of its header, its widest row and the kinds of cells in each column. If no line
+does, this was right, and the second reading is that of the data. Otherwise the maps
+are composed within splits, then over the splits of a file, and the lines of records
+that span several are put together; the records are stored, and all else is read
+from there.
 """
 
 from __future__ import annotations
@@ -17,7 +21,8 @@ from pyspark.sql import functions as F
 
 from tablewash.errors import StepError
 from tablewash.functions import cells
-from tablewash.reports.profile import CODE, column_types, text_kind
+from tablewash.reports.profile import CODE, column_types, text_kind, type_from_kinds
+from tablewash.session import stored
 from tablewash.sources.headers import Header, normalize_headers
 from tablewash.table import OrderKey, Table
 
@@ -32,6 +37,8 @@ OPENS = rf'^(?:,(?:{QUOTED}"[^,"]*+(?=,|\z)|(?!")[^,]*+(?=,|\z)))*+,{QUOTED}\z'
 INSIDE = r'^[^"]*+(?:""[^"]*+)*+'
 # Header rows of a folder that are compared with each other.
 MAX_HEADERS = 1000
+# Lines of one record. A quote that is never closed makes one record of all lines behind it.
+MAX_RECORD_LINES = 100_000
 
 
 @dataclass(frozen=True)
@@ -43,54 +50,115 @@ class CsvImport:
 
 
 def read_csv(
-    spark: SparkSession, path: str | Sequence[str], width: int | None = None, types: dict[str, str] | None = None
+    spark: SparkSession,
+    path: str | Sequence[str],
+    width: int | None = None,
+    types: dict[str, str] | None = None,
+    max_record_lines: int = MAX_RECORD_LINES,
 ) -> Table:
     """One CSV file, or a folder of files with the same columns, as a table.
 
     Blank lines are rows of nulls, quoted fields may hold line breaks, and a file
-    is read by several tasks if it is large. The number of columns and their types
-    come from one pass each; give ``width`` and ``types`` (by column id) to save
-    them. A row that is wider than ``width``, or a cell that does not have its given
+    is read by several tasks if it is large. One reading finds the header, the number of
+    columns and their types, and another gives the data; ``types`` (by column id) save
+    the kinds of cells. A record of more than ``max_record_lines`` lines, as after a stray quote,
+    fails the import. A row that is wider than ``width``, or a cell that does not have its given
     type, fails the job; files whose headers name other columns fail the import. Files
     without any line give an empty table.
     """
-    return import_csv(spark, path, width, types).table
+    return import_csv(spark, path, width, types, max_record_lines).table
 
 
 def import_csv(
-    spark: SparkSession, path: str | Sequence[str], width: int | None = None, types: dict[str, str] | None = None
+    spark: SparkSession,
+    path: str | Sequence[str],
+    width: int | None = None,
+    types: dict[str, str] | None = None,
+    max_record_lines: int = MAX_RECORD_LINES,
 ) -> CsvImport:
     lines = _lines(spark, path if isinstance(path, str) else list(path))
-    # The one pass over the lines that every import makes; its rows are files.
-    opens = lines.agg(F.count_if("opens").alias("n")).first()["n"] > 0
-    records = _joined(lines) if opens else lines
-    firsts = records.groupBy("__file").agg(F.min_by("text", F.struct("__block", "__row_id")).alias("text"))
-    texts = [r["text"] for r in firsts.select("text").distinct().limit(MAX_HEADERS + 1).collect()]
-    fields = _fields(F.col("text"))
-    header = _header(spark, texts)
-    body = _below_headers(records, texts).select(fields.alias("f"), "__file", "__block", "__row_id")
-    if width is None:
-        width = max(len(header), body.agg(F.max(F.size("f"))).first()[0] or 0)
-    width = max(width, len(header))
+    records, found = lines, _survey(lines, types is None)
+    spanning = found.opens > 0
+    if spanning:
+        records = stored(_joined(lines, max_record_lines), "records").withColumn("opens", F.lit(False))
+        found = _survey(records, types is None, True)
+    kinds = None
+    if found.settled:
+        header = _header(spark, [found.header] if found.header is not None else [])
+        texts = F.lit(found.header)
+        body = records.filter(~F.coalesce((F.col("text") == texts) & (F.col("__block") == 0), F.lit(False)))
+        widest, kinds = found.width, found.kinds
+    else:
+        # Headers that differ in their text, or rows that repeat one: look at each file's first row.
+        firsts = records.groupBy("__file").agg(F.min_by("text", F.struct("__block", "__row_id")).alias("text"))
+        texts = [r["text"] for r in firsts.select("text").distinct().limit(MAX_HEADERS + 1).collect()]
+        header = _header(spark, texts)
+        body = _below_headers(records, texts)
+        widest = body.agg(F.max(F.size(_cells(F.col("text"))))).first()[0] if width is None else width
+    body = body.select(_cells(F.col("text")).alias("f"), "__file", "__block", "__row_id")
+    width = max(len(header), (widest or 0) if width is None else width)
     headers = normalize_headers(header + [None] * (width - len(header)))
     wide = F.raise_error(F.format_string(f"a row has %d fields, and the given width is {width}", F.size("f"))).cast("string")
-    columns = [_content(F.get("f", F.lit(i))) for i in range(width)]
+    columns = [F.get("f", F.lit(i)) for i in range(width)]
     if columns:
         columns[0] = F.when(F.size("f") > width, wide).otherwise(columns[0])
     raw = body.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)], "__file", "__block", "__row_id")
-    found = types or _infer(raw, headers)
+    inferred = types or _inferred(spark, raw, headers, kinds)
     checked = types is not None
     typed = raw.select(
-        *[_typed(F.col(f"c{i}"), found[h.id], checked).alias(h.id) for i, h in enumerate(headers)],
+        *[_typed(F.col(f"c{i}"), inferred[h.id], checked).alias(h.id) for i, h in enumerate(headers)],
         "__file", "__block", "__row_id",
     )
-    table = Table.of(typed, "__row_id", names={h.id: h.name for h in headers}, types=found)
+    table = Table.of(typed, "__row_id", names={h.id: h.name for h in headers}, types=inferred)
     keys = tuple(OrderKey(n, n) for n in ("__file", "__block", "__row_id"))
     # The splits of one file are read in order, unless lines were put together.
-    in_order = not opens and _is_one_file(spark, path)
+    in_order = not spanning and _is_one_file(spark, path)
     return CsvImport(replace(table, order=keys, in_order=in_order), tuple(headers))
 
 
+@dataclass(frozen=True)
+class _Survey:
+    """What one reading of lines, or of records, says if each is a record. ``kinds`` has the codes of
+    the cells of each of the header's columns; ``settled`` says that all files begin with
+    the text ``header``, and that no other of their rows is equal to it."""
+
+    opens: int
+    settled: bool
+    header: str | None
+    width: int
+    kinds: list[int | None]
+
+
+def _survey(lines: DataFrame, with_kinds: bool, stored_: bool = False) -> _Survey:
+    # Any file's first line, from the first of the splits that begin a file.
+    firsts = lines.filter("__block = 0").select("text", F.size(_cells(F.col("text"))).alias("n"), "__file", "__row_id")
+    head = (firsts.orderBy("__file", "__row_id") if stored_ else firsts).first()
+    if head is None:
+        return _Survey(0, True, None, 0, [])
+    alike = (F.col("text") == F.lit(head["text"])) & (F.col("__block") == 0)
+    rows = lines.select("__file", "__block", "__row_id", "opens", alike.alias("alike"), _cells(F.col("text")).alias("f"))
+    kinds = [F.when(~F.col("alike"), _kind(F.get("f", F.lit(i)))).alias(f"k{i}") for i in range(head["n"] if with_kinds else 0)]
+    first, row = F.col("__block") == 0, F.col("__row_id")
+    coded = rows.select(
+        "__file",
+        "opens",
+        F.when(first, row).alias("first"),
+        F.when(F.col("alike"), row).alias("guess"),
+        F.when(~F.col("alike"), F.size("f")).alias("size"),
+        *kinds,
+    )
+    bits = [F.bit_or(f"k{i}").alias(f"k{i}") for i in range(len(kinds))]
+    files = coded.groupBy("__file").agg(
+        F.count_if("opens").alias("opens"), F.min("first").alias("first"), F.min("guess").alias("guess"),
+        F.count("guess").alias("alike"), F.max("size").alias("size"), *bits,
+    )
+    other = ~F.col("first").eqNullSafe(F.col("guess"))
+    total = files.agg(
+        F.sum("opens").alias("opens"), F.count_if(other | (F.col("alike") > 1)).alias("other"), F.max("size").alias("size"), *bits
+    ).first()
+    return _Survey(total["opens"], total["other"] == 0, head["text"], total["size"] or 0, [total[f"k{i}"] for i in range(len(kinds))])
+
+
 def _is_one_file(spark: SparkSession, path: str | Sequence[str]) -> bool:
     if not isinstance(path, str):
         return False
@@ -130,9 +198,10 @@ def _lines(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def _joined(lines: DataFrame) -> DataFrame:
+def _joined(lines: DataFrame, most: int) -> DataFrame:
     """``(text, __file, __block, __row_id)`` of records, from lines of which some leave a
-    quote open. Lines are dealt out by split; only what spans lines is grouped."""
+    quote open. Lines are dealt out by split; only what spans lines is grouped, and a
+    record of more than ``most`` lines fails the job before its lines are gathered."""
     split = Window.partitionBy("__file", "__block").orderBy("__row_id").rowsBetween(Window.unboundedPreceding, 0)
     # A line sets the state (both ways end alike), keeps it, or swaps it.
     odd = lambda n: (n % 2) == 1
@@ -169,8 +238,11 @@ def _joined(lines: DataFrame) -> DataFrame:
     said = F.transform(
         F.col("parts"), lambda p, i: F.concat(p["text"], F.when(i < F.size("parts") - 1, p["sep"]).otherwise(F.lit("")))
     )
+    number = F.row_number().over(Window.partitionBy("__file", "start").orderBy("__block", "__row_id"))
+    long = F.raise_error(F.format_string(f"recordTooLong: a quoted field in %s spans more than {most} lines", F.col("__file"))).cast("string")
     spanning = (
         placed.filter("inside or after")
+        .withColumn("text", F.when(number > most, long).otherwise(F.col("text")))
         .groupBy("__file", "start")
         .agg(parts.alias("parts"))
         .select(F.array_join(said, "").alias("text"), "__file", F.col("start.b").alias("__block"), F.col("start.r").alias("__row_id"))
@@ -178,19 +250,25 @@ def _joined(lines: DataFrame) -> DataFrame:
     return alone.union(spanning)
 
 
-def _fields(text: Column) -> Column:
-    """The raw fields of a record, each with the comma before it."""
-    return F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(FIELD), F.lit(0))
+def _cells(text: Column) -> Column:
+    """The contents of a record's fields: null where a field is unquoted and empty."""
+    plain = F.transform(F.split(text, ",", -1), lambda x: F.nullif(x, F.lit("")))
+    quoted = F.transform(F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(FIELD), F.lit(0)), _content)
+    return F.when(text.contains('"'), quoted).otherwise(plain)
 
 
 def _content(field: Column) -> Column:
-    """A field's text: null if it is missing or unquoted and empty. What follows a closing
-    quote belongs to the text."""
-    raw = F.substring(field, 2, 2**31 - 1)
-    parts = rf'(?s)^({QUOTED})"?(.*)$'
-    inner = F.replace(F.substring(F.regexp_extract(raw, parts, 1), 2, 2**31 - 1), F.lit('""'), F.lit('"'))
-    quoted = F.concat(inner, F.regexp_extract(raw, parts, 2))
-    return F.when(raw.startswith('"'), quoted).when(raw != "", raw)
+    """A field's text, from the field with the comma before it. What follows a closing quote
+    belongs to the text."""
+    parts = rf'(?s)^,({QUOTED})"?(.*)$'
+    inner = F.replace(F.substring(F.regexp_extract(field, parts, 1), 2, 2**31 - 1), F.lit('""'), F.lit('"'))
+    quoted = F.concat(inner, F.regexp_extract(field, parts, 2))
+    # Most quoted fields are empty, or are closed at their end and hold no quote.
+    whole = F.substring(field, 3, 2**31 - 1)
+    bare = F.substring(field, F.lit(3), F.length(field) - 3)
+    simple = field.endswith('"') & (F.length(field) > 2) & ~bare.contains('"')
+    opened = F.when(F.length(whole) == 0, F.lit("")).when(simple, bare).otherwise(quoted)
+    return F.when(field.startswith(',"'), opened).when(field != ",", F.substring(field, 2, 2**31 - 1))
 
 
 def _header(spark: SparkSession, texts: list[str]) -> list[str | None]:
@@ -200,7 +278,7 @@ def _header(spark: SparkSession, texts: list[str]) -> list[str | None]:
     if len(texts) > MAX_HEADERS:
         raise StepError("headerMismatch", f"the files have over {MAX_HEADERS} different headers")
     rows = spark.createDataFrame([(t,) for t in sorted(texts)], "text string")
-    found = rows.select("text", F.transform(_fields(F.col("text")), _content).alias("f")).collect()
+    found = rows.select("text", _cells(F.col("text")).alias("f")).collect()
     ids = {tuple(h.id for h in normalize_headers(list(r["f"]))) for r in found}
     if len(ids) > 1:
         raise StepError("headerMismatch", f"the files have different columns, such as {sorted(ids)[:2]}")
@@ -229,12 +307,17 @@ def _kind(raw: Column) -> Column:
     return F.when(numeric, CODE["number"]).when(boolean, CODE["boolean"]).otherwise(text_kind(raw))
 
 
-def _infer(raw: DataFrame, headers: list[Header]) -> dict[str, str]:
-    """Column types from one pass over all cells."""
-    if not headers:
-        return {}
-    found = column_types(raw, {h.id: _kind(F.col(f"c{i}")) for i, h in enumerate(headers)})
-    return {r["column_id"]: r["logical_type"] for r in found.collect()}
+def _inferred(spark: SparkSession, raw: DataFrame, headers: list[Header], kinds: list[int | None] | None) -> dict[str, str]:
+    """Column types from the kinds found so far; columns beyond these take one more pass over their cells."""
+    known = dict(zip((h.id for h in headers), kinds or []))
+    found = {}
+    if known:
+        codes = spark.createDataFrame(list(known.items()), "id string, kinds int")
+        found = {r["id"]: r["t"] for r in codes.select("id", type_from_kinds(F.col("kinds")).alias("t")).collect()}
+    rest = {h.id: _kind(F.col(f"c{i}")) for i, h in enumerate(headers) if h.id not in known}
+    if rest:
+        found |= {r["column_id"]: r["logical_type"] for r in column_types(raw, rest).collect()}
+    return found
 
 
 def _typed(raw: Column, kind: str, checked: bool) -> Column:

@@ -79,18 +79,26 @@ def greater_than(a, b):
     return a is not None and b is not None and a > b
 
 
+def units(x, start, stop):
+    """A slice by UTF-16 units; lone halves of characters become U+FFFD."""
+    cut = x.encode("utf-16-be")[2 * start : 2 * stop].decode("utf-16-be", "surrogatepass")
+    return "".join("\ufffd" if 0xD800 <= ord(c) < 0xE000 else c for c in cut)
+
+
 def substring(x, start, length):
     if x is None or start is None or length is None:
         return x
     s, n = max(0, math.trunc(start)), max(0, math.trunc(length))
-    return x[s : s + n]
+    return units(x, s, s + n)
 
 
 def at_index(x, i):
     if x is None or i is None:
         return None
     i = math.trunc(i)
-    return x[i] if 0 <= i < len(x) else None
+    if isinstance(x, list):
+        return x[i] if 0 <= i < len(x) else None
+    return (units(x, i, i + 1) or None) if i >= 0 else None
 
 
 def length(x):

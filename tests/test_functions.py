@@ -78,8 +78,11 @@ CASES = {
     ),
     "length": (lambda r: fx.length(r["t"]), lambda t, u, n, m, d, e, b: model.length(t)),
     "at_index": (lambda r: fx.at_index(r["t"], r["m"]), lambda t, u, n, m, d, e, b: model.at_index(t, m)),
-    "first": (lambda r: fx.first(r["t"]), lambda t, u, n, m, d, e, b: t[0] if t else None),
-    "last": (lambda r: fx.last(r["t"]), lambda t, u, n, m, d, e, b: t[-1] if t else None),
+    "first": (lambda r: fx.first(r["t"]), lambda t, u, n, m, d, e, b: model.units(t, 0, 1) if t else None),
+    "last": (
+        lambda r: fx.last(r["t"]),
+        lambda t, u, n, m, d, e, b: model.units(t, int(model.length(t)) - 1, int(model.length(t))) if t else None,
+    ),
     "coalesce": (lambda r: fx.coalesce(r["t"], r["u"]), lambda t, u, n, m, d, e, b: model.coalesce(t, u)),
     "coalesce_numbers": (lambda r: fx.coalesce(r["n"], 9), lambda t, u, n, m, d, e, b: 9.0 if n is None else n),
     "coalesce_many": (
@@ -205,7 +208,6 @@ def test_filters_agree_with_columns(data):
         (lambda r: fx.concat(fx.split(r["t"], ","), "a"), "invalidExpression"),
         (lambda r: fx.matches_regex(r["t"], "[a-z"), "invalidRegex"),
         (lambda r: fx.matches_regex(r["n"], "a"), "incompatibleType"),
-        (lambda r: fx.matches_regex(r["t"], r["u"]), "invalidExpression"),
         (lambda r: r["nope"], "missingColumn"),
     ],
 )
@@ -280,6 +282,13 @@ def test_regex_dialect(spark, pattern, text, expected):
         (r"(?<d>\d)", "[$<d>]", "a1", "a[1]"),
         (r"\d", "$<d>", "a1", "a$<d>"),
         (r"[^0-9]", "", "202-555", "202555"),
+        (r"(?<my_name>\d)x", "<$<my_name>>", "1x2", "<1>2"),
+        (r"b", "[$`]", "abcb", "a[a]c[abc]"),
+        (r"b", "[$']", "abcb", "a[cb]c[]"),
+        (r"(b)(c)", "$2$`|$'$1", "abcd", "aca|dbd"),
+        (r"x", "$`$'", "abc", "abc"),
+        (r"", "-$`", "ab", "-a-ab-ab"),
+        (r"\.", "$'\\$$", "a.b.", "ab.\\$b\\$"),
     ],
 )
 def test_regex_replacement(spark, pattern, replacement, text, expected):
@@ -288,6 +297,35 @@ def test_regex_replacement(spark, pattern, replacement, text, expected):
     assert df.select(fx.replace_regex(row["t"], pattern, replacement).col).first()[0] == expected
 
 
+def test_patterns_from_columns(spark):
+    """Each row has a pattern of its own; constants give the same, and invalid ones find nothing."""
+    cases = [(p, t, r) for p, t, _ in REGEX for r in ("<$&>", "$`|$'", "$1x")]
+    cases += [(p, "aab [a-z (a *a", "x") for p in ("[a-z", "(a", "a)", "*a", "a++", "(?i)a", "a\\", "(?<=a*)b", "a{99999999999}", r"\k<y>(?<n>a)")]
+    cases += [("a", None, "x"), (None, "abc", "x"), ("a", "abc", None), ("(?<=a{1,2})b", "aab", "x"), (r"(?<a_b>c)\k<a_b>", "cc", "[$<a_b>]")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "id int, p string, t string, r string").repartition(3)
+    row = Row(Table.of(df, "id"))
+    found = df.select(
+        "*",
+        fx.extract_regex(row["t"], row["p"]).col.alias("e"),
+        fx.matches_regex(row["t"], row["p"]).col.alias("m"),
+        fx.replace_regex(row["t"], row["p"], row["r"]).col.alias("s"),
+        fx.replace_regex(row["t"], "a", row["r"]).col.alias("q"),
+        fx.replace_regex(row["t"], row["p"], "-").col.alias("u"),
+    ).collect()
+    assert len(found) == len(cases)
+    for r in found:
+        one = spark.createDataFrame([(1, r.t)], "id int, t string")
+        t = Row(Table.of(one, "id"))["t"]
+        try:
+            want = one.select(
+                fx.extract_regex(t, r.p).col, fx.matches_regex(t, r.p).col, fx.replace_regex(t, r.p, r.r).col,
+                fx.replace_regex(t, "a", r.r).col, fx.replace_regex(t, r.p, "-").col,
+            ).first()
+        except StepError:
+            want = (None, False, r.t, None if r.t is None else r.t.replace("a", r.r), r.t)
+        assert (r.e, r.m, r.s, r.q, r.u) == tuple(want), r
+
+
 @pytest.mark.parametrize("pattern", ["[a-z", "(a", "a)", "*a", "a++", "(?>a)", "(?i)a", "[z-a]", "a\\"])
 def test_bad_patterns(pattern):
     from tablewash.functions import regex

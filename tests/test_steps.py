@@ -23,7 +23,7 @@ from tablewash.operators import (
     split_column,
 )
 from tablewash.plans import apply_steps, count_steps, find_issues
-from tablewash.reports import change_summary, run_summary
+from tablewash.reports import change_summary, execute, run_summary
 from tablewash.sinks import write_csv, write_parquet
 
 DEPOTS = ["Kiel", "Turku", " Gdynia ", "", None, "\t"]
@@ -369,6 +369,86 @@ def test_metrics_do_not_depend_on_the_sink(table, rows, tmp_path, sink):
     ]
 
 
+def one_by_one(table, steps):
+    """Metrics of each rule over the table that the steps before it give."""
+    found = []
+    for i, step in enumerate(steps):
+        if step.kind == "scopedRule":
+            found.append(tuple(step.metrics(apply_steps(table, steps[:i])).first()))
+        else:
+            found.append((0, 0, 0, 0))
+    return found
+
+
+def six_rules():
+    def mark(name, column, test, **patch):
+        return scoped_rule([column], cases=[Case(test, Patch(**patch))]).named(name)
+
+    return [
+        mark("a", "depot", lambda r, v: fx.is_empty(v), value="Kiel"),
+        deduplicate_rows(["depot", "fee"]).named("d"),
+        mark("b", "kg", lambda r, v: fx.greater_than(v, 1), value=lambda r, v: fx.subtract(v, 1), fill="#aaaaaa"),
+        filter_rows("drop", lambda r: r["paid"]).named("f"),
+        mark("c", "fee", lambda r, v: fx.is_empty(v), value="0", fill="#bbbbbb"),
+        sort_rows([("kg", "desc")]).named("s"),
+        deduplicate_rows(["depot"]).named("e"),
+        mark("d2", "depot", lambda r, v: fx.contains(v, "i"), value=lambda r, v: fx.upper(v)),
+        scoped_rule(["fee", "kg"], default=Patch(None), where=lambda r: fx.less_than(r["no"], 9)).named("g"),
+        mark("h", "fee", lambda r, v: fx.is_empty(v), fill="#cccccc"),
+    ]
+
+
+def test_metrics_of_six_rules_are_one_pass(table, spark, tmp_path):
+    steps = six_rules()
+    run = count_steps(table, steps)
+    assert [tuple(s.values())[2:] for s in run.summaries()] == one_by_one(table, steps)
+    path = str(tmp_path / "t")
+    table.df.write.parquet(path)
+    read = Table.of(spark.read.parquet(path), table.row_id)
+    plan = count_steps(read, six_rules()).counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+
+
+def test_marked_duplicates_are_those_removed(spark):
+    """Most rows share a key; whichever way rows are dealt out, the first in row order stays."""
+    rows = [(i, "hot" if i % 3 else f"k{i % 50}", (i * 7919) % 1000) for i in range(4000)]
+    t = Table.of(spark.createDataFrame(rows, "no int, k string, n int").repartition(9), "no")
+    for steps in ([deduplicate_rows(["k"])], [sort_rows([("n", "desc")]), filter_rows("drop", lambda r: fx.greater_than(r["n"], 990)), deduplicate_rows(["k"])]):
+        want = {r.no for r in apply_steps(t, steps).df.collect()}
+        assert {r.no for r in execute(t, steps).table.df.collect()} == want
+
+
+def test_run_results_agree_with_separate_reports(spark, table):
+    rows = [(i % 5, i, "x" if i % 3 else None, i / 2) for i in range(60)]
+    t = Table.of(spark.createDataFrame(rows, "a int, b int, s string, n double").repartition(3), ["a", "b"])
+    mark = scoped_rule(["s"], cases=[Case(lambda r, v: fx.is_empty(v), Patch("y", "#ffffff"))])
+    keep = filter_rows("keep", lambda r: fx.less_than(r["n"], 25))
+    by_n = sort_rows([("n", "desc")])
+    sorted_before = by_n(t)
+    for start, steps in [
+        (t, []), (t, [mark, keep]), (t, [by_n]), (t, [by_n, deduplicate_rows(["s"]), mark]), (t, [deduplicate_rows(["a", "s"]), drop_columns(["b"])]),
+        (mark(t), [keep, scoped_rule(["s"], default=Patch(fill="#000000")), derive_column("c", "c", 1)]),
+        (sorted_before, [keep]), (sorted_before, [sort_rows([("b", "asc")]), mark]), (table, six_rules()),
+    ]:
+        result, want = execute(start, steps), apply_steps(start, steps)
+        assert result.table.sorted_df().select(*want.ids).collect() == want.sorted_df().select(*want.ids).collect()
+        assert result.table.fills == want.fills and result.table.columns == want.columns
+        found = {
+            "changed_row_count": result.changed_row_count, "changed_cell_count": result.changed_cell_count,
+            "removed_row_count": result.removed_row_count, "row_order_changed": result.row_order_changed,
+            "created_column_ids": list(result.created_column_ids),
+        }
+        assert found == summary(start, want), steps
+        assert [tuple(s.values())[2:] for s in result.steps] == one_by_one(start, steps)
+        assert result.sort_applied == any(s.kind == "sortRows" for s in steps)
+
+
+def test_run_with_issues_changes_nothing(table):
+    result = execute(table, [rename_column("nowhere", "x").named("r"), scoped_rule(["fee"], default=Patch(1))])
+    assert result.table is None and [(e.code, e.step_id) for e in result.issues] == [("missingColumn", "r")]
+    assert result.changed_row_count == result.changed_cell_count == 0 and not result.steps
+
+
 def test_change_summary_of_a_sorted_run(table, rows):
     steps = [
         scoped_rule(["depot"], default=Patch(lambda r, v: fx.trim(v))),
