@@ -8,19 +8,22 @@ from registry import xlsx_bytes
 from registry.common import MESSY_CUSTOMERS, messy_customers, query, scan, table
 from registry.xlsx_bytes import DATETIME_STYLE, Formula, Serial, workbook_bytes
 from tablewash import Table
+from tablewash.functions.cells import number_text
 from tablewash.operators import sort_rows
 from tablewash.session import scratch_path
 from tablewash.sinks import write_csv, write_parquet
 from tablewash.sources import (
-    body_cells,
+    body_rows,
     choose_header_rows,
     csv_warnings,
     import_csv,
+    parsed_workbooks,
     read_csv,
     sheet_columns,
     sheet_table,
     sheet_types,
-    workbook_cells,
+    workbook_rows,
+    workbook_tables,
     workbook_warnings,
 )
 from tablewash.session import stored
@@ -189,7 +192,7 @@ BOOKS = f"select *, 'n' || c_nationkey || '-' || (c_custkey // {ROWS_PER_BOOK})
       strftime(date '2024-01-01' + (c_custkey % 365)::int, '%Y-%m-%d') as day from b"""
 )
 def workbook_fleet_table(spark, sf_dir):
-    people = sheet_table(workbook_cells(_books(spark, sf_dir)), "People")
+    people = sheet_table(parsed_workbooks(_books(spark, sf_dir)), "People")
     found = ["col_key", "col_customer_name", "col_balance", "col_double", "col_none", "col_day"]
     names = ["key", "name", "balance", "double_balance", "none", "day"]
     return people.df.select(F.col("__path").alias("path"), *[F.col(c).alias(n) for c, n in zip(found, names)])
@@ -203,7 +206,7 @@ def workbook_fleet_table(spark, sf_dir):
     union all select path, 'Flags', 5, 1 + max(n)::int, 0 from f group by path"""
 )
 def workbook_header_detection(spark, sf_dir):
-    sheets = choose_header_rows(workbook_cells(_books(spark, sf_dir)))
+    sheets = choose_header_rows(workbook_rows(_books(spark, sf_dir)))
     return sheets.select("path", "sheet", "width", "height", "header_row")
 
 
@@ -218,27 +221,54 @@ def workbook_header_detection(spark, sf_dir):
     union all select path, 'mixedTypeColumn', 'Flags', 'col_flag', null from k where odd > 0 and odd < n"""
 )
 def workbook_import_warnings(spark, sf_dir):
-    cells = stored(workbook_cells(_books(spark, sf_dir)))
-    sheets = stored(choose_header_rows(cells))
-    columns = stored(sheet_columns(cells, sheets))
-    body = body_cells(cells, sheets, columns)
+    rows = parsed_workbooks(_books(spark, sf_dir))
+    sheets = stored(choose_header_rows(rows))
+    columns = stored(sheet_columns(sheets))
+    body = body_rows(rows, sheets)
     found = workbook_warnings(sheets, columns, body, sheet_types(body, columns))
     return found.select("path", "code", "sheet", "column_id", "cell_count")
 
 
 @query(
-    f"""with b as ({BOOKS})
-    select path, 'col_key' as column_id, 'number' as logical_type from b group by path
-    union all select path, 'col_flag', case when count_if(c_custkey % 2 = 1) = count(*) then 'string'
+    f"""with b as ({BOOKS}), t as (
+    select path, 'Flags' as sheet, 'col_key' as column_id, 'number' as logical_type from b group by path
+    union all select path, 'Flags', 'col_flag', case when count_if(c_custkey % 2 = 1) = count(*) then 'string'
       when count_if(c_custkey % 2 = 1) = 0 then 'boolean' else 'mixed' end from b group by path
-    union all select path, 'col_flag_2', 'unknown' from b group by path
-    union all select path, 'col_column', 'string' from b group by path
-    union all select path, 'col_at', 'datetime' from b group by path"""
+    union all select path, 'Flags', 'col_flag_2', 'unknown' from b group by path
+    union all select path, 'Flags', 'col_column', 'string' from b group by path
+    union all select path, 'Flags', 'col_at', 'datetime' from b group by path
+    union all select path, 'People', unnest(['col_key', 'col_customer_name', 'col_balance', 'col_double', 'col_none', 'col_day']),
+      unnest(['number', 'string', 'number', 'number', 'unknown', 'date']) from b group by path)
+    select * from t"""
 )
 def workbook_column_types(spark, sf_dir):
-    cells = stored(workbook_cells(_books(spark, sf_dir)).filter("sheet = 'Flags'"))
-    sheets = stored(choose_header_rows(cells))
-    columns = stored(sheet_columns(cells, sheets))
-    return sheet_types(body_cells(cells, sheets, columns), columns).select("path", "column_id", "logical_type")
+    rows = parsed_workbooks(_books(spark, sf_dir))
+    sheets = stored(choose_header_rows(rows))
+    return sheet_types(body_rows(rows, sheets), sheet_columns(sheets)).select("path", "sheet", "column_id", "logical_type")
 
 
+@query(
+    f"""with b as ({BOOKS}), f as (select *, row_number() over w as n, count(*) over (partition by path) as total,
+        coalesce(sum((c_custkey % 7 = 0)::int) over (partition by path order by c_custkey rows between unbounded preceding and 1 preceding), 0) as blanks
+      from b window w as (partition by path order by c_custkey)),
+    flags as (select path, (n + blanks)::int as row_number, c_custkey::double as key, case when c_custkey % 2 = 1 then c_mktsegment end as flag_text,
+        case when c_custkey % 2 = 0 then c_custkey % 3 = 0 end as flag_value, 'x' as mark, strftime(date '2024-01-01' + (c_custkey % 365)::int, '%Y-%m-%dT06:00:00') as at_
+      from f union all
+      select path, (n + blanks + 1)::int, null, null, null, null, null from f where c_custkey % 7 = 0 and n < total)
+    select 'Flags' as sheet, * from flags
+    union all select 'People', path, n::int, c_custkey, c_name, null, c_acctbal::varchar, strftime(date '2024-01-01' + (c_custkey % 365)::int, '%Y-%m-%d') from f"""
+)
+def workbook_all_sheets(spark, sf_dir):
+    """All sheets of the workbooks from one parse, blank rows inside a sheet included."""
+    found = workbook_tables(_books(spark, sf_dir), {"People": 1})
+    book = F.col("__path").alias("path")
+    none = F.lit(None).cast("string")
+    flag = F.col("col_flag")
+    flags = found["Flags"].df.select(
+        F.lit("Flags").alias("sheet"), book, F.col("__number").alias("row_number"), F.col("col_key").alias("key"), flag["s"].alias("flag_text"),
+        flag["b"].alias("flag_value"), F.col("col_column").alias("mark"), F.col("col_at").alias("at_"),
+    )
+    people = found["People"].df.select(
+        F.lit("People"), book, "__number", "col_key", "col_customer_name", none.cast("boolean"), number_text(F.col("col_balance")), "col_day"
+    )
+    return flags.union(people)

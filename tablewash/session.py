@@ -43,10 +43,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str = "stored") -> DataFrame:
-    """The frame written once to the scratch folder and read back, which cuts its lineage."""
+def stored(df: DataFrame, label: str = "stored", by: tuple[str, ...] = ()) -> DataFrame:
+    """The frame written once to the scratch folder and read back, which cuts its lineage.
+    It is partitioned by the columns ``by``, so that filters on them leave other files unread."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -45,7 +45,8 @@ def workbook_warnings(sheets: DataFrame, columns: DataFrame, body: DataFrame, ty
     none = F.lit(None).cast("string")
     books = sheets.select("path").distinct()
     formulas = body.groupBy(*SHEET).agg(
-        F.count_if("had_formula").alias("formulas"), F.count_if("missing_value").alias("missing")
+        F.sum(F.size(F.filter("cells", lambda c: c["had_formula"]))).alias("formulas"),
+        F.sum(F.size(F.filter("cells", lambda c: c["missing_value"]))).alias("missing"),
     )
     named = F.col("column_id"), F.col("display_name")
     parts = [

@@ -1,8 +1,9 @@
 """Fleets of XLSX workbooks as DataFrames.
 
-One Python stage turns each file into long rows, one per cell. Header
-detection, naming, typing and warnings are joins and aggregations over those
-rows, so they cover any number of files and sheets at once.
+One Python stage turns each file into one record per sheet row, whose cells are an array
+by column. What is known of a sheet (its size, header, columns and types) comes
+from aggregations over the records by sheet, and is joined to them once per sheet: no
+row is put together from cells again. All this covers any number of files and sheets.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tablewash.functions import cells as kinds
 from tablewash.functions.cells import number_text
+from tablewash.errors import StepError
 from tablewash.session import stored
 from tablewash.reports.profile import CODE, text_kind, type_from_kinds
 from tablewash.sources import xlsx_cells
@@ -24,14 +26,17 @@ from tablewash.table import Table
 # The reading helper travels with the job: executors need no installed package.
 cloudpickle.register_pickle_by_value(xlsx_cells)
 
-CELLS = (
-    "path string, sheet_index int, sheet string, row int, col int, "
-    "k string, s string, n double, b boolean, had_formula boolean, missing_value boolean"
+CELL = "k string, s string, n double, b boolean, had_formula boolean, missing_value boolean"
+ROWS = f"path string, sheet_index int, sheet string, row int, cells array<struct<{CELL.replace(' ', ':').replace(',:', ',')}>>"
+_TYPES = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+_CELL = pa.struct([(c.split()[0], _TYPES[c.split()[1]]) for c in CELL.split(", ")])
+ARROW_ROWS = pa.schema(
+    [("path", pa.string()), ("sheet_index", pa.int32()), ("sheet", pa.string()), ("row", pa.int32()), ("cells", pa.list_(_CELL))]
 )
-ARROW_TYPES = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
-ARROW_CELLS = pa.schema([(c.split()[0], ARROW_TYPES[c.split()[1]]) for c in CELLS.split(", ")])
 SHEET = ["path", "sheet"]
 CELLS_PER_BATCH = 20_000
+# Columns of a fleet's table, whose schema the driver builds.
+MAX_COLUMNS = 20_000
 HEADER_CANDIDATES = 10
 # The score of a header candidate, per cell.
 FILLED, SHORT, SHORT_LENGTH, BRACES, METADATA, BLANK = 2, 1, 40, -3, -2, -1
@@ -43,35 +48,42 @@ def read_workbook_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path).select("path", "content")
 
 
-def workbook_cells(files: DataFrame) -> DataFrame:
-    """One row per cell that holds a value or a formula, from ``(path, content)``."""
+def workbook_rows(files: DataFrame) -> DataFrame:
+    """One record per row of a sheet's used range, blank rows included, from ``(path, content)``."""
 
-    sheet_cells, schema = xlsx_cells.sheet_cells, ARROW_CELLS
+    sheet_rows, schema = xlsx_cells.sheet_rows, ARROW_ROWS
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        size = 0
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 name = path.as_py()
-                for found in sheet_cells(content.as_py()):
+                for found in sheet_rows(content.as_py()):
                     rows.append((name, *found))
-                    if len(rows) >= CELLS_PER_BATCH:
+                    size += 1 + len(found[-1])
+                    if size >= CELLS_PER_BATCH:
                         yield as_batch(rows)
-                        rows = []
+                        rows, size = [], 0
         if rows:
             yield as_batch(rows)
 
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return files.select("path", "content").mapInArrow(parse, CELLS)
+    return files.select("path", "content").mapInArrow(parse, ROWS)
 
 
-def _cell_text() -> Column:
+def parsed_workbooks(files: DataFrame) -> DataFrame:
+    """The records of ``workbook_rows``, parsed once and stored by sheet."""
+    return stored(workbook_rows(files), "sheets", by=("sheet",))
+
+
+def _text(cell: Column) -> Column:
     return (
-        F.when(F.col("k") == "s", F.col("s"))
-        .when(F.col("k") == "n", number_text(F.col("n")))
-        .when(F.col("k") == "b", F.col("b").cast("string"))
+        F.when(cell["k"] == "s", cell["s"])
+        .when(cell["k"] == "n", number_text(cell["n"]))
+        .when(cell["k"] == "b", cell["b"].cast("string"))
         .otherwise(F.lit(""))
     )
 
@@ -82,80 +94,71 @@ def first_line(text: Column) -> Column:
     return F.coalesce(F.get(F.filter(lines, lambda line: line != ""), F.lit(0)), F.lit(""))
 
 
-def sheet_sizes(cells: DataFrame) -> DataFrame:
-    """Rows ``(path, sheet, sheet_index, width, height)``."""
-    return cells.groupBy(*SHEET).agg(
-        F.min("sheet_index").alias("sheet_index"),
-        (F.max("col") + 1).alias("width"),
-        (F.max("row") + 1).alias("height"),
-    )
-
-
-def detect_header_rows(cells: DataFrame) -> DataFrame:
-    """Sheet sizes with ``header_row``, the best of the first ten rows.
-
-    Every cell of a row adds to its score; the earliest of the best rows wins.
-    """
-    raw = F.btrim(F.col("text"), F.lit(kinds.WHITESPACE))
-    shown = F.col("shown")
-    score = (
+def _points(cell: Column) -> Column:
+    """What a cell adds to its row's score as a header; a filled cell takes back its own blank."""
+    text = _text(cell)
+    raw, shown = F.btrim(text, F.lit(kinds.WHITESPACE)), first_line(text)
+    return (
         F.when(shown != "", FILLED - BLANK + F.when(F.length(shown) <= SHORT_LENGTH, SHORT).otherwise(0)).otherwise(0)
         + F.when(raw.startswith("{") & raw.endswith("}"), BRACES).otherwise(0)
-        + F.when(F.col("text").rlike(MACHINE_METADATA), METADATA).otherwise(0)
-    )
-    scored = (
-        cells.filter(F.col("row") < HEADER_CANDIDATES)
-        .select(*SHEET, "row", _cell_text().alias("text"))
-        .withColumn("shown", first_line(F.col("text")))
-        .groupBy(*SHEET, "row")
-        .agg(F.sum(score).alias("points"))
-    )
-    sizes = sheet_sizes(cells)
-    # Rows without any cell compete too. A filled cell took back its own blank.
-    candidates = sizes.select(
-        "*", F.explode(F.sequence(F.lit(0), F.least(F.col("height"), F.lit(HEADER_CANDIDATES)) - 1)).alias("row")
-    )
-    total = F.coalesce(F.col("points"), F.lit(0)) + F.col("width") * BLANK
-    return (
-        candidates.join(scored, [*SHEET, "row"], "left")
-        .groupBy(*SHEET)
-        .agg(
-            F.first("sheet_index").alias("sheet_index"),
-            F.first("width").alias("width"),
-            F.first("height").alias("height"),
-            F.max_by("row", F.struct(total, -F.col("row"))).alias("header_row"),
-        )
-        .withColumn("auto_detected", F.lit(True))
+        + F.when(text.rlike(MACHINE_METADATA), METADATA).otherwise(0)
     )
 
 
-def choose_header_rows(cells: DataFrame, header_rows: dict[str, int] | None = None) -> DataFrame:
-    """Detected header rows, replaced where ``header_rows`` names the sheet.
+def choose_header_rows(rows: DataFrame, header_rows: dict[str, int] | None = None) -> DataFrame:
+    """Rows ``(path, sheet, sheet_index, width, height, header_row, header, auto_detected)``.
 
-    A chosen row past the end of a sheet fails the job.
+    The header is the best of the first ten rows, the earliest of equal ones; or the row that
+    ``header_rows`` names for the sheet. A chosen row past the end of a sheet fails the
+    job. One aggregation by sheet, to which only candidates bring their cells.
     """
-    detected = detect_header_rows(cells)
-    if not header_rows:
-        return detected
-    chosen = F.create_map(*[F.lit(x) for pair in header_rows.items() for x in pair])[F.col("sheet")]
-    inside = chosen.isNull() | ((chosen >= 0) & (chosen < F.col("height")))
+    chosen = F.lit(None).cast("int")
+    if header_rows:
+        chosen = F.create_map(*[F.lit(x) for pair in header_rows.items() for x in pair])[F.col("sheet")]
+    row = F.col("row")
+    candidate = row < HEADER_CANDIDATES
+    # Blanks take the same from all rows of a sheet, whose width is one.
+    score = F.when(candidate, F.aggregate("cells", F.lit(0), lambda total, cell: total + F.coalesce(_points(cell), F.lit(0))))
+    scored = rows.select(
+        *SHEET,
+        "sheet_index",
+        "row",
+        F.size("cells").alias("size"),
+        chosen.alias("chosen"),
+        F.when(candidate, F.struct(score.alias("score"), (-row).alias("early"))).alias("rank"),
+        F.when(candidate | row.eqNullSafe(chosen), F.col("cells")).alias("cells"),
+    )
+    found = scored.groupBy(*SHEET).agg(
+        F.min("sheet_index").alias("sheet_index"),
+        F.max("size").alias("width"),
+        (F.max("row") + 1).alias("height"),
+        F.max("chosen").alias("chosen"),
+        F.max_by(F.struct("row", "cells"), "rank").alias("best"),
+        F.max_by("cells", F.when(row == F.col("chosen"), row)).alias("named"),
+    )
+    auto = F.col("chosen").isNull()
+    inside = auto | F.col("chosen").between(0, F.col("height") - 1)
     problem = F.concat(F.lit("header row out of range for sheet "), F.col("sheet"))
-    return detected.withColumn("auto_detected", chosen.isNull()).withColumn(
-        "header_row", F.when(inside, F.coalesce(chosen, F.col("header_row"))).otherwise(F.raise_error(problem).cast("int"))
+    number = F.when(auto, F.col("best.row")).when(inside, F.col("chosen")).otherwise(F.raise_error(problem).cast("int"))
+    return found.select(
+        *SHEET,
+        "sheet_index",
+        "width",
+        "height",
+        number.alias("header_row"),
+        F.when(auto, F.col("best.cells")).otherwise(F.col("named")).alias("header"),
+        auto.alias("auto_detected"),
     )
 
 
-def sheet_columns(cells: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Rows ``(path, sheet, col, column_id, display_name, base_name, blank, repeat)``."""
-    headers = (
-        cells.join(sheets.select(*SHEET, F.col("header_row").alias("row")), [*SHEET, "row"])
-        .select(*SHEET, "col", first_line(_cell_text()).alias("text"))
-    )
-    positions = sheets.select(*SHEET, F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
+def sheet_columns(sheets: DataFrame) -> DataFrame:
+    """Rows ``(path, sheet, col, column_id, display_name, base_name, blank, repeat)`` from headers."""
     spaces = f"[{kinds.WHITESPACE_CLASS}]+"
     clean = F.coalesce(F.btrim(F.regexp_replace("text", spaces, " "), F.lit(kinds.WHITESPACE)), F.lit(""))
     named = (
-        positions.join(headers, [*SHEET, "col"], "left")
+        sheets.filter("width > 0")
+        .select(*SHEET, "header", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
+        .select(*SHEET, "col", first_line(_text(F.get("header", F.col("col")))).alias("text"))
         .withColumn("blank", clean == "")
         .withColumn("label", F.when(clean == "", F.lit("Column")).otherwise(clean))
         .withColumn("label_key", F.lower("label"))
@@ -182,44 +185,39 @@ def sheet_columns(cells: DataFrame, sheets: DataFrame) -> DataFrame:
     )
 
 
-def body_cells(cells: DataFrame, sheets: DataFrame, columns: DataFrame) -> DataFrame:
-    """Cells below the header: ``(path, sheet, row_id, column_id, k, s, n, b, ...)``,
-    row ids counting from 1."""
-    return (
-        cells.join(sheets.select(*SHEET, "header_row"), SHEET)
-        .filter(F.col("row") > F.col("header_row"))
-        .join(columns.select(*SHEET, "col", "column_id"), [*SHEET, "col"])
-        .select(
-            *SHEET,
-            (F.col("row") - F.col("header_row")).alias("row_id"),
-            "column_id",
-            *["k", "s", "n", "b", "had_formula", "missing_value"],
-        )
-    )
+def body_rows(rows: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Records below the header: ``(path, sheet, row_id, cells)``, row ids counting from 1."""
+    number = (F.col("row") - F.col("header_row")).alias("row_id")
+    return rows.join(sheets.select(*SHEET, "header_row"), SHEET).filter(F.col("row") > F.col("header_row")).select(*SHEET, number, "cells")
 
 
 def sheet_types(body: DataFrame, columns: DataFrame) -> DataFrame:
     """Rows ``(path, sheet, column_id, logical_type)``."""
-    kind = F.when(F.col("k") == "b", CODE["boolean"]).when(F.col("k") == "n", CODE["number"]).otherwise(text_kind(F.col("s")))
+
+    def kind(cell: Column) -> Column:
+        known = F.when(cell["k"] == "b", CODE["boolean"]).when(cell["k"] == "n", CODE["number"])
+        return known.otherwise(text_kind(cell["s"]))
+
     found = (
-        body.select(*SHEET, "column_id", kind.alias("kind"))
-        .groupBy(*SHEET, "column_id")
+        body.select(*SHEET, F.posexplode(F.transform("cells", kind)).alias("col", "kind"))
+        .groupBy(*SHEET, "col")
         .agg(F.bit_or("kind").alias("kinds"))
     )
-    every = columns.select(*SHEET, "column_id").join(found, [*SHEET, "column_id"], "left")
+    every = columns.select(*SHEET, "col", "column_id").join(found, [*SHEET, "col"], "left")
     return every.select(*SHEET, "column_id", type_from_kinds(F.col("kinds")).alias("logical_type"))
 
 
-def sheet_table(cells: DataFrame, sheet: str, header_rows: dict[str, int] | None = None) -> Table:
-    """All sheets of one name as one table, rows identified by file and number.
+def sheet_table(rows: DataFrame, sheet: str, header_rows: dict[str, int] | None = None) -> Table:
+    """All sheets of one name as one table, rows identified by file and number, from
+    the records of ``parsed_workbooks``.
 
     The columns are those of all the files together, matched by column id; a
     column whose type differs between files is mixed.
     """
-    mine = stored(cells.filter(F.col("sheet") == sheet))
-    sheets = stored(choose_header_rows(mine, header_rows))
-    columns = stored(sheet_columns(mine, sheets))
-    body = body_cells(mine, sheets, columns)
+    mine = rows.filter(F.col("sheet") == sheet)
+    sheets = stored(choose_header_rows(mine, header_rows), "headers")
+    columns = stored(sheet_columns(sheets), "columns")
+    body = body_rows(mine, sheets)
     kinds_found = (
         sheet_types(body, columns)
         .filter("logical_type <> 'unknown'")
@@ -232,20 +230,21 @@ def sheet_table(cells: DataFrame, sheet: str, header_rows: dict[str, int] | None
         .agg(F.min("col").alias("col"), F.min_by("display_name", F.struct("col", "path")).alias("name"))
         .join(kinds_found, "column_id", "left")
         .orderBy("col", "column_id")
+        .limit(MAX_COLUMNS + 1)
         .collect()
     )
+    if len(layout) > MAX_COLUMNS:
+        raise StepError("tooManyColumns", f"the sheets {sheet!r} have over {MAX_COLUMNS} different columns")
     types = {r["column_id"]: _merged(r["kinds"]) for r in layout}
-    numbered = sheets.filter(F.col("height") - F.col("header_row") > 1).select(
-        *SHEET, F.explode(F.sequence(F.lit(1), F.col("height") - F.col("header_row") - 1)).alias("row_id")
-    )
-    wide = body.groupBy("path", "row_id").agg(
-        *[F.first(F.when(F.col("column_id") == c, _typed(kind)), ignorenulls=True).alias(c) for c, kind in types.items()]
-    )
-    # Blank rows inside a sheet have no cells; they come back as rows of nulls.
-    df = numbered.select(F.col("path").alias("__path"), F.col("row_id").alias("__number")).join(
-        wide.withColumnsRenamed({"path": "__path", "row_id": "__number"}), ["__path", "__number"], "left"
+    # Where each of the table's columns is in a sheet, one array per sheet.
+    own = columns.groupBy(*SHEET).agg(F.map_from_entries(F.collect_list(F.struct("column_id", "col"))).alias("own"))
+    places = own.select(*SHEET, F.transform(F.array(*map(F.lit, types)), lambda c: F.try_element_at("own", c)).alias("places"))
+    wide = body.join(places, SHEET).select(
+        F.col("path").alias("__path"),
+        F.col("row_id").alias("__number"),
+        *[_typed(F.get("cells", F.get("places", F.lit(i))), kind).alias(c) for i, (c, kind) in enumerate(types.items())],
     )
-    return Table.of(df, ("__path", "__number"), names={r["column_id"]: r["name"] for r in layout}, types=types)
+    return Table.of(wide, ("__path", "__number"), names={r["column_id"]: r["name"] for r in layout}, types=types)
 
 
 def _merged(found: list[str] | None) -> str:
@@ -256,11 +255,11 @@ def _merged(found: list[str] | None) -> str:
     return "string" if set(found) <= {"string", "date", "datetime"} else "mixed"
 
 
-def _typed(kind: str) -> Column:
+def _typed(cell: Column, kind: str) -> Column:
     if kind == "number":
-        return F.col("n")
+        return cell["n"]
     if kind == "boolean":
-        return F.col("b")
+        return cell["b"]
     if kind == "mixed":
-        return F.when(F.col("k").isNotNull(), F.struct("k", "s", "n", "b")).cast(kinds.MIXED)
-    return F.col("s")
+        return F.when(cell["k"].isNotNull(), F.struct(*[cell[f].alias(f) for f in "ksnb"])).cast(kinds.MIXED)
+    return cell["s"]

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from datetime import datetime, timedelta
+from itertools import groupby
 from typing import Iterator
 from xml.etree import ElementTree
 
@@ -25,6 +26,24 @@ ERROR_CODES = {
 }
 
 
+def sheet_rows(content: bytes) -> Iterator[tuple]:
+    """``(sheet_index, sheet, row, cells)`` for each row of a sheet's used range up to the last
+    that holds a cell, rows counting from zero. ``cells`` go from the range's first
+    column to the row's last cell; a blank one is None, any other ``(k, s, n, b,
+    had_formula, missing_value)``."""
+    for sheet, found in groupby(sheet_cells(content), key=lambda c: c[:2]):
+        next_row = 0
+        for row, cells in groupby(found, key=lambda c: c[2]):
+            for blank in range(next_row, row):
+                yield (*sheet, blank, [])
+            line: list[tuple | None] = []
+            for _, _, _, col, *value in cells:
+                line += [None] * (col + 1 - len(line))
+                line[col] = tuple(value)
+            yield (*sheet, row, line)
+            next_row = row + 1
+
+
 def sheet_cells(content: bytes) -> Iterator[tuple]:
     """``(sheet_index, sheet, row, col, k, s, n, b, had_formula, missing_value)``
     for each cell that holds a value or a formula; rows and columns count from

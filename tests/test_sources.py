@@ -1,6 +1,7 @@
 """CSV and workbook import, and what the sinks write."""
 
 import random
+import re
 
 import pytest
 
@@ -19,11 +20,12 @@ from tablewash.sources import (
     normalize_headers,
     read_csv,
     read_file,
-    body_cells,
+    read_workbook,
+    body_rows,
     sheet_columns,
     sheet_table,
     sheet_types,
-    workbook_cells,
+    workbook_rows,
     workbook_warnings,
 )
 
@@ -240,14 +242,14 @@ HEADER_BOOK = {
 
 
 def test_sheets_become_tables(spark):
-    found = workbook_cells(files(spark, multi={"Masts": [["mast", "height"], ["m1", 9]], "Sails": [["sail", "area"], ["jib", 14.25], ["main", 30]]}))
+    found = workbook_rows(files(spark, multi={"Masts": [["mast", "height"], ["m1", 9]], "Sails": [["sail", "area"], ["jib", 14.25], ["main", 30]]}))
     t = sheet_table(found, "Sails")
     assert ids(t) == ["col_sail", "col_area"] and kinds(t) == ["string", "number"]
     assert cells(t, "col_area") == [14.25, 30.0]
 
 
 def test_header_row_is_detected_or_chosen(spark):
-    found = workbook_cells(files(spark, a=HEADER_BOOK)).persist()
+    found = workbook_rows(files(spark, a=HEADER_BOOK)).persist()
     t = sheet_table(found, "Probes")
     assert names(t) == ["Probe", "Depth", "Lost"] and cells(t, "col_depth") == [12.5, 3.0]
     chosen = sheet_table(found, "Probes", {"Probes": 0})
@@ -266,7 +268,7 @@ def test_workbook_values_and_warnings(spark):
             ["x", None, None, None, None, None, False],
         ]
     }
-    found = workbook_cells(files(spark, f=book, g=HEADER_BOOK)).persist()
+    found = workbook_rows(files(spark, f=book, g=HEADER_BOOK)).persist()
     t = sheet_table(found, "Formulas")
     first = t.sorted_df().first()
     assert (first["col_total"], first["col_missing_total"]) == (3.0, None)
@@ -274,8 +276,8 @@ def test_workbook_values_and_warnings(spark):
     assert kinds(t) == ["mixed", "number", "number", "unknown", "date", "datetime", "boolean"]
     assert [tuple(v)[0] if v else None for v in cells(t, "col_left")] == ["n", None, "s"]
     sheets = choose_header_rows(found)
-    columns = sheet_columns(found, sheets)
-    body = body_cells(found, sheets, columns)
+    columns = sheet_columns(sheets)
+    body = body_rows(found, sheets)
     warned = {(w["code"], w["sheet"], w["cell_count"]) for w in workbook_warnings(sheets, columns, body, sheet_types(body, columns)).collect()}
     assert warned == {
         ("xlsxValueOnlyImport", None, None),
@@ -289,7 +291,7 @@ def test_workbook_values_and_warnings(spark):
 
 def test_multiline_blank_and_repeated_sheet_headers(spark):
     rows = [["Status\nstring", "\nStatus\nnumber", "\n  \r\n", "\r\n"], ["Open", "Closed", "A", "B"]]
-    found = workbook_cells(files(spark, h={"Headers": rows}))
+    found = workbook_rows(files(spark, h={"Headers": rows}))
     t = sheet_table(found, "Headers", {"Headers": 0})
     assert names(t) == ["Status", "Status (2)", "Column", "Column (2)"]
     assert ids(t) == ["col_status", "col_status_2", "col_column", "col_column_2"]
@@ -297,7 +299,7 @@ def test_multiline_blank_and_repeated_sheet_headers(spark):
 
 def test_fleet_of_workbooks_is_one_table(spark):
     books = {f"b{n}": {"Data": [["id", "v"], *[[n * 10 + i, f"v{i}"] for i in range(n + 1)]]} for n in range(5)}
-    t = sheet_table(workbook_cells(files(spark, **books)), "Data")
+    t = sheet_table(workbook_rows(files(spark, **books)), "Data")
     assert t.df.count() == 15 and kinds(t) == ["number", "string"]
     assert cells(t, "col_id")[:3] == [0.0, 10.0, 11.0]
 
@@ -310,5 +312,24 @@ def test_read_file_chooses_by_suffix(spark, tmp_path):
     assert ids(read_file(spark, str(tmp_path / "a.xlsx"))) == ["col_h"]
     assert ids(read_file(spark, str(tmp_path / "a.xlsx"), "Two")) == ["col_g"]
     assert cells(read_file(spark, str(tmp_path / "a.CSV")), "col_h") == ["x"]
+    assert cells(read_file(spark, str(tmp_path / "a.xlsx"), "Two", {"Two": 1}), "col_y") == []
     with pytest.raises(StepError, match="unsupportedFormat"):
         read_file(spark, "a.txt")
+
+
+def test_all_sheets_from_one_parse(spark, tmp_path):
+    for name, day in (("a", 1), ("b", 2)):
+        one = [["meta", None], ["id", "v"], [day, "x"], [], [day + 10, None]]
+        (tmp_path / f"{name}.xlsx").write_bytes(workbook_bytes({"2024": one, "Two words/x": [["g"], [True]]}))
+    path = str(tmp_path / "*.xlsx")
+    found = read_workbook(spark, path, {"2024": 1})
+    assert list(found) == ["2024", "Two words/x"]
+    assert cells(found["2024"], "col_id") == [1.0, None, 11.0, 2.0, None, 12.0] and kinds(found["Two words/x"]) == ["boolean"]
+    plan = found["2024"].df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "row" not in "".join(re.findall(r"hashpartitioning\(([^)]*)\)", plan))
+    (tmp_path / "c.xlsx").write_bytes(workbook_bytes({"Other": [["g"], ["y"]]}))
+    for read in (read_file, read_workbook):
+        with pytest.raises(StepError, match="sheetMismatch"):
+            read(spark, path)
+    assert cells(read_file(spark, path, "Other"), "col_g") == ["y"]
+    assert list(read_workbook(spark, str(tmp_path / "c.xlsx"))) == ["Other"]
