@@ -256,7 +256,7 @@ def workbook_column_types(spark, sf_dir):
       from f union all
       select path, (n + blanks + 1)::int, null, null, null, null, null from f where c_custkey % 7 = 0 and n < total)
     select 'Flags' as sheet, * from flags
-    union all select 'People', path, n::int, c_custkey, c_name, null, c_acctbal::varchar, strftime(date '2024-01-01' + (c_custkey % 365)::int, '%Y-%m-%d') from f"""
+    union all select 'People', path, n::int, c_custkey, c_name, null, regexp_replace(c_acctbal::varchar, '\\.0$', ''), strftime(date '2024-01-01' + (c_custkey % 365)::int, '%Y-%m-%d') from f"""
 )
 def workbook_all_sheets(spark, sf_dir):
     """All sheets of the workbooks from one parse, blank rows inside a sheet included."""
