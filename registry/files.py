@@ -144,6 +144,18 @@ def _untidy_import(spark, sf_dir):
     return import_csv(spark, path)
 
 
+@query("select c_custkey::double as col_key, c_name as col_name, c_acctbal as col_balance from customer")
+def csv_columns_in_any_order(spark, sf_dir):
+    """Files that name the same columns in different orders."""
+    customers = scan(spark, sf_dir, "customer")
+    orders = (("key,name,balance", ["c_custkey", "c_name", "c_acctbal"]), ("balance,key,name", ["c_acctbal", "c_custkey", "c_name"]))
+    paths = []
+    for k, (header, names) in enumerate(orders):
+        line = F.concat_ws(",", *[F.col(n).cast("decimal(20,2)") if n == "c_acctbal" else F.col(n) for n in names])
+        paths.append(_lines(spark, customers.filter(F.col("c_custkey") % 2 == k).select(line.alias("line")), header))
+    return read_csv(spark, paths).to_df()
+
+
 @query("select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
 def parquet_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "parquet")

@@ -62,7 +62,8 @@ def read_csv(
     is read by several tasks if it is large. One reading finds the header, the number of
     columns and their types, and another gives the data; ``types`` (by column id) save
     the kinds of cells. A record of more than ``max_record_lines`` lines, as after a stray quote,
-    fails the import. A row that is wider than ``width``, or a cell that does not have its given
+    fails the import. Files of a folder
+    may have their columns in different orders. A row that is wider than ``width``, or a cell that does not have its given
     type, fails the job; files whose headers name other columns fail the import. Files
     without any line give an empty table.
     """
@@ -84,7 +85,7 @@ def import_csv(
         found = _survey(records, types is None, True)
     kinds = None
     if found.settled:
-        header = _header(spark, [found.header] if found.header is not None else [])
+        header, orders = _header(spark, [found.header] if found.header is not None else [])
         texts = F.lit(found.header)
         body = records.filter(~F.coalesce((F.col("text") == texts) & (F.col("__block") == 0), F.lit(False)))
         widest, kinds = found.width, found.kinds
@@ -92,10 +93,18 @@ def import_csv(
         # Headers that differ in their text, or rows that repeat one: look at each file's first row.
         firsts = records.groupBy("__file").agg(F.min_by("text", F.struct("__block", "__row_id")).alias("text"))
         texts = [r["text"] for r in firsts.select("text").distinct().limit(MAX_HEADERS + 1).collect()]
-        header = _header(spark, texts)
+        header, orders = _header(spark, texts)
         body = _below_headers(records, texts)
         widest = body.agg(F.max(F.size(_cells(F.col("text"))))).first()[0] if width is None else width
-    body = body.select(_cells(F.col("text")).alias("f"), "__file", "__block", "__row_id")
+        if len(set(orders.values())) > 1:
+            body = body.join(_places(spark, firsts, orders), "__file")
+    fields = _cells(F.col("text"))
+    if "places" in body.columns:
+        # The header's fields in the common order, and then those beyond the header.
+        rest = F.slice(fields, F.lit(len(header) + 1), F.size(fields))
+        sorted_ = F.concat(F.transform("places", lambda p: F.get(fields, p)), rest)
+        fields = F.when(F.size("places") > 0, sorted_).otherwise(fields)
+    body = body.select(fields.alias("f"), "__file", "__block", "__row_id")
     width = max(len(header), (widest or 0) if width is None else width)
     headers = normalize_headers(header + [None] * (width - len(header)))
     wide = F.raise_error(F.format_string(f"a row has %d fields, and the given width is {width}", F.size("f"))).cast("string")
@@ -271,18 +280,28 @@ def _content(field: Column) -> Column:
     return F.when(field.startswith(',"'), opened).when(field != ",", F.substring(field, 2, 2**31 - 1))
 
 
-def _header(spark: SparkSession, texts: list[str]) -> list[str | None]:
-    """The header's cells. All header rows must name the same columns."""
+def _header(spark: SparkSession, texts: list[str]) -> tuple[list[str | None], dict[str, tuple[int, ...]]]:
+    """The header's cells, and for each header row where its fields are of the common columns. All
+    header rows must name the same columns, in whatever order: that of the row that sorts first."""
     if not texts:
-        return []
+        return [], {}
     if len(texts) > MAX_HEADERS:
         raise StepError("headerMismatch", f"the files have over {MAX_HEADERS} different headers")
     rows = spark.createDataFrame([(t,) for t in sorted(texts)], "text string")
     found = rows.select("text", _cells(F.col("text")).alias("f")).collect()
-    ids = {tuple(h.id for h in normalize_headers(list(r["f"]))) for r in found}
-    if len(ids) > 1:
-        raise StepError("headerMismatch", f"the files have different columns, such as {sorted(ids)[:2]}")
-    return list(found[0]["f"])
+    ids = {r["text"]: [h.id for h in normalize_headers(list(r["f"]))] for r in found}
+    first = ids[found[0]["text"]]
+    other = next((i for i in ids.values() if sorted(i) != sorted(first)), None)
+    if other is not None:
+        raise StepError("headerMismatch", f"the files have different columns, such as {first} and {other}")
+    return list(found[0]["f"]), {text: tuple(own.index(i) for i in first) for text, own in ids.items()}
+
+
+def _places(spark: SparkSession, firsts: DataFrame, orders: dict[str, tuple[int, ...]]) -> DataFrame:
+    """``(__file, places)``: where each file has the fields of the common columns, from its first row; an
+    empty array where it has them in their order."""
+    rows = [(text, list(order) if list(order) != sorted(order) else []) for text, order in orders.items()]
+    return firsts.join(F.broadcast(spark.createDataFrame(rows, "text string, places array<int>")), "text").select("__file", "places")
 
 
 def _below_headers(records: DataFrame, texts: list[str]) -> DataFrame:

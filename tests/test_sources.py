@@ -152,11 +152,40 @@ def test_files_with_other_columns_are_refused(spark, tmp_path):
     for name, text in {"a": "k,v\n1,2\n", "b": "k, V \n3,4\n"}.items():
         (tmp_path / f"{name}.csv").write_text(text)
     assert sorted(cells(read_csv(spark, str(tmp_path)), "col_k")) == [1, 3]
-    (tmp_path / "c.csv").write_text("v,k\n5,6\n")
+    (tmp_path / "c.csv").write_text("k,w\n5,6\n")
     with pytest.raises(StepError, match="headerMismatch"):
         read_csv(spark, str(tmp_path))
 
 
+def test_files_with_columns_in_other_orders(spark, tmp_path):
+    for name, text in {"a": "k,v,w\n1,x,true\n2\n", "b": "w,k,v\nfalse,3,y,extra\n\ntrue,4\n", "c": 'v,w,"k"\n"z, z",,5\n', "d": "k,v,w\n"}.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    t = read_csv(spark, str(tmp_path))
+    assert ids(t) == ["col_k", "col_v", "col_w", "col_column"] and kinds(t) == ["number", "string", "boolean", "string"]
+    rows = [tuple(r) for r in t.sorted_df().select(*t.ids).collect()]
+    assert rows == [
+        (1.0, "x", True, None), (2.0, None, None, None), (3.0, "y", False, "extra"), (None, None, None, None), (4.0, None, True, None),
+        (5.0, "z, z", None, None),
+    ]
+
+
+def test_a_stray_quote_fails_past_the_limit(spark, tmp_path):
+    path = tmp_path / "stray.csv"
+    path.write_text('a,b\n1,"open\n' + "2,x\n" * 500)
+    assert cells(read_csv(spark, str(path)), "col_a") == [1.0]
+    with pytest.raises(Exception, match="recordTooLong"):
+        read_csv(spark, str(path), max_record_lines=100)
+
+
+def test_data_of_a_plain_file_are_one_scan(spark, tmp_path):
+    path = tmp_path / "plain.csv"
+    path.write_text("a,b\n" + 'x,"y, z"\n' * 1000)
+    t = read_csv(spark, str(path))
+    plan = t.df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "Exchange" not in plan
+    assert t.in_order and t.df.count() == 1000
+
+
 def test_several_files_share_a_header_and_keep_file_order(spark, tmp_path):
     folder = tmp_path / "many"
     folder.mkdir()
