@@ -143,9 +143,9 @@ def fit(features: np.ndarray, places: list[np.ndarray], good: np.ndarray) -> Mod
     for _ in range(STEPS):
         gradient, curvature = ridge * w, np.diag(ridge)
         for x, y in blocks():
-            p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             curve = np.maximum(p * (1 - p), 1e-4).astype(np.float32)
-            gradient += x.T @ (p - y).astype(np.float32)
+            gradient += x.T @ (p - y)
             curvature += (x.T * curve) @ x
         w = w - np.linalg.solve(curvature, gradient)
     return Model(features, w[:-1], float(w[-1]))
