@@ -66,9 +66,9 @@ def date_diff(a: Any, b: Any, unit: Any) -> Cell:
 
 
 # The largest distance from 1970 in milliseconds that a moment may have,
-# and the years whose text has four digits.
+# and the first and last moments of the years whose text has four digits.
 FURTHEST = 8_640_000_000_000_000
-PLAIN_YEARS = (0, 9999)
+PLAIN_YEARS = (-62_167_219_200_000, 253_402_300_799_999)
 
 
 def date_add(x: Any, amount: Any, unit: Any) -> Cell:
@@ -103,15 +103,17 @@ def date_add(x: Any, amount: Any, unit: Any) -> Cell:
             field = {"days": F.dayofmonth, "hours": F.hour, "minutes": F.minute, "seconds": F.second}[unit](moment)
             delta = _truncate(field.cast("double") + n) - field
         millis = F.unix_millis(moment) + delta.cast("bigint") * UNIT_MILLIS[unit]
-    return Cell(_extended_iso(F.timestamp_millis(F.when(F.abs(millis) <= FURTHEST, millis))), "datetime", c.STRING)
+    return Cell(_extended_iso(millis), "datetime", c.STRING)
 
 
-def _extended_iso(moment: Column) -> Column:
+def _extended_iso(millis: Column) -> Column:
+    """Text of a moment up to FURTHEST from 1970, else null; plain years take no more than their format."""
+    moment = F.timestamp_millis(millis)
     year = F.year(moment)
     digits = F.lpad(F.abs(year).cast("string"), 6, "0")
     signed = F.concat(F.when(year < 0, F.lit("-")).otherwise(F.lit("+")), digits)
     rest = F.date_format(moment, "-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return F.when(year.between(*PLAIN_YEARS), c.iso_text(moment)).otherwise(F.concat(signed, rest))
+    return F.when(millis.between(*PLAIN_YEARS), c.iso_text(moment)).when(F.abs(millis) <= FURTHEST, F.concat(signed, rest))
 
 
 def _truncate(x: Column) -> Column:
