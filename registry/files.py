@@ -19,6 +19,7 @@ from tablewash.sources import (
     import_csv,
     parsed_workbooks,
     read_csv,
+    read_file,
     sheet_columns,
     sheet_table,
     sheet_types,
@@ -107,11 +108,21 @@ def csv_ragged_lines(spark, sf_dir):
     return read_csv(spark, path).to_df()
 
 
-@query(
-    """select * from (values ('col_id', 'id', 'number'), ('col_mail', 'Mail', 'string'), ('col_mail_2', 'Mail (2)', 'mixed'),
-      ('col_column', 'Column', 'date'), ('col_seen_at', 'seen at', 'datetime'), ('col_column_2', 'Column (2)', 'unknown'),
-      ('col_ok', 'ok', 'boolean')) t(column_id, display_name, logical_type) where exists (select 1 from events)"""
-)
+# The kind of each cell of the file by the columns it is made of, and a column's type from its kinds.
+UNTIDY_KINDS = """with k as (select
+    unnest(['col_id', 'col_mail', 'col_mail_2', 'col_column', 'col_seen_at', 'col_column_2', 'col_ok']) as column_id,
+    unnest(['id', 'Mail', 'Mail (2)', 'Column', 'seen at', 'Column (2)', 'ok']) as display_name,
+    unnest([case when regexp_matches(event_id::varchar, '^-?(0|[1-9][0-9]*)$') then 'number' else 'string' end,
+      case when event_type = '' then null when lower(event_type) in ('true', 'false') then 'boolean'
+        when try_cast(event_type as double) is not null then 'number' else 'string' end,
+      case event_id % 3 when 0 then 'boolean' when 1 then 'number' else 'string' end,
+      case when ts is not null then 'date' end, case when ts is not null then 'datetime' end, null, 'boolean']) as kind
+    from events),
+    t as (select column_id, display_name, case when count(kind) = 0 then 'unknown' when count(distinct kind) = 1 then max(kind) else 'mixed' end as logical_type
+      from k group by all)"""
+
+
+@query(f"{UNTIDY_KINDS} select column_id, display_name, logical_type from t")
 def csv_column_types(spark, sf_dir):
     imported = _untidy_import(spark, sf_dir)
     rows = [(c.id, c.name, c.type) for c in imported.table.columns]
@@ -119,9 +130,9 @@ def csv_column_types(spark, sf_dir):
 
 
 @query(
-    """select * from (values ('duplicateHeaderNormalized', 'col_mail_2', 'Mail (2)'), ('mixedTypeColumn', 'col_mail_2', 'Mail (2)'),
-      ('blankHeaderGenerated', 'col_column', 'Column'), ('blankHeaderGenerated', 'col_column_2', 'Column (2)'),
-      ('duplicateHeaderNormalized', 'col_column_2', 'Column (2)')) t(code, column_id, detail) where exists (select 1 from events)"""
+    f"""{UNTIDY_KINDS} select 'mixedTypeColumn' as code, column_id, display_name as detail from t where logical_type = 'mixed'
+    union all select 'duplicateHeaderNormalized', column_id, display_name from t where display_name like '% (%)'
+    union all select 'blankHeaderGenerated', column_id, display_name from t where display_name like 'Column%'"""
 )
 def csv_import_warnings(spark, sf_dir):
     return csv_warnings(spark, _untidy_import(spark, sf_dir)).select("code", "column_id", "detail")
@@ -156,6 +167,14 @@ def csv_columns_in_any_order(spark, sf_dir):
     return read_csv(spark, paths).to_df()
 
 
+@query("select s_suppkey::double as col_s_suppkey, s_name as col_s_name, s_nationkey::double as col_s_nationkey, s_acctbal as col_s_acctbal from supplier")
+def file_by_suffix(spark, sf_dir):
+    """A table read by the suffix of its name."""
+    path = f"{scratch_path(spark, 'files')}/Suppliers.CSV"
+    write_csv(table(spark, sf_dir, "supplier", "s_suppkey"), path)
+    return read_file(spark, path).to_df()
+
+
 @query("select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
 def parquet_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "parquet")

@@ -113,8 +113,7 @@ ORDER_DESK = {
       case when desk like 'large%' and r < 3 then 0.0 else r end as rank,
       case when desk like 'large%' and r < 3 then '#1b9e77' when desk like 'large%' and r > 8 then '#7570b3' end as rank_fill,
       case when desk = 'pricing' then '#cccccc' end as price_fill
-    from d where not (o_orderstatus = 'F' and desk = 'counter')""",
-    name="contact_readiness_document",
+    from d where not (o_orderstatus = 'F' and desk = 'counter')"""
 )
 def order_desk_document(spark, sf_dir):
     out = run_sequence(messy_orders(spark, sf_dir), package_from_document(ORDER_DESK))
