@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,6 +70,7 @@ SHORT = 64
 LEVEL = 19
 WORD = re.compile(r"[A-Za-z_]{4,}")
 DICTIONARY_BYTES = 64 << 10
+SPLITS = 8
 # Distinct words that a task counts before it passes them on.
 COUNTED_AT_A_TIME = 200_000
 
@@ -95,8 +96,12 @@ def common_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def dictionary_of(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY_BYTES) -> bytes:
     """The identifiers and the words found in most rows, ``size`` bytes at most, the commonest
     last, where matches cost least. Words found in a single row are never taken."""
-    fits = F.length("word") <= 64
-    most = common_words(docs, text_col).filter(fits & (F.col("n") > 1)).orderBy(F.desc("n"), "word").limit(max(1, size // 5))
+    limit = max(1, size // 5)
+    counted = common_words(docs, text_col).filter((F.length("word") <= 64) & (F.col("n") > 1))
+    # Cut in SPLITS parts first: a top-k alone would send as many words of every task to the driver.
+    part = Window.partitionBy(F.pmod(F.xxhash64("word"), F.lit(SPLITS))).orderBy(F.desc("n"), "word")
+    few = counted.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= limit)
+    most = few.orderBy(F.desc("n"), "word").limit(limit).select("word")
     words, room = [], size - len(IDENTIFIERS)
     for row in most.collect():
         room -= len(row["word"]) + 1
