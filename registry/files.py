@@ -192,7 +192,7 @@ def _books(spark, sf_dir):
     group grows with the data. Two sheets; the first starts with machine metadata."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("c_custkey")
+        rows = rows.sort_values(["c_custkey", "c_name", "c_acctbal", "c_mktsegment"])
         book = f"n{rows['c_nationkey'].iloc[0]}-{rows['book'].iloc[0]}.xlsx"
         people = [
             ['{"UniqueId":"key"}', '{"UniqueId":"name"}', '{"UniqueId":"balance"}', '{"UniqueId":"double"}', '{"UniqueId":"none"}', '{"UniqueId":"day"}'],
@@ -280,17 +280,18 @@ def workbook_column_types(spark, sf_dir):
 
 @query(
     f"""with b as ({BOOKS}), f as (select *, row_number() over w as n, count(*) over (partition by path) as total,
-        coalesce(sum((c_custkey % 7 = 0)::int) over (partition by path order by c_custkey rows between unbounded preceding and 1 preceding), 0) as blanks
-      from b window w as (partition by path order by c_custkey)),
+        coalesce(sum((c_custkey % 7 = 0)::int) over (partition by path order by c_custkey, c_name, c_acctbal, c_mktsegment rows between unbounded preceding and 1 preceding), 0) as blanks
+      from b window w as (partition by path order by c_custkey, c_name, c_acctbal, c_mktsegment)),
     flags as (select path, (n + blanks)::int as row_number, c_custkey::double as key, case when c_custkey % 2 = 1 then c_mktsegment end as flag_text,
         case when c_custkey % 2 = 0 then c_custkey % 3 = 0 end as flag_value, 'x' as mark, strftime(date '2024-01-01' + (c_custkey % 365)::int, '%Y-%m-%dT06:00:00') as at_
       from f union all
       select path, (n + blanks + 1)::int, null, null, null, null, null from f where c_custkey % 7 = 0 and n < total)
     select 'Flags' as sheet, * from flags
-    union all select 'People', path, n::int, c_custkey, c_name, null, regexp_replace(c_acctbal::varchar, '\\.0$', ''), strftime(date '2024-01-01' + (c_custkey % 365)::int, '%Y-%m-%d') from f"""
+    union all select 'People', path, n::int, c_custkey, c_name, null, case when c_acctbal = 0 then '0' else regexp_replace(c_acctbal::varchar, '\\.0$', '') end, strftime(date '2024-01-01' + (c_custkey % 365)::int, '%Y-%m-%d') from f"""
 )
 def workbook_all_sheets(spark, sf_dir):
-    """All sheets of the workbooks from one parse, blank rows inside a sheet included."""
+    """All sheets of the workbooks from one parse, blank rows inside a sheet included. A
+    balance is its number's text, in which zero has no sign."""
     found = workbook_tables(_books(spark, sf_dir), {"People": 1})
     book = F.col("__path").alias("path")
     none = F.lit(None).cast("string")

@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import pytest
 
 from __spark_entry__ import entry
@@ -63,3 +64,14 @@ def test_runs_without_sort_or_dedupe_never_shuffle(spark):
     for name in ("fill_missing", "rule_cases_cumulative", "order_desk_document", "run_workflow_sequence", "highlight_cells"):
         plan = queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and plan.count("FileScan") == 1, name
+
+
+def test_workbooks_of_signless_zeros_and_repeated_keys(spark, tmp_path):
+    """A zero below zero reads 0, and rows of one key come in the same order on both sides."""
+    rows = [(k, f"name {k}", k % 3, float(k) / 4, "BUILDING") for k in range(20)]
+    rows += [(7, "name 8", 1, -0.0, "MACHINERY"), (7, "name 6", 1, 2.5, "AUTO"), (11, "name 12", 2, -0.0, "AUTO")]
+    schema = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    spark.createDataFrame(rows, schema).repartition(5).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    assert compare(spark, con, str(tmp_path), queries()["workbook_all_sheets"], oracle_sql()["workbook_all_sheets"]) is None
