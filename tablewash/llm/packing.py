@@ -94,6 +94,7 @@ def pack_documents(
     text_col: str = "text",
     source_col: str = "source",
     cluster: Column | None = None,
+    length: Column | None = None,
     capacity: int = CAPACITY,
     per_source: int = PER_SOURCE,
     group_rows: int = GROUP_ROWS,
@@ -102,7 +103,8 @@ def pack_documents(
 
     Tokens are words and one end per document, so every row of ``docs`` has a piece,
     also with a null or empty text. ``cluster`` tells which documents are copies, by
-    default equal words whatever their ASCII case. ``group`` and ``bin`` name a sequence,
+    default equal words whatever their ASCII case; ``length`` tells their tokens, where
+    they are known already and no text is needed. ``group`` and ``bin`` name a sequence,
     ``bin_offset`` counts its tokens from 0 without gaps. A null source is one of its
     own; a null id is dealt out by its text. Repeated rows are copies like any
     others and never share a bin, nor does a document's rest with its equal. Ties go by
@@ -112,7 +114,7 @@ def pack_documents(
     rows = stored(
         docs.select(
             F.col(id_col).alias("doc_id"),
-            token_length(F.col(text_col)).alias("length"),
+            (token_length(F.col(text_col)) if length is None else length).alias("length"),
             clusters.alias("cluster"),
             F.xxhash64(F.coalesce(F.col(source_col), F.lit(""))).alias("source"),
         ),

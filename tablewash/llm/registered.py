@@ -14,7 +14,7 @@ from tablewash.llm.decontamination import benchmark_overlap
 from tablewash.llm.hard_negatives import hard_negatives
 from tablewash.llm.language_id import identify_languages
 from tablewash.llm.near_dedup import near_duplicates
-from tablewash.llm.packing import copy_cluster, pack_documents
+from tablewash.llm.packing import copy_cluster, pack_documents, token_length
 from tablewash.llm.quality_classifier import classify
 from tablewash.llm.quality_rules import quality_rules, trusted_ids
 from tablewash.llm.secret_scan import secret_spans
@@ -91,9 +91,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     near = near_duplicates(docs).filter("n_shingles > 0").select("doc_id", F.concat(F.lit("c"), "component_id").alias("component"))
-    # Texts without words are in no component; they are copies of each other.
-    cluster = F.coalesce("component", copy_cluster(F.col("text")).cast("string"))
-    return pack_documents(docs.join(near, "doc_id", "left"), cluster=cluster)
+    # Rows that are in no component are copies by their words. What is needed of the texts
+    # is taken from them before the join, which then moves a few numbers a row.
+    length, alone = token_length(F.col("text")), F.col("doc_id").isNull() | (F.col("length") == 1)
+    own = F.when(alone, copy_cluster(F.col("text")).cast("string"))
+    measured = docs.withColumn("length", length).select("doc_id", "source", "length", own.alias("own"))
+    return pack_documents(measured.join(near, "doc_id", "left"), cluster=F.coalesce("component", "own"), length=F.col("length"))
 
 
 @query

@@ -11,7 +11,7 @@ from __spark_entry__ import oracle_sql, queries
 from check_oracle import compare, connect
 from tablewash.llm.chat_format import escape, format_conversations, marked_turns, render_incrementally
 from tablewash.llm.near_dedup import near_duplicates
-from tablewash.llm.packing import Bins, pack_documents
+from tablewash.llm.packing import Bins, copy_cluster, pack_documents, token_length
 from tablewash.llm.sharding import interleaved_shards
 
 SMALL = "/root/testdata/sf0.001"
@@ -122,6 +122,23 @@ def test_packed_near_copies_share_no_bin(spark, small):
         assert len(set(names)) == len(names)
 
 
+def test_packing_moves_no_texts(spark, messy, tmp_path):
+    """Known lengths and clusters need no text column, and op4 packs rows without id or words by their words."""
+    docs = messy.select("doc_id", "source", token_length(F.col("text")).alias("length"), copy_cluster(F.col("text")).alias("own"))
+    given = pack_documents(docs, cluster=F.col("own"), length=F.col("length"), capacity=64)
+    check_packing(messy, given, 64)
+    rows = [(k, "", "a") for k in range(3)] + [(None, " \n", "b"), (None, "one two", "b"), (None, "One  two", "c"), (5, "x y z", "c")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts.write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries()["op4_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.n_tokens) for r in found) == [(False, 1)] * 3 + [(False, 4), (True, 1), (True, 3), (True, 3)]
+    bins = defaultdict(list)
+    for r in found:
+        bins[r.bin].append(r.n_tokens)
+    # Four empty texts are copies, and so are the two of one and two.
+    assert all(n.count(1) <= 1 and n.count(3) <= 1 for n in bins.values())
+
+
 def test_chat_spans_and_masks(spark):
     said = r"\### Assistant: </turn> ok"
     rows = [(1, 1, "assistant", said), (1, 0, "user", said), (2, 0, None, None), (None, 3, "a:b", "é\n"), (1, 1, "assistant", said)]
