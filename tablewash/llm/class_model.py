@@ -1,11 +1,13 @@
 """Language-model scores of a Brown class model: class transitions and word emissions.
 
-1. *Blocks.* One pass turns texts into blocks of about half a million tokens: each block
+1. *Blocks.* One pass turns texts into blocks of about two million tokens: each block
    keeps its distinct words as hashes with their training counts, and its tokens
    as places in that dictionary. Later passes read blocks, never texts.
-2. *Counts.* Dictionary entries of all blocks meet by word, get the word's count over
-   all training tokens, and go back to their block. A word takes part once a
-   block, however often it occurs.
+2. *Counts.* Words are dealt out to buckets by their hash. What a block says of its words
+   in one bucket travels as one row of packed arrays, in the order of the hashes. There
+   dictionary entries of all blocks meet by word, get the word's count over
+   all training tokens, and go back to their block in the same order. A word takes part
+   once a block, however often it occurs.
 3. *Start.* The most frequent words are units of their own, all others fall into
    units by their last bytes, and exchange clustering moves units between classes.
    The number of classes follows the number of training words.
@@ -26,12 +28,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tablewash.llm.words import is_space_free, mixed, slices, utf8, words_of
-from tablewash.session import discard, stored
+from tablewash.session import discard, shuffles_dropped, stored
 
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 21
 FREQUENT = 256
 ENDINGS = 256
 # The fewest classes; beyond, the cube root of the number of training words.
@@ -40,14 +41,15 @@ CLASSES = 48
 LEAST_RISE = 0.1
 # Pairs of classes that never met count as this share of what chance would give.
 CHANCE = 0.02
-# Dictionary entries whose words are moved in one task, on average, and words at a time.
-MOVE_ENTRIES = 50_000
-MOVE_WORDS = 4_096
+# Dictionary entries of one bucket, on average; cells whose gains are weighed at a time.
+BUCKET_ENTRIES = 150_000
+MOVE_CELLS = 100_000
 # A word may be a unit of its own if it is so large a share of some block.
 FREQUENT_SHARE = 1e-4
 PSEUDO_COUNT = 0.1
 TRANSITION_PRIOR = 2.0
 _END = np.uint64(0x5851F42D4C957F2D)
+_BUCKET_SALT = np.uint64(0x2545F4914F6CDD1D)
 END_UNIT = FREQUENT + ENDINGS
 UNITS = END_UNIT + 1
 
@@ -58,14 +60,18 @@ def in_training(doc_id: Column) -> Column:
     return ~F.coalesce(held, F.lit(False))
 
 
-def _packed(tokens: np.ndarray) -> bytes:
+def _packed(values: np.ndarray, kind: str = "<u4") -> bytes:
     """Numbers as compressed planes of their bytes."""
-    return pa.Codec("zstd").compress(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+    planes = values.astype(kind).view(np.uint8).reshape(len(values), -1).T if len(values) else values
+    return pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
 
 
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 4 * n, asbytes=True), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+def _unpacked(data: bytes, n: int, kind: str = "<u4") -> np.ndarray:
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, size * n, asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel().astype(np.int64)
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -160,30 +166,105 @@ def _dictionary(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray,
     )
 
 
-def _entries(parts: DataFrame) -> DataFrame:
-    """``(block, place, hash, unit, count)``: the dictionary entries of all blocks."""
+def _dealt(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The buckets that hold words of a dictionary, and the places of these by rising hash."""
+    bucket = (mixed(hashes ^ _BUCKET_SALT) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((hashes, bucket))
+    held, first = np.unique(bucket[order], return_index=True)
+    yield from zip(held.tolist(), np.split(order, first[1:]))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else schema.empty_table()
+
+
+def _schema(*binaries: str) -> tuple[pa.Schema, str]:
+    """The Arrow and Spark forms of rows of ``n`` entries of a block in a bucket."""
+    numbers, names = ("block", "bucket", "n"), ", ".join(f"{b} binary" for b in binaries)
+    fields = [(name, pa.int64()) for name in numbers] + [(name, pa.binary()) for name in binaries]
+    return pa.schema(fields), f"block long, bucket long, n long, {names}"
+
+
+def _entries(parts: DataFrame, buckets: int) -> DataFrame:
+    """``(block, bucket, n, hashes, units, counts)``: the dictionary entries of all blocks."""
+    schema, kinds = _schema("hashes", "units", "counts")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 hashes, counts, units = _dictionary(batch, k)
                 block = batch.column("block")[k].as_py()
-                for low in range(0, len(hashes), 50_000):
-                    n = min(50_000, len(hashes) - low)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(n, block, dtype=np.int64)),
-                            pa.array(np.arange(low, low + n, dtype=np.int32)),
-                            pa.array(hashes[low : low + n].view(np.int64)),
-                            pa.array(units[low : low + n].astype(np.int16)),
-                            pa.array(counts[low : low + n].astype(np.int64)),
-                        ],
-                        names=["block", "place", "hash", "unit", "count"],
-                    )
+                rows = [
+                    (block, b, len(p), _packed(hashes[p], "<u8"), _packed(units[p], "<u2"), _packed(counts[p], "<u4"))
+                    for b, p in _dealt(hashes, buckets)
+                ]
+                yield from _rows(rows, schema).to_batches()
 
-    return parts.select("block", "hashes", "counts", "units").mapInArrow(
-        explode, "block long, place int, hash long, unit short, count long"
-    )
+    return parts.select("block", "hashes", "counts", "units").mapInArrow(deal, kinds)
+
+
+def _joined(rows: pa.Table, name: str, kind: str, sizes: np.ndarray | None = None) -> np.ndarray:
+    """A packed column of several rows as one array; ``sizes`` if a row's is not ``n``."""
+    n = rows["n"].to_numpy() if sizes is None else sizes
+    return np.concatenate([_unpacked(data.as_py(), int(k), kind) for data, k in zip(rows[name], n)])
+
+
+def _counted(entries: DataFrame, frequent: list[tuple[int, int]]) -> DataFrame:
+    """``(block, bucket, n, units, counts, first)``: each entry's unit, its word's count over all training
+    tokens, and whether it is the word's entry in the first block that has it."""
+    names, number = _sorted_names(frequent)
+    schema, kinds = _schema("units", "counts", "first")
+
+    def count(group: pa.Table) -> pa.Table:
+        group = group.sort_by("block")
+        hashes = _joined(group, "hashes", "<i8")
+        _, at, word = np.unique(hashes, return_index=True, return_inverse=True)
+        total = np.bincount(word, weights=_joined(group, "counts", "<u4")).astype(np.int64)[word]
+        first = np.zeros(len(hashes), dtype=np.int64)
+        first[at] = 1
+        units = _own_units(hashes.view(np.uint64), _joined(group, "units", "<u2"), names, number)
+        ends = np.cumsum(group["n"].to_numpy())[:-1]
+        parts = zip(*(np.split(x, ends) for x in (units, total, first)))
+        rows = [
+            (block, bucket, len(u), _packed(u, "<u2"), _packed(c, "<u8"), _packed(f, "<u1"))
+            for block, bucket, (u, c, f) in zip(group["block"].to_pylist(), group["bucket"].to_pylist(), parts)
+        ]
+        return _rows(rows, schema)
+
+    return entries.groupBy("bucket").applyInArrow(count, kinds)
+
+
+def _words_by(rows: DataFrame, column: str, most: int) -> np.ndarray:
+    """How many training words have each value of a packed column, each word counted at its first entry."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(most, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                once = (_joined(rows, "first", "<u1") > 0) & (_joined(rows, "counts", "<u8") > 0)
+                table += np.bincount(_joined(rows, column, "<u2")[once], minlength=most)
+        held = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(table[held])], names=["value", "n"])
+
+    found = rows.select("n", "first", "counts", column).mapInArrow(count, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    table = np.zeros(most)
+    for r in found.collect():
+        table[r["value"]] = r["n"]
+    return table
+
+
+def _started(counted: DataFrame, label: np.ndarray) -> DataFrame:
+    """``(block, bucket, n, labels)``: the class of each entry's unit."""
+    schema, kinds = _schema("labels")
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch[c].to_pylist() for c in ("block", "bucket", "n", "units")))
+            made = [(block, bucket, n, _packed(label[_unpacked(units, n, "<u2")], "<u2")) for block, bucket, n, units in rows]
+            yield from _rows(made, schema).to_batches()
+
+    return counted.select("block", "bucket", "n", "units").mapInArrow(start, kinds)
 
 
 def _frequent(parts: DataFrame) -> list[tuple[int, int]]:
@@ -212,11 +293,15 @@ def _own_units(hashes: np.ndarray, units: np.ndarray, names: np.ndarray, number:
     return np.where(names[at] == hashes, number[at], units)
 
 
-def _bigrams(parts: DataFrame, frequent: list[tuple[int, int]]) -> np.ndarray:
-    """How often each unit follows each other one in training; a document follows an end."""
+def _sorted_names(frequent: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     names = np.array([h for h, _ in frequent], dtype=np.int64).view(np.uint64)
     number = np.argsort(names)
-    names = names[number]
+    return names[number], number
+
+
+def _bigrams(parts: DataFrame, frequent: list[tuple[int, int]]) -> np.ndarray:
+    """How often each unit follows each other one in training; a document follows an end."""
+    names, number = _sorted_names(frequent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(UNITS * UNITS, dtype=np.int64)
@@ -329,18 +414,28 @@ def likelihood(pair: np.ndarray) -> float:
     return f(pair) - f(pair.sum(0)) - f(pair.sum(1))
 
 
-def _neighbours(parts: DataFrame, labels: DataFrame, classes: int) -> DataFrame:
-    """``(hash, block, place, label, cells, counts)``, a row per dictionary entry: how often
-    its training tokens follow a token of each class (cells 0 to ``classes``) and
-    precede one (cells from ``classes``)."""
+def _placed(hashes: np.ndarray, rows: pa.Table, buckets: int, *columns: tuple[str, str]) -> list[np.ndarray]:
+    """Packed columns of a block's rows, one value per place of its dictionary."""
+    at = {bucket: k for k, bucket in enumerate(rows["bucket"].to_pylist())}
+    made = [np.zeros(len(hashes), dtype=np.int64) for _ in columns]
+    for bucket, places in _dealt(hashes, buckets):
+        for values, (name, kind) in zip(made, columns):
+            values[places] = _unpacked(rows[name][at[bucket]].as_py(), len(places), kind)
+    return made
+
+
+def _neighbours(parts: DataFrame, labels: DataFrame, classes: int, buckets: int) -> DataFrame:
+    """``(block, bucket, n, hashes, labels, sizes, cells, counts)``: how often the training tokens of each
+    dictionary entry follow a token of each class (cells 0 to ``classes``) and precede one
+    (cells from ``classes``). ``sizes`` has the number of an entry's cells."""
+    schema, kinds = _schema("hashes", "labels", "sizes", "cells", "counts")
 
     def count(part: pa.Table, entries: pa.Table) -> pa.Table:
-        label = np.zeros(entries.num_rows, dtype=np.int64)
-        label[entries["place"].to_numpy()] = entries["label"].to_numpy()
-        found: list[pa.Table] = []
+        found: list[tuple] = []
         for k in range(part.num_rows):
             size = np.frombuffer(part["sizes"][k].as_py(), dtype="<i8")
-            hashes = np.frombuffer(part["hashes"][k].as_py(), dtype="<i8")
+            hashes = np.frombuffer(part["hashes"][k].as_py(), dtype=np.uint64)
+            (label,) = _placed(hashes, entries, buckets, ("labels", "<u2"))
             stream = _unpacked(part["tokens"][k].as_py(), int(size.sum()))
             learned = np.repeat(np.array(part["train"][k].as_py(), dtype=bool), size)
             kind = label[stream]
@@ -350,41 +445,35 @@ def _neighbours(parts: DataFrame, labels: DataFrame, classes: int) -> DataFrame:
             precedes = stream[inner - 1] * (2 * classes) + classes + kind[inner]
             keys, n = np.unique(np.concatenate([follows, precedes]), return_counts=True)
             at = np.searchsorted(keys, np.arange(len(hashes) + 1) * (2 * classes))
-
-            def packed(values: np.ndarray) -> pa.Array:
-                ends = pa.py_buffer((at * values.itemsize).astype("<i4").tobytes())
-                return pa.Array.from_buffers(pa.binary(), len(hashes), [None, ends, pa.py_buffer(values.tobytes())])
-
-            found.append(
-                pa.table(
-                    {
-                        "hash": hashes,
-                        "block": np.full(len(hashes), part["block"][k].as_py(), dtype=np.int64),
-                        "place": np.arange(len(hashes), dtype=np.int32),
-                        "label": label.astype(np.int16),
-                        "cells": packed((keys % (2 * classes)).astype("<u2")),
-                        "counts": packed(n.astype("<u4")),
-                    }
+            cell = keys % (2 * classes)
+            for bucket, places in _dealt(hashes, buckets):
+                sizes = at[places + 1] - at[places]
+                pick = np.repeat(at[places] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                found.append(
+                    (
+                        part["block"][k].as_py(),
+                        bucket,
+                        len(places),
+                        _packed(hashes[places], "<u8"),
+                        _packed(label[places], "<u2"),
+                        _packed(sizes, "<u2"),
+                        _packed(cell[pick], "<u2"),
+                        _packed(n[pick], "<u4"),
+                    )
                 )
-            )
-        return pa.concat_tables(found) if found else _NO_NEIGHBOURS
+        return _rows(found, schema)
 
     read = parts.select("block", "train", "sizes", "tokens", "hashes").groupBy("block")
-    return read.cogroup(labels.select("block", "place", "label").groupBy("block")).applyInArrow(
-        count, "hash long, block long, place int, label short, cells binary, counts binary"
-    )
-
+    return read.cogroup(labels.select("block", "bucket", "labels").groupBy("block")).applyInArrow(count, kinds)
 
-_NO_NEIGHBOURS = pa.schema(
-    [("hash", pa.int64()), ("block", pa.int64()), ("place", pa.int32()), ("label", pa.int16()), ("cells", pa.binary()), ("counts", pa.binary())]
-).empty_table()
 
-
-def _cells(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all cells of the rows of ``_neighbours``: row, cell and count."""
-    cells, counts = table["cells"].to_pylist(), table["counts"].to_pylist()
-    row = np.repeat(np.arange(len(cells)), [len(c) // 2 for c in cells])
-    return row, np.frombuffer(b"".join(cells), "<u2").astype(np.int64), np.frombuffer(b"".join(counts), "<u4")
+def _cells(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all entries of the rows of ``_neighbours`` their labels, and for all their cells: entry, cell and count."""
+    sizes = [_unpacked(data.as_py(), n, "<u2") for data, n in zip(rows["sizes"], rows["n"].to_pylist())]
+    held = np.array([x.sum() for x in sizes], dtype=np.int64)
+    sizes = np.concatenate(sizes)
+    entry = np.repeat(np.arange(len(sizes)), sizes)
+    return _joined(rows, "labels", "<u2"), entry, _joined(rows, "cells", "<u2", held), _joined(rows, "counts", "<u4", held)
 
 
 def _pairs(seen: DataFrame, classes: int) -> np.ndarray:
@@ -393,24 +482,24 @@ def _pairs(seen: DataFrame, classes: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(classes * classes)
         for batch in batches:
-            row, cell, n = _cells(batch)
-            mine = cell < classes
-            after = batch["label"].to_numpy().astype(np.int64)[row[mine]]
-            table += np.bincount(cell[mine] * classes + after, weights=n[mine], minlength=len(table))
+            for k in range(batch.num_rows):
+                label, entry, cell, n = _cells(pa.Table.from_batches([batch.slice(k, 1)]))
+                mine = cell < classes
+                table += np.bincount(cell[mine] * classes + label[entry[mine]], weights=n[mine], minlength=len(table))
         held = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(table[held].astype(np.int64))], names=["cell", "n"])
 
-    rows = seen.select("label", "cells", "counts").mapInArrow(count, "cell long, n long")
+    rows = seen.select("n", "labels", "sizes", "cells", "counts").mapInArrow(count, "cell long, n long")
     summed = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     pair = np.zeros(classes * classes)
     pair[summed["cell"].to_numpy()] = summed["n"].to_numpy()
     return pair.reshape(classes, classes)
 
 
-def best_classes(near: np.ndarray, label: np.ndarray, pair: np.ndarray) -> np.ndarray:
+def best_classes(word: np.ndarray, cell: np.ndarray, n: np.ndarray, label: np.ndarray, pair: np.ndarray) -> np.ndarray:
     """The class of each word where the likelihood gains most, by what it gains for each
-    neighbour; a word's own class is judged without the word. ``near`` holds the counts
-    of classes before and after each word."""
+    neighbour; a word's own class is judged without the word. ``cell`` and ``n`` are the classes
+    before (from ``classes``: after) each ``word``, words rising, and how often they are."""
     classes = len(pair)
     left, right, total = pair.sum(1), pair.sum(0), max(pair.sum(), 1.0)
 
@@ -419,72 +508,86 @@ def best_classes(near: np.ndarray, label: np.ndarray, pair: np.ndarray) -> np.nd
         return np.log(np.maximum(n, 0) / expected + CHANCE)
 
     weights = ratio(pair, np.outer(left, right) / total)
-    gain = near @ np.concatenate([weights, weights.T])
-    into, out = near[:, :classes], near[:, classes:]
-    n = into.sum(1, keepdims=True), out.sum(1, keepdims=True)
-    own = (into * ratio(pair[:, label].T - into, left[None, :] * (right[label][:, None] - n[0]) / total)).sum(1)
-    own += (out * ratio(pair[label] - out, (left[label][:, None] - n[1]) * right[None, :] / total)).sum(1)
-    rows = np.arange(len(label))
-    gain[rows, label] = own
-    gain[:, 0] = -np.inf
-    best = gain.argmax(1)
-    moves = (label > 0) & (n[0] + n[1] > 0).ravel() & (gain[rows, best] > own + 1e-9)
-    return np.where(moves, best, label)
-
-
-def _moved(seen: DataFrame, pair: np.ndarray, share: float, salt: int, buckets: int) -> DataFrame:
-    """``(block, place, label)`` after a share of the words went to their best classes."""
+    weights = np.concatenate([weights, weights.T])
+    into = cell < classes
+    other, mine = np.where(into, cell, cell - classes), label[word]
+    size = np.bincount(word[into], weights=n[into], minlength=len(label)), np.bincount(word[~into], weights=n[~into], minlength=len(label))
+    met = np.where(into, pair[other, mine], pair[mine, other]) - n
+    alone = np.where(into, left[other] * (right[mine] - size[0][word]), (left[mine] - size[1][word]) * right[other]) / total
+    own = np.bincount(word, weights=n * ratio(met, alone), minlength=len(label))
+    best = label.copy()
+    held, first = np.unique(word, return_index=True)
+    first = np.append(first, len(word))
+    low = 0
+    while low < len(held):
+        high = max(low + 1, int(np.searchsorted(first, first[low] + MOVE_CELLS, side="right")) - 1)
+        at = slice(first[low], first[high])
+        gain = np.add.reduceat(weights[cell[at]] * n[at, None], first[low:high] - first[low])
+        some = held[low:high]
+        rows = np.arange(len(some))
+        gain[rows, label[some]] = own[some]
+        gain[:, 0] = -np.inf
+        found = gain.argmax(1)
+        moves = (label[some] > 0) & (gain[rows, found] > own[some] + 1e-9)
+        best[some] = np.where(moves, found, label[some])
+        low = high
+    return best
+
+
+def _moved(seen: DataFrame, pair: np.ndarray, share: float, salt: int) -> DataFrame:
+    """``(block, bucket, n, labels)`` after a share of the words went to their best classes."""
     classes = len(pair)
     shared = seen.sparkSession.sparkContext.broadcast(pair)
+    schema, kinds = _schema("labels")
 
     def move(group: pa.Table) -> pa.Table:
-        names, word = np.unique(group["hash"].to_numpy(), return_inverse=True)
+        names, word = np.unique(_joined(group, "hashes", "<i8"), return_inverse=True)
+        labels, entry, cell, n = _cells(group)
         label = np.zeros(len(names), dtype=np.int64)
-        label[word] = group["label"].to_numpy()
-        row, cell, n = _cells(group)
-        order = np.argsort(word[row], kind="stable")
-        of, cell, n = word[row][order], cell[order], n[order]
+        label[word] = labels
+        # The cells of a word from all its blocks are one.
+        keys, place = np.unique(word[entry] * (2 * classes) + cell, return_inverse=True)
+        summed = np.bincount(place, weights=n, minlength=len(keys))
+        new = best_classes(keys // (2 * classes), keys % (2 * classes), summed, label, shared.value)
         draw = mixed(names.view(np.uint64) + np.uint64(salt)) % np.uint64(1024)
-        new = label.copy()
-        for low in range(0, len(names), MOVE_WORDS):
-            high = min(low + MOVE_WORDS, len(names))
-            a, b = np.searchsorted(of, [low, high])
-            near = np.bincount((of[a:b] - low) * (2 * classes) + cell[a:b], weights=n[a:b], minlength=(high - low) * 2 * classes)
-            new[low:high] = best_classes(near.reshape(high - low, 2 * classes), label[low:high], shared.value)
-        new = np.where(draw < 1024 * share, new, label)
-        return pa.table({"block": group["block"], "place": group["place"], "label": new[word].astype(np.int16)})
+        new = np.where(draw < 1024 * share, new, label)[word]
+        parts = np.split(new, np.cumsum(group["n"].to_numpy())[:-1])
+        rows = zip(group["block"].to_pylist(), group["bucket"].to_pylist(), parts)
+        return _rows([(block, bucket, len(x), _packed(x, "<u2")) for block, bucket, x in rows], schema)
 
-    dealt = seen.withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(move, "block long, place int, label short")
+    return seen.groupBy("bucket").applyInArrow(move, kinds)
 
 
-def _exchanged(parts: DataFrame, labels: DataFrame, classes: int) -> tuple[DataFrame, np.ndarray]:
+def _exchanged(parts: DataFrame, labels: DataFrame, classes: int, buckets: int) -> tuple[DataFrame, np.ndarray]:
     """Labels of all dictionary entries, and the pairs of classes, once moves of words
-    between classes no longer raise the likelihood much."""
-    buckets = max(1, -(-(parts.agg(F.sum("words")).first()[0] or 0) // MOVE_ENTRIES))
-    seen = stored(_neighbours(parts, labels, classes), "neighbours")
+    between classes no longer raise the likelihood much. Of the neighbours one generation is
+    kept: after a round that lost, they are counted again from the labels."""
+    seen = stored(_neighbours(parts, labels, classes, buckets), "neighbours")
     pair = _pairs(seen, classes)
     gained, share, salt = 0.0, 1.0, 0
     # After a round that lost, fewer words move at a time.
     while pair.sum() and share >= 0.25:
         salt += 1
-        moved = stored(_moved(seen, pair, share, salt, buckets), "labels")
-        tried = stored(_neighbours(parts, moved, classes), "neighbours")
-        after = _pairs(tried, classes)
+        if seen is None:
+            seen = stored(_neighbours(parts, labels, classes, buckets), "neighbours")
+        moved = stored(_moved(seen, pair, share, salt), "labels")
+        discard(seen)
+        seen = stored(_neighbours(parts, moved, classes, buckets), "neighbours")
+        after = _pairs(seen, classes)
         rise = likelihood(after) - likelihood(pair)
         if rise <= 0:
             share /= 2
             discard(moved)
-            discard(tried)
+            discard(seen)
+            seen = None
             continue
-        discard(seen)
-        if gained:
-            discard(labels)
-        labels, seen, pair = moved, tried, after
+        discard(labels)
+        labels, pair = moved, after
         gained += rise
         if rise < LEAST_RISE * gained:
             break
-    discard(seen)
+    if seen is not None:
+        discard(seen)
     return labels, pair
 
 
@@ -500,51 +603,30 @@ def class_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     result; repeated rows are learned from and scored each. Other columns are
     ignored, and an empty table gives no rows.
     """
-    parts = stored(blocks(docs, id_col, text_col), "blocks")
-    frequent = _frequent(parts)
-    bigrams = _bigrams(parts, frequent)
     spark = docs.sparkSession
-    own = spark.createDataFrame([(h, i) for i, (h, _) in enumerate(frequent)], "hash long, own int")
-    word = Window.partitionBy("hash")
-    counted = stored(
-        _entries(parts)
-        .join(F.broadcast(own), "hash", "left")
-        .select(
-            "block",
-            "place",
-            F.coalesce(F.col("own").cast("short"), "unit").alias("unit"),
-            F.sum("count").over(word).alias("count"),
-            (F.row_number().over(word.orderBy("block")) == 1).alias("first"),
-        ),
-        "counted",
-    )
-    # At most one row per unit.
-    sizes = counted.filter("first and count > 0").groupBy("unit").agg(F.count("*").alias("words")).collect()
-    unit_words = np.zeros(UNITS)
-    for r in sizes:
-        unit_words[r["unit"]] = r["words"]
-    words = int(unit_words.sum())
-    classes = max(CLASSES, round(words ** (1 / 3)))
-    start = _tables(bigrams, unit_words, words, classes)
-    unit_label = F.array(*[F.lit(int(c)).cast("short") for c in start.label])
-    labels, pair = _exchanged(parts, counted.select("block", "place", unit_label[F.col("unit")].alias("label")), classes)
-    entries = counted.select("block", "place", "count", "first").join(labels, ["block", "place"])
-    class_words = np.zeros(classes)
-    for r in entries.filter("first and count > 0").groupBy("label").agg(F.count("*").alias("words")).collect():
-        class_words[r["label"]] = r["words"]
+    with shuffles_dropped(spark):
+        parts = stored(blocks(docs, id_col, text_col), "blocks")
+        frequent = _frequent(parts)
+        bigrams = _bigrams(parts, frequent)
+        buckets = max(1, -(-(parts.agg(F.sum("words")).first()[0] or 0) // BUCKET_ENTRIES))
+        counted = stored(_counted(_entries(parts, buckets), frequent), "counted")
+        unit_words = _words_by(counted, "units", UNITS)
+        words = int(unit_words.sum())
+        classes = max(CLASSES, round(words ** (1 / 3)))
+        start = _tables(bigrams, unit_words, words, classes)
+        labels, pair = _exchanged(parts, stored(_started(counted, start.label), "labels"), classes, buckets)
+        entries = stored(counted.select("block", "bucket", "n", "counts", "first").join(labels.drop("n"), ["block", "bucket"]), "entries")
+        class_words = _words_by(entries, "labels", classes)
     tables = spark.sparkContext.broadcast(_class_tables(start.label, pair, class_words, words))
 
     def score(part: pa.Table, entries: pa.Table) -> pa.Table:
         t = tables.value
-        place = entries["place"].to_numpy()
-        count = np.zeros(len(place), dtype=np.float64)
-        label = np.zeros(len(place), dtype=np.int64)
-        count[place] = entries["count"].to_numpy()
-        label[place] = entries["label"].to_numpy()
-        base = np.log10((count + PSEUDO_COUNT) / (t.tokens + PSEUDO_COUNT * (t.words + 1)))
-        emission = np.log10((count + PSEUDO_COUNT) / (t.class_count[label] + PSEUDO_COUNT * (t.class_words[label] + 1)))
         found: list[pa.Table] = []
         for k in range(part.num_rows):
+            hashes = np.frombuffer(part["hashes"][k].as_py(), dtype=np.uint64)
+            count, label = _placed(hashes, entries, buckets, ("counts", "<u8"), ("labels", "<u2"))
+            base = np.log10((count + PSEUDO_COUNT) / (t.tokens + PSEUDO_COUNT * (t.words + 1)))
+            emission = np.log10((count + PSEUDO_COUNT) / (t.class_count[label] + PSEUDO_COUNT * (t.class_words[label] + 1)))
             size = np.frombuffer(part["sizes"][k].as_py(), dtype="<i8")
             stream = _unpacked(part["tokens"][k].as_py(), int(size.sum()))
             classes = label[stream]
@@ -566,8 +648,8 @@ def class_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             )
         return pa.concat_tables(found)
 
-    read = parts.select("block", "ids", "train", "sizes", "tokens").groupBy("block")
-    scored = read.cogroup(entries.select("block", "place", "label", "count").groupBy("block")).applyInArrow(
+    read = parts.select("block", "ids", "train", "sizes", "tokens", "hashes").groupBy("block")
+    scored = read.cogroup(entries.select("block", "bucket", "counts", "labels").groupBy("block")).applyInArrow(
         score,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

@@ -192,6 +192,45 @@ def test_class_model_scores(small, messy, empty, monkeypatch):
     assert class_model_scores(empty).count() == 0
 
 
+def test_words_travel_as_rows_of_buckets(spark, small, monkeypatch):
+    """A block sends a row to a bucket, not one per word, and the number of buckets changes no score."""
+    parts = class_model.blocks(small, "doc_id", "text")
+    assert class_model._entries(parts, 3).count() == 3 * parts.count()
+    one = {r.doc_id: r for r in class_model_scores(small).collect()}
+    monkeypatch.setattr(class_model, "BUCKET_ENTRIES", 200)
+    for r in class_model_scores(small).collect():
+        assert r.n_known == one[r.doc_id].n_known and abs(r.base_score - one[r.doc_id].base_score) < 1e-6
+        assert abs(r.score - one[r.doc_id].score) < 1e-6
+
+
+def test_best_classes_weigh_every_neighbour(monkeypatch):
+    """Gains from cells are those from whole rows of counts of neighbouring classes."""
+    monkeypatch.setattr(class_model, "MOVE_CELLS", 7)
+    rng = np.random.default_rng(8)
+    classes, words_ = 6, 40
+    near = rng.poisson(0.8, (words_, 2 * classes)).astype(float)
+    near[5] = 0
+    label = rng.integers(1, classes, words_)
+    label[3] = 0
+    pair = rng.integers(20, 400, (classes, classes)).astype(float)
+    left, right, total = pair.sum(1), pair.sum(0), pair.sum()
+    ratio = lambda n, expected: math.log(max(n, 0) / max(expected, 1e-9) + class_model.CHANCE)
+    want = []
+    for w in range(words_):
+        into, out, a = near[w, :classes], near[w, classes:], label[w]
+        gain = [
+            sum(into[c] * ratio(pair[c, b], left[c] * right[b] / total) + out[c] * ratio(pair[b, c], left[b] * right[c] / total) for c in range(classes))
+            for b in range(classes)
+        ]
+        gain[a] = sum(into[c] * ratio(pair[c, a] - into[c], left[c] * (right[a] - into.sum()) / total) for c in range(classes))
+        gain[a] += sum(out[c] * ratio(pair[a, c] - out[c], (left[a] - out.sum()) * right[c] / total) for c in range(classes))
+        best = max(range(1, classes), key=lambda b: gain[b])
+        want.append(best if a > 0 and near[w].sum() and gain[best] > gain[a] + 1e-9 else a)
+    word, cell = np.nonzero(near)
+    got = class_model.best_classes(word, cell, near[word, cell], label, pair)
+    assert got.tolist() == want and (got != label).any()
+
+
 def test_class_model_is_a_distribution():
     """Transition rows sum to one, and so do a class's words with its share for unseen ones."""
     rng = np.random.default_rng(3)
