@@ -8,7 +8,7 @@ of its header, its widest row and the kinds of cells in each column. If no line
 does, this was right, and the second reading is that of the data. Otherwise the maps
 are composed within splits, then over the splits of a file, and the lines of records
 that span several are put together; the records are stored, and all else is read
-from there.
+from there. If one of the first lines leaves a quote open, the first reading is left out.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tablewash.errors import StepError
 from tablewash.functions import cells
 from tablewash.reports.profile import CODE, column_types, text_kind, type_from_kinds
-from tablewash.session import stored
+from tablewash.session import discard, stored
 from tablewash.sources.headers import Header, normalize_headers
 from tablewash.table import OrderKey, Table
 
@@ -39,6 +39,8 @@ INSIDE = r'^[^"]*+(?:""[^"]*+)*+'
 MAX_HEADERS = 1000
 # Lines of one record. A quote that is never closed makes one record of all lines behind it.
 MAX_RECORD_LINES = 100_000
+# First lines that are looked at for open quotes before all are read.
+PROBE_LINES = 2_000
 
 
 @dataclass(frozen=True)
@@ -78,10 +80,14 @@ def import_csv(
     max_record_lines: int = MAX_RECORD_LINES,
 ) -> CsvImport:
     lines = _lines(spark, path if isinstance(path, str) else list(path))
-    records, found = lines, _survey(lines, types is None)
-    spanning = found.opens > 0
+    records = lines
+    found = None if _opens_early(lines) else _survey(lines, types is None)
+    spanning = found is None or found.opens > 0
     if spanning:
-        records = stored(_joined(lines, max_record_lines), "records").withColumn("opens", F.lit(False))
+        # Records are put together from several readings of the lines; their patterns run once.
+        marked = stored(lines, "lines")
+        records = stored(_joined(marked, max_record_lines), "records").withColumn("opens", F.lit(False))
+        discard(marked)
         found = _survey(records, types is None, True)
     kinds = None
     if found.settled:
@@ -138,6 +144,11 @@ class _Survey:
     kinds: list[int | None]
 
 
+def _opens_early(lines: DataFrame) -> bool:
+    """Whether one of the first lines leaves a quote open, so that lines are known not to be records."""
+    return any(r["opens"] for r in lines.select("opens").take(PROBE_LINES))
+
+
 def _survey(lines: DataFrame, with_kinds: bool, stored_: bool = False) -> _Survey:
     # Any file's first line, from the first of the splits that begin a file.
     firsts = lines.filter("__block = 0").select("text", F.size(_cells(F.col("text"))).alias("n"), "__file", "__row_id")

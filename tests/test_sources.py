@@ -362,3 +362,16 @@ def test_all_sheets_from_one_parse(spark, tmp_path):
             read(spark, path)
     assert cells(read_file(spark, path, "Other"), "col_g") == ["y"]
     assert list(read_workbook(spark, str(tmp_path / "c.xlsx"))) == ["Other"]
+
+
+@pytest.mark.parametrize("probe, readings", [(2_000, 1), (1, 2)])
+def test_open_quotes_among_first_lines_save_a_survey(load_csv, monkeypatch, probe, readings):
+    """Lines known not to be records are not surveyed as such, and a quote beyond the probe is still found."""
+    from tablewash.sources import csv
+
+    surveys, survey = [], csv._survey
+    monkeypatch.setattr(csv, "_survey", lambda *args: surveys.append(args) or survey(*args))
+    monkeypatch.setattr(csv, "PROBE_LINES", probe, raising=False)
+    table = load_csv('id,text\n1,"a\nb ""c"""\n2,plain\n3,"x,\r\ny"\n').table
+    assert [tuple(r) for r in table.sorted_df().select("col_id", "col_text").collect()] == [(1.0, 'a\nb "c"'), (2.0, "plain"), (3.0, "x,\r\ny")]
+    assert len(surveys) == readings
